@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from orderlens.schema import BANDS, MONEY, STATUSES
 
+# ASCII words, each with one leading capital, digits and signs; single spaces between.
+_WORD = r"(?:[A-Z][a-z]*+(?![A-Z])|[!-@\[-`{-~](?![a-z]))++"
+TIDY = rf"^{_WORD}(?: {_WORD})*+\z"
+WIDE = "decimal(26,2)"
+
 
 def dbl(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("double")
@@ -22,13 +27,23 @@ def percent(part: Column | str, whole: Column | str) -> Column:
     return F.try_divide(dbl(part), dbl(whole)) * 100
 
 
+def ratio2(part: Column | str, whole: Column | str, scale: int = 1) -> Column:
+    """``part / whole`` to two decimals, half away from zero, as double.
+
+    The division is one of decimals with twelve digits behind the point: the quotient of
+    two doubles would put exact half cents on either side.
+    """
+    part = (F.col(part) if isinstance(part, str) else part).cast(WIDE) * scale
+    whole = (F.col(whole) if isinstance(whole, str) else whole).cast("decimal(22,2)")
+    return dbl(F.round(part.cast(WIDE) / F.nullif(whole, F.lit(0).cast("decimal(22,2)")), 2))
+
+
 def percent2(part: Column | str, whole: Column | str) -> Column:
-    """Percentage to two decimals."""
-    return F.round(F.try_divide(dbl(part) * 100, dbl(whole)), 2)
+    return ratio2(part, whole, 100)
 
 
 def mean2(total: Column | str, count: Column | str) -> Column:
-    return F.round(F.try_divide(dbl(total), dbl(count)), 2)
+    return ratio2(total, count)
 
 
 def strip(text: Column) -> Column:
@@ -42,15 +57,13 @@ def title(text: Column) -> Column:
     return F.array_join(F.transform(pieces, F.initcap), "")
 
 
-def strip_title(text: Column, usual: tuple[str, ...] = ()) -> Column:
-    """Strip and title-case. ``usual`` lists values that are already in that form: they skip
-    the regular expressions."""
-    general = title(strip(text))
-    return F.when(text.isin(*usual), text).otherwise(general) if usual else general
+def strip_title(text: Column) -> Column:
+    """Strip and title-case. Text already in that form, the usual case, costs one match."""
+    return F.when(text.rlike(TIDY), text).otherwise(title(strip(text)))
 
 
 def clean_status(text: Column) -> Column:
-    return strip_title(text, STATUSES)
+    return F.when(text.isin(*STATUSES), text).otherwise(title(strip(text)))
 
 
 def year_month(day: Column) -> Column:
@@ -66,7 +79,13 @@ def quarter_label(day: Column) -> Column:
 
 
 def money(value: Column) -> Column:
-    return F.round(value, 2).cast(MONEY)
+    """Two decimals, halves to the even cent."""
+    return F.bround(value, 2).cast(MONEY)
+
+
+def order_margin(profit: Column, net: Column) -> Column:
+    """Margin of one order in percent, two decimals, halves to the even digit."""
+    return F.rint(F.try_divide(dbl(profit), dbl(net)) * 100 * 100) / 100
 
 
 def band_by_bins(pct: Column) -> Column:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from orderlens.functions.columns import (
     band_by_bins,
     clean_status,
-    dbl,
     money,
     month_name,
     or_false,
+    order_margin,
     quarter_label,
     strip_title,
     year_month,
@@ -30,22 +30,21 @@ from orderlens.schema import (
     UNKNOWN,
 )
 
-TEXT_CLEANERS = {
-    "payment_status": clean_status,
-    "salesperson": strip_title,
-}
+TEXT_CLEANERS = {"payment_status": clean_status, "salesperson": strip_title}
 
 
 def _features() -> dict[str, tuple[tuple[str, ...], Column]]:
     """Derived column -> (columns it needs, expression)."""
     day = F.col("order_date")
-    margin = F.try_divide(dbl("profit"), dbl("net_sales")) * 100
     return {
         "year_month": (("order_date",), year_month(day)),
         "order_month_num": (("order_date",), F.month(day)),
         "order_month": (("order_date",), month_name(day)),
         "quarter": (("order_date",), quarter_label(day)),
-        "profit_margin_pct": (("profit", "net_sales"), F.round(margin, 2)),
+        "profit_margin_pct": (
+            ("profit", "net_sales"),
+            order_margin(F.col("profit"), F.col("net_sales")),
+        ),
         "is_loss": (("profit",), or_false(F.col("profit") < 0)),
         "discount_band": (("discount_pct",), band_by_bins(F.col("discount_pct"))),
         "discount_outlier": (

@@ -58,9 +58,11 @@ def ids_where(orders: DataFrame, condition: Column) -> DataFrame:
 
 
 def iqr_fence(orders: DataFrame) -> DataFrame:
-    """One row: quartiles and upper fence of the discount. The column's type admits two
-    million values at most, which bounds what ``percentile`` holds."""
-    spread = orders.agg(F.percentile("discount_pct", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    """One row: quartiles and upper fence of the discount. Rows are counted per value first;
+    the column's type admits two million values at most, all that ``percentile`` sees."""
+    quartiles = F.array(F.lit(0.25), F.lit(0.75))
+    values = orders.groupBy("discount_pct").agg(F.count("*").alias("n"))
+    spread = values.agg(F.percentile("discount_pct", quartiles, F.col("n")).alias("q"))
     q1, q3 = F.col("q")[0], F.col("q")[1]
     return spread.select(q1.alias("q1"), q3.alias("q3"), (q3 + 1.5 * (q3 - q1)).alias("fence"))
 

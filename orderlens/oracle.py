@@ -60,13 +60,11 @@ WITH lines AS (
          upper(left(trim(payment_status), 1)) || lower(substr(trim(payment_status), 2))
            AS payment_status,
          upper(left(trim(salesperson), 1)) || lower(substr(trim(salesperson), 2)) AS salesperson,
-         round(unit_cost, 2) AS unit_cost, round(selling_price, 2) AS selling_price,
-         round(gross_sales, 2) AS gross_sales, round(discount_amount, 2) AS discount_amount,
-         round(net_sales, 2) AS net_sales, round(cost, 2) AS cost, round(profit, 2) AS profit,
+         {money},
          strftime(order_date, '%Y-%m') AS year_month, month(order_date) AS order_month_num,
          strftime(order_date, '%b') AS order_month, 'Q' || quarter(order_date) AS quarter,
-         round(CAST(profit AS DOUBLE) / nullif(CAST(net_sales AS DOUBLE), 0) * 100, 2)
-           AS profit_margin_pct,
+         round_even(CAST(profit AS DOUBLE) / nullif(CAST(net_sales AS DOUBLE), 0) * 100 * 100, 0)
+           / 100 AS profit_margin_pct,
          coalesce(profit < 0, false) AS is_loss,
          CASE WHEN discount_pct <= -1 THEN NULL WHEN discount_pct <= 0 THEN '0%'
               WHEN discount_pct <= 5 THEN '1-5%' WHEN discount_pct <= 10 THEN '6-10%'
@@ -91,20 +89,39 @@ def whole(expression: str, name: str) -> str:
     return f"CAST({expression} AS BIGINT) AS {name}"
 
 
+def ratio2(part: str, all_: str) -> str:
+    """Hundredths of part / all_ in whole numbers, half away from zero. Both have at most two
+    decimals."""
+    top, bottom = (f"CAST(({x}) * 100 AS HUGEINT)" for x in (part, all_))
+    cents = f"(abs({top}) * 200 + abs({bottom})) // nullif(abs({bottom}) * 2, 0)"
+    return f"CAST(sign({top}) * sign({bottom}) * ({cents}) AS DOUBLE) / 100"
+
+
 def pct2(part: str, all_: str) -> str:
-    return f"round({num(part)} * 100 / nullif({num(all_)}, 0), 2)"
+    return ratio2(f"({part}) * 100", all_)
 
 
 def pct(part: str, all_: str) -> str:
     return f"{num(part)} / nullif({num(all_)}, 0) * 100"
 
 
+def avg2(total: str) -> str:
+    return ratio2(f"sum({total})", f"count({total})")
+
+
+def even2(value: str) -> str:
+    """A decimal to two digits, halves to the even one."""
+    tie = f"abs({value}) * 100 % 1 = 0.5 AND round(abs({value}) * 100, 0) % 2 = 1"
+    return f"CAST(round({value}, 2) - CASE WHEN {tie} THEN sign({value}) * 0.01 ELSE 0 END AS DECIMAL(18,2))"
+
+
 def avg(total: str) -> str:
     return f"{num(f'sum({total})')} / nullif(count({total}), 0)"
 
 
 def with_base(select: str, *more: str) -> str:
-    return BASE + "".join(f", {m}" for m in more) + "\n" + select
+    money = ",\n         ".join(f"{even2(c)} AS {c}" for c in MONEY_COLUMNS)
+    return BASE.replace("{money}", money) + "".join(f", {m}" for m in more) + "\n" + select
 
 
 def ids(where: str) -> str:
@@ -117,7 +134,7 @@ MARGIN = f"{pct('sum(profit)', 'sum(net_sales)')} AS margin_pct"
 KPIS = f"""count(*) AS total_orders, {whole('sum(quantity)', 'units_sold')},
   {num('sum(gross_sales)', 'gross_sales')}, {num('sum(discount_amount)', 'total_discount')},
   {MONEY2}, {pct2('sum(profit)', 'sum(net_sales)')} AS profit_margin_pct,
-  round({avg('net_sales')}, 2) AS avg_order_value"""
+  {avg2('net_sales')} AS avg_order_value"""
 FENCE = """fence AS (SELECT q3 + 1.5 * (q3 - q1) AS top FROM (
   SELECT quantile_cont(CAST(discount_pct AS DOUBLE), 0.25) AS q1,
          quantile_cont(CAST(discount_pct AS DOUBLE), 0.75) AS q3 FROM raw))"""
@@ -437,7 +454,7 @@ def _sql_reports() -> dict[str, str]:
         ),
         "customer_type_sales": with_base(
             f"""SELECT customer_type, count(DISTINCT customer_id) AS customers, count(*) AS orders,
-              {num('sum(net_sales)', 'net_sales')}, round({avg('net_sales')}, 2) AS avg_order_value,
+              {num('sum(net_sales)', 'net_sales')}, {avg2('wide.net_sales')} AS avg_order_value,
               {MARGIN2} FROM wide GROUP BY customer_type"""
         ),
         "top_customers": with_base(
@@ -447,7 +464,7 @@ def _sql_reports() -> dict[str, str]:
         ),
         "salesperson_rank": with_base(
             f"""SELECT salesperson, count(*) AS orders, {MONEY2}, {MARGIN2},
-              round({avg('discount_pct')}, 2) AS avg_discount_pct,
+              {avg2('discount_pct')} AS avg_discount_pct,
               count(*) FILTER (payment_status = 'Overdue') AS overdue_orders,
               rank() OVER (ORDER BY sum(facts.net_sales) DESC) AS sales_rank
             FROM facts GROUP BY salesperson"""

@@ -227,21 +227,24 @@ def scope_counts(sales: Sales) -> DataFrame:
 
     An unknown id is a customer here; ``known_customers`` and ``cities`` leave it out.
     """
-    lines = sales.facts("order_id", "customer_id", "product_id", "salesperson")
-    ids = sales.facts("customer_id").select("customer_id").distinct()
-    known = ids.join(sales.customers.select("customer_id", "city"), "customer_id").agg(
-        F.count("customer_id").alias("known"), F.countDistinct("city").alias("cities")
+    ids = sales.facts("customer_id").groupBy("customer_id").agg(F.count("*").alias("lines"))
+    master = sales.customers.select("customer_id", "city", F.lit(True).alias("known"))
+    people = ids.join(master, "customer_id", "left").agg(
+        F.count("customer_id").alias("customers"),
+        F.count("known").alias("known_customers"),
+        F.countDistinct("city").alias("cities"),
     )
-    counts = lines.agg(
-        F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_id").alias("customers"),
-        F.countDistinct("product_id").alias("products"),
-        F.countDistinct("salesperson").alias("salespeople"),
-    )
-    return counts.select(
-        "*",
-        known.select("known").scalar().alias("known_customers"),
-        known.select("cities").scalar().alias("cities"),
+
+    def number(column: str) -> Column:
+        return sales.facts(column).agg(F.countDistinct(column)).scalar()
+
+    return people.select(
+        number("order_id").alias("orders"),
+        "customers",
+        number("product_id").alias("products"),
+        number("salesperson").alias("salespeople"),
+        "known_customers",
+        "cities",
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderlens.functions.columns import dbl, percent
+from orderlens.functions.columns import dbl, month_name, percent
 from orderlens.operators.ordering import running_before
 from orderlens.plans.parts import (
     AMOUNTS,
@@ -87,15 +87,16 @@ def kpi_full(sales: Sales) -> DataFrame:
 
 def monthly(sales: Sales) -> DataFrame:
     """By month of the year; the years fall together. Twelve rows at most."""
-    lines = sales.facts("order_date", "order_id", "order_month_num", "order_month", *MONEY_SUMS)
+    lines = sales.facts("order_date", "order_id", *MONEY_SUMS)
     lines = lines.filter(F.col("order_date").isNotNull())
+    lines = lines.withColumn("order_month_num", F.month("order_date"))
     before = F.lag(dbl("net_sales")).over(W.orderBy("order_month_num"))
     growth = (F.try_divide(dbl("net_sales"), before) - 1) * 100
     return (
-        totals(lines, ["order_month_num", "order_month"], MONEY_SUMS, frame=True)
+        totals(lines, ["order_month_num"], MONEY_SUMS, frame=True)
         .select(
             "order_month_num",
-            "order_month",
+            month_name(F.make_date(F.lit(2000), "order_month_num", F.lit(1))).alias("order_month"),
             "orders",
             amount("net_sales"),
             amount("profit"),
@@ -337,10 +338,11 @@ def loss_by_category(sales: Sales) -> DataFrame:
 
 
 def quarters(sales: Sales) -> DataFrame:
-    lines = sales.facts("order_id", "quarter", *MONEY_SUMS).filter(F.col("quarter").isNotNull())
+    lines = sales.facts("order_id", "order_date", *MONEY_SUMS)
+    lines = lines.filter(F.col("order_date").isNotNull())
     return (
-        totals(lines, ["quarter"], MONEY_SUMS, frame=True)
-        .select("quarter", "orders", amount("net_sales"), amount("profit"), margin())
+        totals(lines.withColumn("number", F.quarter("order_date")), ["number"], MONEY_SUMS, frame=True)
+        .select(F.concat(F.lit("Q"), "number").alias("quarter"), "orders", amount("net_sales"), amount("profit"), margin())
         .orderBy("quarter")
     )
 

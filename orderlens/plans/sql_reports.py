@@ -11,7 +11,6 @@ from orderlens.functions.columns import (
     band_by_case,
     mean2,
     percent2,
-    quarter_label,
     year_month,
 )
 from orderlens.operators.ordering import rank_desc
@@ -52,7 +51,8 @@ def headline(sales: Sales) -> DataFrame:
 def monthly_totals(sales: Sales) -> DataFrame:
     """Per calendar month: as many rows as there are months."""
     lines = sales.facts("order_date", *MONEY_SUMS)
-    return totals(lines.withColumn("year_month", year_month(F.col("order_date"))), ["year_month"], MONEY_SUMS)
+    months = totals(lines.withColumn("month", F.trunc("order_date", "month")), ["month"], MONEY_SUMS)
+    return months.withColumn("year_month", year_month(F.col("month")))
 
 
 def monthly_trend(sales: Sales) -> DataFrame:
@@ -75,11 +75,11 @@ def monthly_trend(sales: Sales) -> DataFrame:
 def quarterly(sales: Sales) -> DataFrame:
     """Quarters of all years together."""
     lines = sales.facts("order_date", *MONEY_SUMS)
-    lines = lines.withColumn("quarter", quarter_label(F.col("order_date")))
+    lines = lines.withColumn("number", F.quarter("order_date"))
     return (
-        totals(lines, ["quarter"], MONEY_SUMS)
+        totals(lines, ["number"], MONEY_SUMS)
         .select(
-            "quarter",
+            F.concat(F.lit("Q"), "number").alias("quarter"),
             "orders",
             amount("net_sales"),
             amount("profit"),
