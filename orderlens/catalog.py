@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from orderlens.operators import cleaning, profiling, quality, validation
 from orderlens.plans import charts, dashboard, findings, frame_reports, sql_reports
-from orderlens.schema import MONEY_COLUMNS
+from orderlens.schema import CUSTOMERS, MONEY_COLUMNS, ORDER_COLUMNS, PRODUCTS
 from orderlens.warehouse import Sales
 
 # Years the supplied orders should lie in; the selection shown by ``kpi_filtered``.
@@ -55,7 +55,11 @@ def _counts(table: str, column: str) -> Report:
 
 SOURCES: dict[str, Report] = {
     "shape_report": lambda s: profiling.shape_report(
-        {"Orders": s.raw(), "Customers": s.customers, "Products": s.products}
+        {
+            "Orders": (s.raw("order_id"), len(ORDER_COLUMNS)),
+            "Customers": (s.customers, len(CUSTOMERS)),
+            "Products": (s.products, len(PRODUCTS)),
+        }
     ),
     "preview": lambda s: profiling.preview(s.raw(), "order_id"),
     "preview_clean": lambda s: profiling.preview(s.clean(), "order_id"),

@@ -9,14 +9,17 @@ inside one partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orderlens.functions.columns import dbl
 from orderlens.session import stage
 
 COPIES_PER_CHUNK = 10_000
+SKETCH_ACCURACY = 10_000  # rank error of the sketch: 1 / SKETCH_ACCURACY of the rows
 
 
 def running_before(
@@ -75,29 +78,88 @@ def repeat_rows(df: DataFrame, copies: str, index: str) -> DataFrame:
 
 
 def exact_quantiles(
-    histogram: DataFrame, group: str, value: str, count: str, probs: dict[str, float]
+    df: DataFrame, values: dict[str, Column], probs: dict[str, float]
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group from ``(group, value, count)`` rows with
-    distinct values. Returns one row per group with the columns of ``probs``."""
-    sizes = histogram.groupBy(group).agg(F.sum(count).alias("_size"))
-    placed = running_before(histogram, [F.col(value).asc()], {"_start": count}, [group])
-    placed = placed.join(F.broadcast(sizes), group)  # one row per group (named columns)
-    columns = []
-    for name, p in probs.items():
-        spot = (F.col("_size") - 1) * F.lit(p)
-        low, high = F.floor(spot), F.ceil(spot)
-        for side, at in (("low", low), ("high", high)):
-            hit = (F.col("_start") <= at) & (at < F.col("_start") + F.col(count))
-            columns.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"{name}_{side}"))
-        columns.append(F.max(spot - low).alias(f"{name}_weight"))
-    found = placed.groupBy(group).agg(*columns)
-    return found.select(
-        group,
-        *[
-            (
-                F.col(f"{n}_low")
-                + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_weight")
-            ).alias(n)
-            for n in probs
-        ],
+    """Exact, linearly interpolated quantiles: one row per column with the names of ``probs``.
+
+    A sketch with a known rank error brackets each quantile. Rows below a bracket are only
+    counted; the few inside it are brought into order. No step shuffles the table.
+    """
+    sketch = _brackets(df, values, list(probs.values())).first()  # six numbers per column
+    edges = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(q).alias("quantile"),
+            F.lit(low).alias("low"),
+            F.lit(high).alias("high"),
+            ((F.count(values[c]) - 1) * F.lit(p)).alias("spot"),
+            F.count_if(dbl(values[c]) < low).alias("below"),
+            F.max(F.when(dbl(values[c]) < low, values[c])).alias("last_below"),
+            F.min(F.when(dbl(values[c]) > high, values[c])).alias("first_above"),
+        )
+        for c in values
+        for (q, p), (low, high) in zip(probs.items(), batched(sketch[c] or [0.0] * 2 * len(probs), 2))
+    ]
+    edges = stage(
+        df.agg(*[e.alias(f"e{i}") for i, e in enumerate(edges)]).select(
+            F.inline(F.array(*[F.col(f"e{i}") for i in range(len(edges))]))
+        )
+    )
+    tall = df.select(
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()]
+            )
+        )
+    )
+    # One row per column and quantile on the small side, here and below.
+    near = tall.join(F.broadcast(edges.select("column", "quantile", "low", "high")), "column")
+    counts = (
+        near.filter(dbl("value").between(F.col("low"), F.col("high")))
+        .groupBy("column", "quantile", "value")
+        .agg(F.count("*").alias("n"))
+    )
+    cell = ["column", "quantile"]
+    placed = running_before(counts, [F.col("value").asc()], {"start": "n"}, cell)
+    picked = placed.join(F.broadcast(edges), cell).groupBy(*cell).agg(
+        F.sum("n").alias("inside"), *[_value_at(at, n) for n, at in _neighbours().items()]
+    )
+    found = edges.join(F.broadcast(picked), cell, "left").withColumns(
+        {n: _or_edge(n, at) for n, at in _neighbours().items()}
+    )
+    weight = F.col("spot") - F.floor("spot")
+    value = F.col("lower") + (F.col("upper") - F.col("lower")) * weight
+    return found.groupBy("column").agg(
+        *[F.max(F.when(F.col("quantile") == q, value)).alias(q) for q in probs]
+    )
+
+
+def _brackets(df: DataFrame, values: dict[str, Column], probs: list[float]) -> DataFrame:
+    """One row; per column the values surely before and after each quantile."""
+    slack = 2 / SKETCH_ACCURACY
+    around = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
+    return df.agg(
+        *[F.percentile_approx(dbl(v), around, SKETCH_ACCURACY).alias(c) for c, v in values.items()]
+    )
+
+
+def _neighbours() -> dict[str, Column]:
+    """The two positions, counted from 0, between which a quantile lies."""
+    return {"lower": F.floor("spot"), "upper": F.ceil("spot")}
+
+
+def _value_at(at: Column, name: str) -> Column:
+    first = F.col("below") + F.col("start")
+    hit = (first <= at) & (at < first + F.col("n"))
+    return F.max(F.when(hit, F.col("value").cast("double"))).alias(name)
+
+
+def _or_edge(name: str, at: Column) -> Column:
+    """The value found inside the bracket, or the next one at either side of it."""
+    end = F.col("below") + F.coalesce("inside", F.lit(0))
+    return (
+        F.when(F.col(name).isNotNull() | (F.col("spot") < 0), F.col(name))
+        .when(at == F.col("below") - 1, F.col("last_below").cast("double"))
+        .when(at == end, F.col("first_above").cast("double"))
+        .otherwise(F.raise_error(F.lit("quantile outside its bracket")))
     )

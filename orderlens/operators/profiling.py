@@ -12,12 +12,13 @@ from orderlens.operators.ordering import exact_quantiles
 from orderlens.schema import RAW_MONEY
 
 
-def shape_report(tables: dict[str, DataFrame]) -> DataFrame:
+def shape_report(tables: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """Rows and columns per table, from (any columns of the table, its number of columns)."""
     counts = [
         df.agg(F.count("*").alias("rows")).select(
-            F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("cols")
+            F.lit(name).alias("name"), "rows", F.lit(width).alias("cols")
         )
-        for name, df in tables.items()
+        for name, (df, width) in tables.items()
     ]
     return reduce(DataFrame.unionByName, counts)
 
@@ -44,23 +45,12 @@ def profile_nulls(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame) -> DataFrame:
     """count, mean, std, min, quartiles and max of every numeric and date column.
 
-    Dates count as days since 1970-01-01 and have no std. The quartiles are exact: they
-    come from a histogram of distinct values that stays distributed.
+    Dates count as days since 1970-01-01 and have no std. The quartiles are exact.
     """
     dates = {f.name for f in df.schema if isinstance(f.dataType, T.DateType)}
     names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) or f.name in dates]
     values = {c: (F.unix_date(c) if c in dates else F.col(c)).cast(RAW_MONEY) for c in names}
-    tall = df.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()]
-            )
-        )
-    ).filter(F.col("value").isNotNull())
-    histogram = tall.groupBy("column", "value").agg(F.count("*").alias("n"))
-    quartiles = exact_quantiles(
-        histogram, "column", "value", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    )
+    quartiles = exact_quantiles(df, values, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     stats = df.agg(
         *[
             F.struct(
