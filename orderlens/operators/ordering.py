@@ -9,13 +9,13 @@ inside one partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import batched
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderlens.functions.columns import dbl
 from orderlens.session import stage
 
 COPIES_PER_CHUNK = 10_000
@@ -77,47 +77,36 @@ def repeat_rows(df: DataFrame, copies: str, index: str) -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame, values: dict[str, Column], probs: dict[str, float]
-) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row per column with the names of ``probs``.
+def exact_quantiles(df: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles of each column of ``df`` (all double): one row
+    per column with the names of ``probs``.
 
     A sketch with a known rank error brackets each quantile. Rows below a bracket are only
     counted; the few inside it are brought into order. No step shuffles the table.
     """
-    sketch = _brackets(df, values, list(probs.values())).first()  # six numbers per column
-    edges = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(q).alias("quantile"),
-            F.lit(low).alias("low"),
-            F.lit(high).alias("high"),
-            ((F.count(values[c]) - 1) * F.lit(p)).alias("spot"),
-            F.count_if(dbl(values[c]) < low).alias("below"),
-            F.max(F.when(dbl(values[c]) < low, values[c])).alias("last_below"),
-            F.min(F.when(dbl(values[c]) > high, values[c])).alias("first_above"),
-        )
-        for c in values
-        for (q, p), (low, high) in zip(probs.items(), batched(sketch[c] or [0.0] * 2 * len(probs), 2))
-    ]
-    edges = stage(
-        df.agg(*[e.alias(f"e{i}") for i, e in enumerate(edges)]).select(
-            F.inline(F.array(*[F.col(f"e{i}") for i in range(len(edges))]))
-        )
-    )
-    tall = df.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()]
+    brackets = _brackets(df, probs)
+    edges = []
+    for (column, quantile), (low, high) in brackets.items():
+        value = F.col(column)
+        edges.append(
+            F.struct(
+                F.lit(column).alias("column"),
+                F.lit(quantile).alias("quantile"),
+                F.lit(low).alias("low"),
+                F.lit(high).alias("high"),
+                ((F.count(value) - 1) * F.lit(probs[quantile])).alias("spot"),
+                F.count_if(value < low).alias("below"),
+                F.max(F.when(value < low, value)).alias("last_below"),
+                F.min(F.when(value > high, value)).alias("first_above"),
             )
         )
-    )
-    # One row per column and quantile on the small side, here and below.
-    near = tall.join(F.broadcast(edges.select("column", "quantile", "low", "high")), "column")
+    # From here on the small side has one row per column and quantile.
+    edges = stage(df.agg(F.array(*edges).alias("edges")).select(F.inline("edges")))
     counts = (
-        near.filter(dbl("value").between(F.col("low"), F.col("high")))
-        .groupBy("column", "quantile", "value")
-        .agg(F.count("*").alias("n"))
+        _rows_near(df, brackets)
+        .join(F.broadcast(edges.select("column", "quantile", "low", "high")), "column")
+        .filter(F.col("value").between(F.col("low"), F.col("high")))
+        .select("column", "quantile", "value", "n")
     )
     cell = ["column", "quantile"]
     placed = running_before(counts, [F.col("value").asc()], {"start": "n"}, cell)
@@ -134,13 +123,32 @@ def exact_quantiles(
     )
 
 
-def _brackets(df: DataFrame, values: dict[str, Column], probs: list[float]) -> DataFrame:
-    """One row; per column the values surely before and after each quantile."""
+def _brackets(
+    df: DataFrame, probs: dict[str, float]
+) -> dict[tuple[str, str], tuple[float, float]]:
+    """Per column and quantile two values surely before and after it: a handful of numbers."""
     slack = 2 / SKETCH_ACCURACY
-    around = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
-    return df.agg(
-        *[F.percentile_approx(dbl(v), around, SKETCH_ACCURACY).alias(c) for c, v in values.items()]
-    )
+    around = [min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-slack, slack)]
+    sketch = df.agg(*[F.percentile_approx(c, around, SKETCH_ACCURACY).alias(c) for c in df.columns])
+    found = sketch.first()
+    none = [0.0] * len(around)
+    return {
+        (c, q): pair for c in df.columns for q, pair in zip(probs, batched(found[c] or none, 2))
+    }
+
+
+def _rows_near(
+    df: DataFrame, brackets: dict[tuple[str, str], tuple[float, float]]
+) -> DataFrame:
+    """How often each value inside some bracket of its column occurs."""
+    near = []
+    for column in df.columns:
+        spans = [span for (name, _), span in brackets.items() if name == column]
+        inside = [F.col(column).between(low, high) for low, high in spans]
+        row = F.struct(F.lit(column).alias("column"), F.col(column).alias("value"))
+        near.append(F.when(reduce(lambda a, b: a | b, inside), row))
+    rows = df.select(F.inline(F.array_compact(F.array(*near))))
+    return rows.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def _neighbours() -> dict[str, Column]:
@@ -151,7 +159,7 @@ def _neighbours() -> dict[str, Column]:
 def _value_at(at: Column, name: str) -> Column:
     first = F.col("below") + F.col("start")
     hit = (first <= at) & (at < first + F.col("n"))
-    return F.max(F.when(hit, F.col("value").cast("double"))).alias(name)
+    return F.max(F.when(hit, F.col("value"))).alias(name)
 
 
 def _or_edge(name: str, at: Column) -> Column:
@@ -159,7 +167,7 @@ def _or_edge(name: str, at: Column) -> Column:
     end = F.col("below") + F.coalesce("inside", F.lit(0))
     return (
         F.when(F.col(name).isNotNull() | (F.col("spot") < 0), F.col(name))
-        .when(at == F.col("below") - 1, F.col("last_below").cast("double"))
-        .when(at == end, F.col("first_above").cast("double"))
+        .when(at == F.col("below") - 1, F.col("last_below"))
+        .when(at == end, F.col("first_above"))
         .otherwise(F.raise_error(F.lit("quantile outside its bracket")))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlens.functions.columns import dbl
 from orderlens.operators.ordering import exact_quantiles
 from orderlens.schema import RAW_MONEY
 
@@ -50,34 +51,26 @@ def describe_numeric(df: DataFrame) -> DataFrame:
     dates = {f.name for f in df.schema if isinstance(f.dataType, T.DateType)}
     names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) or f.name in dates]
     values = {c: (F.unix_date(c) if c in dates else F.col(c)).cast(RAW_MONEY) for c in names}
-    quartiles = exact_quantiles(df, values, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    stats = df.agg(
-        *[
-            F.struct(
-                F.count(v).alias("count"),
-                F.try_divide(F.sum(v).cast("double"), F.count(v).cast("double")).alias("mean"),
-                (F.lit(None) if c in dates else F.round(F.stddev_samp(v.cast("double")), 4))
-                .cast("double")
-                .alias("std"),
-                F.min(v).cast("double").alias("min"),
-                F.max(v).cast("double").alias("max"),
-            ).alias(c)
-            for c, v in values.items()
-        ]
-    )
-    parts = ("count", "mean", "std", "min", "max")
-    stats = stats.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), *[F.col(c)[p].alias(p) for p in parts])
-                    for c in names
-                ]
-            )
+    stats = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(v).alias("count"),
+            F.try_divide(dbl(F.sum(v)), dbl(F.count(v))).alias("mean"),
+            (F.lit(None) if c in dates else F.round(F.stddev_samp(dbl(v)), 4))
+            .cast("double")
+            .alias("std"),
+            dbl(F.min(v)).alias("min"),
+            dbl(F.max(v)).alias("max"),
         )
-    )
-    return stats.join(F.broadcast(quartiles), "column", "left").select(
-        "column", "count", "mean", "std", "min", "q1", "median", "q3", "max"
+        for c, v in values.items()
+    ]
+    numbers = df.select(*[dbl(v).alias(c) for c, v in values.items()])
+    quartiles = exact_quantiles(numbers, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return (
+        df.agg(F.array(*stats).alias("stats"))
+        .select(F.inline("stats"))
+        .join(F.broadcast(quartiles), "column", "left")  # one row per column
+        .select("column", "count", "mean", "std", "min", "q1", "median", "q3", "max")
     )
 
 
