@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from orderlens.schema import CUSTOMERS, ORDER_COLUMNS, ORDERS_RAW, PRODUCTS
 
 INPUT_SCHEMAS = {"orders": ORDERS_RAW, "customers": CUSTOMERS, "products": PRODUCTS}
+# Keep blanks at the ends of text as they are; cleaning decides about them.
+CSV_WRITE = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 MASTER_KEYS = {"customers": "customer_id", "products": "product_id"}
 
 
@@ -64,13 +66,15 @@ def text_flags(df: DataFrame) -> DataFrame:
 
 def write_clean_csv(clean: DataFrame, path: str) -> None:
     """The cleaned table as CSV part files with headers, sorted by order id across the parts."""
-    text_flags(clean.orderBy("order_id")).write.mode("overwrite").option("header", True).csv(path)
+    rows = text_flags(clean.orderBy("order_id"))
+    rows.write.mode("overwrite").options(**CSV_WRITE).csv(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
     """Write each table under ``path``, replacing what is there."""
     for name, df in tables.items():
-        df.write.mode("overwrite").format(fmt).option("header", True).save(f"{path}/{name}")
+        options = CSV_WRITE if fmt == "csv" else {}
+        df.write.mode("overwrite").format(fmt).options(**options).save(f"{path}/{name}")
 
 
 def save_relational(
