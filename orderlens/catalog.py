@@ -35,7 +35,7 @@ def plain_types(df: DataFrame) -> DataFrame:
 
 def _checked(rule) -> Report:
     """A rule over raw orders and both masters with the expected years."""
-    return lambda s: rule(s.raw(), s.customers, s.products, EXPECTED_YEARS)
+    return lambda s: rule(s.raw(), s.customers, s.products, EXPECTED_YEARS, s.raw("discount_pct"))
 
 
 def _ids(condition, *columns: str) -> Report:

@@ -60,21 +60,21 @@ def rank_desc(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
 
 def repeat_rows(df: DataFrame, copies: str, index: str) -> DataFrame:
     """Each row ``copies`` times with a running ``index``. A row with very many copies is
-    first cut into chunks that are spread over the cluster."""
-    spark = df.sparkSession
-    size = F.lit(COPIES_PER_CHUNK).cast("bigint")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    last_chunk = F.floor((F.col(copies) - 1) / size)
-    chunks = df.filter(F.col(copies) > 0).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))
-    )
+    first cut into chunks that are spread over the cluster; the others stay where they are."""
+    number, size = F.col(copies), F.lit(COPIES_PER_CHUNK).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    few = df.filter((number > 0) & (number <= size))
+    few = few.withColumn(index, F.explode(F.sequence(zero, number - 1)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.col("_chunk") * size
-    last = F.least(F.col(copies), first + size) - 1
-    return (
-        chunks.repartition(tasks, *df.columns, "_chunk")
-        .withColumn(index, F.explode(F.sequence(first, last)))
+    many = (
+        df.filter(number > size)
+        .withColumn("_chunk", F.explode(F.sequence(zero, F.floor((number - 1) / size))))
+        .repartition(tasks, *df.columns, "_chunk")
+        .withColumn(index, F.explode(F.sequence(first, F.least(number, first + size) - 1)))
         .drop("_chunk")
     )
+    return few.unionByName(many)
 
 
 def exact_quantiles(df: DataFrame, probs: dict[str, float]) -> DataFrame:

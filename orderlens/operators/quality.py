@@ -67,8 +67,8 @@ def iqr_fence(orders: DataFrame) -> DataFrame:
     return spread.select(q1.alias("q1"), q3.alias("q3"), (q3 + 1.5 * (q3 - q1)).alias("fence"))
 
 
-def above_fence(orders: DataFrame) -> Column:
-    fence = iqr_fence(orders.select("discount_pct")).select("fence").scalar()
+def above_fence(discounts: DataFrame) -> Column:
+    fence = iqr_fence(discounts).select("fence").scalar()
     return or_false(F.col("discount_pct").cast("double") > fence)
 
 
@@ -158,9 +158,9 @@ CHECKS = (
 )
 
 
-def check_names(orders: DataFrame, years: tuple[int, int]) -> DataFrame:
+def check_names(discounts: DataFrame, years: tuple[int, int]) -> DataFrame:
     """The twelve checks as rows (check_no, check_name)."""
-    fence = iqr_fence(orders.select("discount_pct")).select("fence").scalar()
+    fence = iqr_fence(discounts).select("fence").scalar()
     whole = F.bround(fence, 0).cast("bigint").cast("string")
     span = str(years[0]) if years[0] == years[1] else f"{years[0]}-{years[1]}"
     rows = []
@@ -171,18 +171,27 @@ def check_names(orders: DataFrame, years: tuple[int, int]) -> DataFrame:
         else:
             name = F.lit(text.replace("{years}", span))
         rows.append((number, name))
-    return literal_rows(orders.sparkSession, ("check_no", "check_name"), rows)
+    return literal_rows(discounts.sparkSession, ("check_no", "check_name"), rows)
 
 
 def violation_counts(
-    orders: DataFrame, customers: DataFrame, products: DataFrame, years: tuple[int, int]
+    orders: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    years: tuple[int, int],
+    discounts: DataFrame | None = None,
 ) -> DataFrame:
-    """(check_no, order_id, copies): how often each check flags each id."""
+    """(check_no, order_id, copies): how often each check flags each id.
+
+    ``discounts`` is the discount column of the same orders, for a source that can give it
+    with less work; the functions below take it too.
+    """
+    discounts = orders.select("discount_pct") if discounts is None else discounts
     row_rules = {
         1: has_missing(orders.columns),
         4: bad_status(),
         5: or_false(F.col("quantity") <= 0),
-        6: above_fence(orders),
+        6: above_fence(discounts),
         7: F.col("_customer").isNull(),
         8: F.col("_product").isNull(),
         9: gross_differs(),
@@ -211,11 +220,16 @@ def violation_counts(
 
 
 def violations(
-    orders: DataFrame, customers: DataFrame, products: DataFrame, years: tuple[int, int]
+    orders: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    years: tuple[int, int],
+    discounts: DataFrame | None = None,
 ) -> DataFrame:
     """Long form, whole: one row per check and flagged occurrence."""
-    counts = violation_counts(orders, customers, products, years)
-    names = check_names(orders, years)
+    discounts = orders.select("discount_pct") if discounts is None else discounts
+    counts = violation_counts(orders, customers, products, years, discounts)
+    names = check_names(discounts, years)
     return (
         repeat_rows(counts, "copies", "_copy")
         .join(F.broadcast(names), "check_no")  # twelve rows
@@ -224,14 +238,19 @@ def violations(
 
 
 def summary(
-    orders: DataFrame, customers: DataFrame, products: DataFrame, years: tuple[int, int]
+    orders: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    years: tuple[int, int],
+    discounts: DataFrame | None = None,
 ) -> DataFrame:
     """The log: every check with its number of rows and the ids joined by ``, ``.
 
     The list is whole. It is cut into pages of ``IDS_PER_PAGE`` ids, one row each, so no
     row grows with the data; checks without hits have one row with ``-``.
     """
-    counts = violation_counts(orders, customers, products, years).withColumn(
+    discounts = orders.select("discount_pct") if discounts is None else discounts
+    counts = violation_counts(orders, customers, products, years, discounts).withColumn(
         "order_id", F.coalesce("order_id", F.lit("nan"))
     )
     single = repeat_rows(counts, "copies", "_copy").withColumn("_one", F.lit(1).cast("bigint"))
@@ -244,7 +263,7 @@ def summary(
     )
     # Pages of one check, without their lists: ids / IDS_PER_PAGE small rows.
     totals = pages.groupBy("check_no").agg(F.sum("on_page").alias("rows_affected"))
-    checks = check_names(orders, years).join(totals, "check_no", "left")
+    checks = check_names(discounts, years).join(totals, "check_no", "left")
     return (
         checks.join(pages, "check_no", "left")
         .select(
@@ -259,11 +278,15 @@ def summary(
 
 
 def affected_rows(
-    orders: DataFrame, customers: DataFrame, products: DataFrame, years: tuple[int, int]
+    orders: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    years: tuple[int, int],
+    discounts: DataFrame | None = None,
 ) -> DataFrame:
     """The full rows of every flagged order id."""
     flagged = (
-        violation_counts(orders, customers, products, years)
+        violation_counts(orders, customers, products, years, discounts)
         .select(F.col("order_id").alias("_flagged"))
         .distinct()
     )

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orderlens.schema import MONEY_COLUMNS, ORDER_COLUMNS, ORDERS_RAW, PERCENT, RAW_MONEY
 
@@ -24,6 +25,7 @@ FAULTS = {
     "discount": (79, 26),
     "status": (73, 7),
 }
+_schemas: dict[str, StructType] = {}
 ORDER_LEVEL = {"order_date", "customer_id", "payment_status"}
 
 
@@ -42,21 +44,25 @@ class StarSource:
         self.path = path.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A source table; its schema is looked up in the files once per process."""
+        file = f"{self.path}/{name}.parquet"
+        if file not in _schemas:
+            _schemas[file] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(_schemas[file]).parquet(file)
 
     @property
     def customers(self) -> DataFrame:
-        nation = self.table("nation").select("n_nationkey", "n_name")
-        return (
-            self.table("customer")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                F.concat(F.lit("C"), "c_custkey").alias("customer_id"),
-                F.col("c_name").alias("customer_name"),
-                F.col("n_name").alias("city"),
-                F.col("c_mktsegment").alias("customer_type"),
-                F.lit(None).cast("date").alias("join_date"),
-            )
+        # The 25 nations come in as one map value. As a join they would make Spark take the
+        # customers for far too large to broadcast.
+        nations = self.table("nation").agg(
+            F.map_from_entries(F.collect_list(F.struct("n_nationkey", "n_name")))
+        )
+        return self.table("customer").select(
+            F.concat(F.lit("C"), "c_custkey").alias("customer_id"),
+            F.col("c_name").alias("customer_name"),
+            F.try_element_at(nations.scalar(), F.col("c_nationkey")).alias("city"),
+            F.col("c_mktsegment").alias("customer_type"),
+            F.lit(None).cast("date").alias("join_date"),
         )
 
     @property
