@@ -63,9 +63,7 @@ SOURCES: dict[str, Report] = {
     ),
     "preview": lambda s: profiling.preview(s.raw(), "order_id"),
     "preview_clean": lambda s: profiling.preview(s.clean(), "order_id"),
-    "preview_customers": lambda s: sql_reports.largest(
-        frame_reports.customers(s), "net_sales", 10, "customer_id"
-    ),
+    "preview_customers": frame_reports.first_customers,
     "profile_nulls": lambda s: profiling.profile_nulls(s.raw()),
     "describe_numeric": lambda s: profiling.describe_numeric(s.raw()),
     "value_counts_payment_status": _counts("orders", "payment_status"),
@@ -192,7 +190,16 @@ FINDINGS: dict[str, Report] = {
     "below_avg_categories": findings.below_average_categories,
     "slow_months": findings.slow_months,
     "dashboard_cube": dashboard.cube,
-    "kpi_filtered": lambda s: dashboard.filtered(s, **SLICE),
+    "kpi_filtered": lambda s: sql_reports.headline(dashboard.Selection(s, **SLICE)),
+    "chart_monthly_trend_filtered": lambda s: charts.monthly_trend(
+        dashboard.Selection(s, category=SLICE["category"])
+    ),
+    "chart_city_customer_type_filtered": lambda s: charts.city_customer_type(
+        dashboard.Selection(s, salesperson=SLICE["salesperson"])
+    ),
+    "chart_discount_margin_filtered": lambda s: charts.discount_margin(
+        dashboard.Selection(s, **SLICE)
+    ),
 }
 
 CHARTS: dict[str, Report] = {

@@ -6,7 +6,7 @@ columns plans only those three.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,33 +33,30 @@ from orderlens.schema import (
 TEXT_CLEANERS = {"payment_status": clean_status, "salesperson": strip_title}
 
 
-def _features() -> dict[str, tuple[tuple[str, ...], Column]]:
-    """Derived column -> (columns it needs, expression)."""
-    day = F.col("order_date")
-    return {
-        "year_month": (("order_date",), year_month(day)),
-        "order_month_num": (("order_date",), F.month(day)),
-        "order_month": (("order_date",), month_name(day)),
-        "quarter": (("order_date",), quarter_label(day)),
-        "profit_margin_pct": (
-            ("profit", "net_sales"),
-            order_margin(F.col("profit"), F.col("net_sales")),
-        ),
-        "is_loss": (("profit",), or_false(F.col("profit") < 0)),
-        "discount_band": (("discount_pct",), band_by_bins(F.col("discount_pct"))),
-        "discount_outlier": (
-            ("discount_pct",),
-            or_false(F.col("discount_pct") > OUTLIER_DISCOUNT),
-        ),
-    }
+# Derived column -> (order columns it needs, expression).
+FEATURES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "year_month": (("order_date",), lambda: year_month(F.col("order_date"))),
+    "order_month_num": (("order_date",), lambda: F.month("order_date")),
+    "order_month": (("order_date",), lambda: month_name(F.col("order_date"))),
+    "quarter": (("order_date",), lambda: quarter_label(F.col("order_date"))),
+    "profit_margin_pct": (
+        ("profit", "net_sales"),
+        lambda: order_margin(F.col("profit"), F.col("net_sales")),
+    ),
+    "is_loss": (("profit",), lambda: or_false(F.col("profit") < 0)),
+    "discount_band": (("discount_pct",), lambda: band_by_bins(F.col("discount_pct"))),
+    "discount_outlier": (
+        ("discount_pct",),
+        lambda: or_false(F.col("discount_pct") > OUTLIER_DISCOUNT),
+    ),
+}
 
 
 def inputs_of(columns: Iterable[str]) -> set[str]:
     """The raw order columns needed for these cleaned columns, with those of the removals."""
-    features = _features()
     needed = {"product_id", "quantity"}
     for name in columns:
-        needed.update(features[name][0] if name in features else (name,))
+        needed.update(FEATURES[name][0] if name in FEATURES else (name,))
     return needed
 
 
@@ -93,20 +90,21 @@ def mark_unknown_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def derive(orders: DataFrame) -> DataFrame:
+def derive(orders: DataFrame, names: Iterable[str] = tuple(FEATURES)) -> DataFrame:
     """Add derived columns and round money in one projection: margin and loss flag see the
     money as it came, before rounding."""
-    present = set(orders.columns)
     rounded = [
         money(F.col(c)).alias(c) if c in MONEY_COLUMNS else F.col(c) for c in orders.columns
     ]
-    derived = [e.alias(n) for n, (needs, e) in _features().items() if present.issuperset(needs)]
-    return orders.select(*rounded, *derived)
+    return orders.select(*rounded, *[FEATURES[n][1]().alias(n) for n in names])
 
 
-def clean_orders(raw: DataFrame, products: DataFrame) -> DataFrame:
-    """Cleaned order lines without master attributes."""
-    return derive(clean_text(drop_orphan_product(drop_bad_quantity(raw), products)))
+def clean_orders(raw: DataFrame, products: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The asked columns of the cleaned order lines, without master attributes. ``raw`` needs
+    the columns that ``inputs_of`` names."""
+    kept = drop_orphan_product(drop_bad_quantity(raw), products)
+    derived = [c for c in columns if c in FEATURES]
+    return derive(clean_text(kept), derived).select(*columns)
 
 
 def add_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:

@@ -742,6 +742,14 @@ def _findings() -> dict[str, str]:
     }
 
 
+def _narrowed(statement: str, where: str) -> str:
+    """The same statement on a part of the cleaned lines."""
+    old = "WHERE (quantity > 0 OR quantity IS NULL)"
+    if statement.count(old) != 1:
+        raise ValueError("unexpected statement")
+    return statement.replace(old, f"{old} AND {where}")
+
+
 def _charts() -> dict[str, str]:
     def text(column: str, before: str = "") -> str:
         return f"'{before}' || format('{{:.1f}}', {column}) || '%'"
@@ -786,8 +794,23 @@ def _charts() -> dict[str, str]:
     }
 
 
+def _filtered_charts() -> dict[str, str]:
+    charts = _charts()
+    person = f"salesperson = '{SLICE['salesperson']}'"
+    category = (
+        f"product_id IN (SELECT product_id FROM prod WHERE category = '{SLICE['category']}')"
+    )
+    cases = {
+        "chart_monthly_trend": category,
+        "chart_city_customer_type": person,
+        "chart_discount_margin": f"{person} AND {category}",
+    }
+    return {f"{name}_filtered": _narrowed(charts[name], where) for name, where in cases.items()}
+
+
 def statements() -> dict[str, str]:
     return {
+        **_filtered_charts(),
         **_sources(),
         **_quality(),
         **_cleaning(),

@@ -34,16 +34,28 @@ def cube(sales: Sales) -> DataFrame:
     )
 
 
-def filtered(
-    sales: Sales, salesperson: str | None = None, category: str | None = None
-) -> DataFrame:
-    """The headline figures for one selection."""
-    columns = [*KPI_SUMS, *(["salesperson"] if salesperson else [])]
-    columns += ["product_id"] if category else []
-    lines = sales.facts(*columns)
-    if salesperson:
-        lines = lines.filter(F.col("salesperson") == salesperson)
-    if category:
-        chosen = sales.products.filter(F.col("category") == category).select("product_id")
-        lines = lines.join(chosen, "product_id", "left_semi")
-    return totals(lines, [], KPI_SUMS).select(*kpi_columns())
+class Selection:
+    """The sales of one salesperson and/or category. Every report and chart takes it in place
+    of the whole sales; ``None`` selects all."""
+
+    def __init__(self, sales: Sales, salesperson: str | None = None, category: str | None = None):
+        self.sales, self.salesperson, self.category = sales, salesperson, category
+        self.customers, self.products = sales.customers, sales.products
+
+    def _pick(self, lines: DataFrame) -> DataFrame:
+        if self.salesperson is not None:
+            lines = lines.filter(F.col("salesperson") == self.salesperson)
+        if self.category is not None:
+            chosen = self.products.filter(F.col("category") == self.category)
+            lines = lines.join(chosen.select("product_id"), "product_id", "left_semi")
+        return lines
+
+    def facts(self, *columns: str) -> DataFrame:
+        keys = [*(["salesperson"] if self.salesperson is not None else [])]
+        keys += ["product_id"] if self.category is not None else []
+        needed = dict.fromkeys([*columns, *keys])
+        return self._pick(self.sales.facts(*needed)).select(*columns)
+
+    def clean(self) -> DataFrame:
+        clean = self.sales.clean()
+        return self._pick(clean).select(*clean.columns)

@@ -203,6 +203,22 @@ def customers(sales: Sales) -> DataFrame:
     ).orderBy(F.desc("net_sales"), "customer_id")
 
 
+def first_customers(sales: Sales, n: int = 10) -> DataFrame:
+    """The head of ``customers`` without ranking them all: the running sum is over the top
+    rows only, and both sums stand on the same totals per customer."""
+    people = per_customer(sales, MONEY_SUMS, frame=True).filter(F.col("customer_id").isNotNull())
+    everything = people.agg(F.sum("net_sales")).scalar()
+    running = F.sum("net_sales").over(
+        W.orderBy(F.desc("net_sales"), "customer_id").rowsBetween(W.unboundedPreceding, 0)
+    )
+    return (
+        largest(people, "net_sales", n, "customer_id")
+        .withColumn("cum_share_pct", percent(running, everything))
+        .select(*CUSTOMER_KEYS, "orders", amount("net_sales"), amount("profit"), "cum_share_pct")
+        .orderBy(F.desc("net_sales"), "customer_id")
+    )
+
+
 def pareto(sales: Sales, share: float = 0.2) -> DataFrame:
     """Share of sales that the top fifth of the customers (rounded up) brings."""
     ranked = _ranked_customers(sales)

@@ -38,6 +38,22 @@ def _raw_money(value: Column) -> Column:
     return value.cast(RAW_MONEY)
 
 
+def _order_id() -> Column:
+    keys = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    keys.append(F.col("l_quantity").cast("bigint").cast("string"))
+    dashed = [part for key in keys for part in (F.lit("-"), key)][1:]
+    return F.concat(F.lit("O"), *dashed)
+
+
+def _status() -> Column:
+    known = (
+        F.when(F.col("o_orderstatus") == "F", "Paid")
+        .when(F.col("o_orderstatus") == "O", "Pending")
+        .when(F.col("o_orderstatus") == "P", "Overdue")
+    )
+    return F.when(_fault("status"), "pending").otherwise(known)
+
+
 class StarSource:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -97,33 +113,24 @@ class StarSource:
                 "discount_pct": F.when(_fault("discount"), F.lit(35).cast(PERCENT)).otherwise(
                     F.round(F.col("l_discount") * 200).cast(PERCENT)
                 ),
+                **self._plain(wanted),
             }
         )
         if wanted & set(MONEY_COLUMNS):
             rows = self._with_money(rows)
-        rows = rows.withColumns(self._plain(wanted))
         return rows.select(*[c for c in ORDERS_RAW.names if c in wanted])
 
     def _plain(self, wanted: set[str]) -> dict[str, Column]:
-        status = (
-            F.when(F.col("o_orderstatus") == "F", "Paid")
-            .when(F.col("o_orderstatus") == "O", "Pending")
-            .when(F.col("o_orderstatus") == "P", "Overdue")
-        )
-        parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-        pieces = [F.col(c).cast("string") for c in parts]
-        pieces.append(F.col("l_quantity").cast("bigint").cast("string"))
-        dashed = [p for piece in pieces for p in (F.lit("-"), piece)][1:]
         columns = {
-            "order_id": F.concat(F.lit("O"), *dashed),
-            "order_date": F.col("o_orderdate").cast("date"),
-            "customer_id": F.when(_fault("customer"), "C999X").otherwise(
+            "order_id": _order_id,
+            "order_date": lambda: F.col("o_orderdate").cast("date"),
+            "customer_id": lambda: F.when(_fault("customer"), "C999X").otherwise(
                 F.concat(F.lit("C"), "o_custkey")
             ),
-            "payment_status": F.when(_fault("status"), "pending").otherwise(status),
-            "salesperson": F.col("s_name"),
+            "payment_status": _status,
+            "salesperson": lambda: F.col("s_name"),
         }
-        return {name: value for name, value in columns.items() if name in wanted}
+        return {name: value() for name, value in columns.items() if name in wanted}
 
     def _with_money(self, rows: DataFrame) -> DataFrame:
         price = F.col("p_retailprice").cast("decimal(12,2)")

@@ -36,7 +36,7 @@ class LiveSales:
     def facts(self, *columns: str) -> DataFrame:
         """Cleaned order lines with the asked order and derived columns."""
         raw = self.source.orders_raw(cleaning.inputs_of(columns))
-        return cleaning.clean_orders(raw, self.products).select(*columns)
+        return cleaning.clean_orders(raw, self.products, columns)
 
     def clean(self) -> DataFrame:
         return cleaning.build_clean(self.raw(), self.customers, self.products)

@@ -271,9 +271,12 @@ def test_dashboard(sales):
     assert rows(everything) == rows(sql_reports.headline(sales))
     one = cube.filter("salesperson = 'Neha' AND category = 'Safety'")
     assert rows(one, "total_orders", "net_sales") == [(2, 949.0)]
-    picked = dashboard.filtered(sales, salesperson="Neha", category="Safety")
-    assert rows(picked, "total_orders", "net_sales") == [(2, 949.0)]
-    assert rows(dashboard.filtered(sales)) == rows(sql_reports.headline(sales))
+    picked = dashboard.Selection(sales, salesperson="Neha", category="Safety")
+    assert rows(sql_reports.headline(picked), "total_orders", "net_sales") == [(2, 949.0)]
+    assert rows(frame_reports.monthly(picked), "order_month") == [("Jan",), ("Mar",)]
+    assert ids(picked.clean()) == ["O3", "O8"]
+    everything = dashboard.Selection(sales)
+    assert rows(sql_reports.headline(everything)) == rows(sql_reports.headline(sales))
 
 
 def test_profiling(sales):
