@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontamination
+from orderlens.llm import decontamination, quality_rules
 from orderlens.llm.packing import pack
 from orderlens.llm.shared import table
 
@@ -20,9 +20,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measured(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_packing": op5_packing,
+    "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_quality_rules": quality_rules.ORACLE,
+}
