@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, quality_rules
+from orderlens.llm import decontamination, line_dedup, quality_rules
 from orderlens.llm.packing import pack
 from orderlens.llm.shared import table
 
@@ -24,10 +25,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", "n_removed", F.col("clean").alias("text"))
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_packing": op5_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
