@@ -51,12 +51,21 @@ def window_codes(codes: np.ndarray, width: int, base: np.uint64 = WINDOW_BASE) -
     return mix((sums[width:] - sums[:-width]) * powers(inverse(base), n - width + 1))
 
 
+class Spans:
+    """Codes of any byte spans of one batch, from one pass over its bytes."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=self.sums[1:])
+        self.back = powers(inverse(BASE), len(data) + 1)
+
+    def codes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+
+
 def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The code of each byte span."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(inverse(BASE), n + 1)[starts])
+    return Spans(data).codes(starts, ends)
 
 
 @dataclass
