@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, line_dedup, quality_model, quality_rules, toxicity
+from orderlens.llm import decontamination, line_dedup, personal_data, quality_model, quality_rules, toxicity
 from orderlens.llm.packing import pack
 from orderlens.llm.shared import table
 
@@ -15,6 +15,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(docs, items))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.spans(table(spark, sf_dir, "documents")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_personal_data": op4_personal_data,
     "op5_packing": op5_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
