@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, line_dedup, personal_data, quality_model, quality_rules, substring_dedup, toxicity
+from orderlens.llm import decontamination, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, substring_dedup, toxicity
 from orderlens.llm.packing import pack
 from orderlens.llm.shared import table
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.digest(decontamination.contamination(docs, items))
@@ -48,6 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_personal_data": op4_personal_data,
     "op5_packing": op5_packing,
