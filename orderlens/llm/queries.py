@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, substring_dedup, toxicity
+from orderlens.llm import decontamination, html_text, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, substring_dedup, toxicity
 from orderlens.llm.packing import pack
 from orderlens.llm.shared import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
@@ -52,6 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_personal_data": op4_personal_data,
