@@ -161,6 +161,35 @@ def contamination(
     return hits
 
 
+def uncontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    width: int = 10,
+    block_chars: int = 8_000_000,
+) -> DataFrame:
+    """The rows, all columns, in whose text no window of the benchmark occurs."""
+    spark = prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def scanner(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            patterns = automaton(sent.value, width)
+            for batch in batches:
+                if patterns and batch.num_rows:
+                    texts = batch.column(at).cast(pa.string()).to_pylist()
+                    batch = batch.filter(pa.array([not (t and scan(normalised(t), patterns)[0]) for t in texts]))
+                yield batch
+
+        return run
+
+    for block in blocks(benchmark, item_col, item_text_col, block_chars):
+        docs = docs.mapInArrow(scanner(spark.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
 def schema_of(ddl: str) -> pa.Schema:
     longs, strings = pa.list_(pa.int64()), pa.list_(pa.string())
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
