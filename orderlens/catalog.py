@@ -47,6 +47,12 @@ def _line_ids(sales: Sales) -> DataFrame:
     return sales.raw("order_id").select(F.substring_index("order_id", "-", 2).alias("order_id"))
 
 
+def _line_rows(sales: Sales) -> DataFrame:
+    """Rows of several columns that repeat as a whole on the supplied lines."""
+    rows = sales.raw("order_id", "order_date", "customer_id", "payment_status")
+    return rows.withColumn("order_id", F.substring_index("order_id", "-", 2))
+
+
 def _counts(table: str, column: str) -> Report:
     if table == "orders":
         return lambda s: profiling.value_counts(s.raw(column), column)
@@ -61,8 +67,8 @@ SOURCES: dict[str, Report] = {
             "Products": (s.products, len(PRODUCTS)),
         }
     ),
-    "preview": lambda s: profiling.preview(s.raw(), "order_id"),
-    "preview_clean": lambda s: profiling.preview(s.clean(), "order_id"),
+    "preview": lambda s: profiling.preview(s.raw(), s.raw("order_id"), "order_id"),
+    "preview_clean": lambda s: profiling.preview(s.clean(), s.facts("order_id"), "order_id"),
     "preview_customers": frame_reports.first_customers,
     "profile_nulls": lambda s: profiling.profile_nulls(s.raw()),
     "describe_numeric": lambda s: profiling.describe_numeric(s.raw()),
@@ -79,7 +85,7 @@ QUALITY: dict[str, Report] = {
     "dq_dup_id": lambda s: quality.repeated_ids(s.raw("order_id")),
     "dq_dup_id_by_line": lambda s: quality.repeated_ids(_line_ids(s)),
     "dq_dup_row": lambda s: quality.repeated_rows(s.raw()),
-    "dq_dup_row_by_line": lambda s: quality.repeated_rows(_line_ids(s)),
+    "dq_dup_row_by_line": lambda s: quality.repeated_rows(_line_rows(s)),
     "dq_bad_status": _ids(quality.bad_status, "payment_status"),
     "dq_qty": lambda s: quality.ids_where(s.raw("order_id", "quantity"), F.col("quantity") <= 0),
     "dq_iqr_outlier": lambda s: quality.iqr_outliers(s.raw("order_id", "discount_pct")),
@@ -96,6 +102,7 @@ QUALITY: dict[str, Report] = {
     "dq_date_range": _ids(lambda: quality.outside_years(*EXPECTED_YEARS), "order_date"),
     "dq_violations": _checked(quality.violations),
     "dq_summary": _checked(quality.summary),
+    "dq_id_pages": _checked(quality.id_pages),
     "dq_affected_rows": _checked(quality.affected_rows),
     "dq_row_counts": lambda s: cleaning.row_counts(s.raw("product_id", "quantity"), s.products),
     "dq_orphans": lambda s: quality.orphans(

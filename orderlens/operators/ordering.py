@@ -59,115 +59,102 @@ def rank_desc(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
 
 
 def repeat_rows(df: DataFrame, copies: str, index: str) -> DataFrame:
-    """Each row ``copies`` times with a running ``index``. A row with very many copies is
-    first cut into chunks that are spread over the cluster; the others stay where they are."""
+    """Each row ``copies`` times with a running ``index``. Every row is first cut into chunks
+    of at most ``COPIES_PER_CHUNK`` copies, which Spark spreads evenly by their size."""
     number, size = F.col(copies), F.lit(COPIES_PER_CHUNK).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    few = df.filter((number > 0) & (number <= size))
-    few = few.withColumn(index, F.explode(F.sequence(zero, number - 1)))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.col("_chunk") * size
-    many = (
-        df.filter(number > size)
+    return (
+        df.filter(number > 0)
         .withColumn("_chunk", F.explode(F.sequence(zero, F.floor((number - 1) / size))))
-        .repartition(tasks, *df.columns, "_chunk")
+        .hint("rebalance")
         .withColumn(index, F.explode(F.sequence(first, F.least(number, first + size) - 1)))
         .drop("_chunk")
     )
-    return few.unionByName(many)
 
 
-def exact_quantiles(df: DataFrame, probs: dict[str, float]) -> DataFrame:
+def quantile_sketch(columns: dict[str, Column], probs: dict[str, float], slack: float | None = None) -> list[Column]:
+    """Aggregates whose row tells ``exact_quantiles`` where each quantile surely lies: values
+    a little before and behind it, by a sketch with a known rank error."""
+    slack = 2 / SKETCH_ACCURACY if slack is None else slack
+    around = [min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-slack, slack)]
+    return [F.percentile_approx(v, around, SKETCH_ACCURACY).alias(f"_near_{c}") for c, v in columns.items()]
+
+
+def exact_quantiles(df: DataFrame, probs: dict[str, float], sketch: DataFrame | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles of each column of ``df`` (all double): one row
     per column with the names of ``probs``.
 
-    A sketch with a known rank error brackets each quantile. Rows below a bracket are only
-    counted; the few inside it are brought into order. No step shuffles the table.
+    ``sketch`` is the row of ``quantile_sketch``, for a caller that has it from another pass.
+    One pass then counts each value inside the brackets, and the rows before, between and
+    behind them as a whole; only these counts are brought into order. A quantile outside its
+    bracket, which the sketch's error bound excludes, would widen the brackets.
     """
-    brackets = _brackets(df, probs)
-    edges = []
-    for (column, quantile), (low, high) in brackets.items():
+    slack = 2 / SKETCH_ACCURACY
+    columns = {c: F.col(c) for c in df.columns}
+    while True:
+        if sketch is None:
+            sketch = df.agg(*quantile_sketch(columns, probs, slack))
+        found = _quantiles_near(df, probs, _spans(sketch.first(), df.columns))
+        if found.filter("outside").isEmpty():
+            return found.drop("outside")
+        slack, sketch = slack * 16, None
+
+
+def _spans(sketch, columns: list[str]) -> dict[str, list[tuple[float, float]]]:
+    """Per column the brackets in order, overlapping ones merged: a handful of numbers."""
+    spans: dict[str, list[tuple[float, float]]] = {}
+    for column in columns:
+        merged: list[tuple[float, float]] = []
+        for low, high in sorted(batched(sketch[f"_near_{column}"] or [0.0, 0.0], 2)):
+            if merged and low <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+            else:
+                merged.append((low, high))
+        spans[column] = merged
+    return spans
+
+
+def _quantiles_near(df: DataFrame, probs: dict[str, float], spans: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    rows = []
+    for column, merged in spans.items():
         value = F.col(column)
-        edges.append(
-            F.struct(
-                F.lit(column).alias("column"),
-                F.lit(quantile).alias("quantile"),
-                F.lit(low).alias("low"),
-                F.lit(high).alias("high"),
-                ((F.count(value) - 1) * F.lit(probs[quantile])).alias("spot"),
-                F.count_if(value < low).alias("below"),
-                F.max(F.when(value < low, value)).alias("last_below"),
-                F.min(F.when(value > high, value)).alias("first_above"),
-            )
+        # Even: before, between or behind brackets; odd: inside one.
+        region = reduce(
+            lambda a, b: a + b, [(value >= low).cast("int") + (value > high).cast("int") for low, high in merged]
         )
-    # From here on the small side has one row per column and quantile.
-    edges = stage(df.agg(F.array(*edges).alias("edges")).select(F.inline("edges")))
+        rows.append(F.struct(F.lit(column).alias("column"), region.alias("region"), value.alias("value")))
+    inside = F.when(F.col("region") % 2 == 1, F.col("value"))
     counts = (
-        _rows_near(df, brackets)
-        .join(F.broadcast(edges.select("column", "quantile", "low", "high")), "column")
-        .filter(F.col("value").between(F.col("low"), F.col("high")))
-        .select("column", "quantile", "value", "n")
-    )
-    cell = ["column", "quantile"]
-    placed = running_before(counts, [F.col("value").asc()], {"start": "n"}, cell)
-    picked = placed.join(F.broadcast(edges), cell).groupBy(*cell).agg(
-        F.sum("n").alias("inside"), *[_value_at(at, n) for n, at in _neighbours().items()]
-    )
-    found = edges.join(F.broadcast(picked), cell, "left").withColumns(
-        {n: _or_edge(n, at) for n, at in _neighbours().items()}
-    )
-    weight = F.col("spot") - F.floor("spot")
-    value = F.col("lower") + (F.col("upper") - F.col("lower")) * weight
-    return found.groupBy("column").agg(
-        *[F.max(F.when(F.col("quantile") == q, value)).alias(q) for q in probs]
-    )
-
-
-def _brackets(
-    df: DataFrame, probs: dict[str, float]
-) -> dict[tuple[str, str], tuple[float, float]]:
-    """Per column and quantile two values surely before and after it: a handful of numbers."""
-    slack = 2 / SKETCH_ACCURACY
-    around = [min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-slack, slack)]
-    sketch = df.agg(*[F.percentile_approx(c, around, SKETCH_ACCURACY).alias(c) for c in df.columns])
-    found = sketch.first()
-    none = [0.0] * len(around)
-    return {
-        (c, q): pair for c in df.columns for q, pair in zip(probs, batched(found[c] or none, 2))
-    }
-
-
-def _rows_near(
-    df: DataFrame, brackets: dict[tuple[str, str], tuple[float, float]]
-) -> DataFrame:
-    """How often each value inside some bracket of its column occurs."""
-    near = []
-    for column in df.columns:
-        spans = [span for (name, _), span in brackets.items() if name == column]
-        inside = [F.col(column).between(low, high) for low, high in spans]
-        row = F.struct(F.lit(column).alias("column"), F.col(column).alias("value"))
-        near.append(F.when(reduce(lambda a, b: a | b, inside), row))
-    rows = df.select(F.inline(F.array_compact(F.array(*near))))
-    return rows.groupBy("column", "value").agg(F.count("*").alias("n"))
-
-
-def _neighbours() -> dict[str, Column]:
-    """The two positions, counted from 0, between which a quantile lies."""
-    return {"lower": F.floor("spot"), "upper": F.ceil("spot")}
-
-
-def _value_at(at: Column, name: str) -> Column:
-    first = F.col("below") + F.col("start")
-    hit = (first <= at) & (at < first + F.col("n"))
-    return F.max(F.when(hit, F.col("value"))).alias(name)
-
-
-def _or_edge(name: str, at: Column) -> Column:
-    """The value found inside the bracket, or the next one at either side of it."""
-    end = F.col("below") + F.coalesce("inside", F.lit(0))
-    return (
-        F.when(F.col(name).isNotNull() | (F.col("spot") < 0), F.col(name))
-        .when(at == F.col("below") - 1, F.col("last_below"))
-        .when(at == end, F.col("first_above"))
-        .otherwise(F.raise_error(F.lit("quantile outside its bracket")))
+        df.select(F.inline(F.array(*rows)))
+        .filter(F.col("value").isNotNull())
+        .groupBy("column", "region", inside.alias("inside"))
+        .agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
     )
+    order = [F.col("region").asc(), F.col("inside").asc()]
+    placed = running_before(counts, order, {"start": "n"}, ["column"])
+    # One row per column.
+    sizes = placed.groupBy("column").agg(F.sum("n").alias("rows"))
+    picked = []
+    for name, p in probs.items():
+        spot = (F.col("rows") - 1) * F.lit(p)
+        for side, at in (("lower", F.floor(spot)), ("upper", F.ceil(spot))):
+            here = (F.col("start") <= at) & (at < F.col("start") + F.col("n"))
+            edge = F.when(at == F.col("start"), F.col("least")).when(at == F.col("start") + F.col("n") - 1, F.col("most"))
+            known = F.coalesce("inside", edge)
+            picked += [
+                F.max(F.when(here, known)).alias(f"{side}_{name}"),
+                F.coalesce(F.bool_or(here & known.isNull()), F.lit(False)).alias(f"no_{side}_{name}"),
+            ]
+    found = placed.join(F.broadcast(sizes), "column").groupBy("column").agg(F.max("rows").alias("rows"), *picked)
+    outside = reduce(lambda a, b: a | b, [F.col(f"no_{side}_{n}") for n in probs for side in ("lower", "upper")])
+    values = []
+    for name, p in probs.items():
+        spot = (F.col("rows") - 1) * F.lit(p)
+        low, high = F.col(f"lower_{name}"), F.col(f"upper_{name}")
+        values.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+    named = F.array(*[F.struct(F.lit(c).alias("column")) for c in df.columns])
+    every = df.sparkSession.range(1).select(F.inline(named))
+    found = found.select("column", *values, outside.alias("outside"))
+    # A column without values has no row yet.
+    return every.join(F.broadcast(found), "column", "left").fillna(False, ["outside"])

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.functions.columns import dbl
-from orderlens.operators.ordering import exact_quantiles
+from orderlens.operators.ordering import exact_quantiles, quantile_sketch
 from orderlens.schema import RAW_MONEY
+from orderlens.session import stage
 
 
 def shape_report(tables: dict[str, tuple[DataFrame, int]]) -> DataFrame:
@@ -24,9 +25,13 @@ def shape_report(tables: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """The first rows by ``key``."""
-    return df.orderBy(F.col(key).asc_nulls_last()).limit(n)
+def preview(df: DataFrame, keys: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first rows by ``key``. ``keys`` holds the key alone: the n-th smallest comes from it,
+    and only rows up to there are joined and ordered."""
+    head = keys.filter(F.col(key).isNotNull()).select(key).orderBy(key).limit(n)
+    bound = head.agg(F.max(key).alias("last"), F.count("*").alias("found"))
+    near = (F.col(key) <= bound.select("last").scalar()) | (bound.select("found").scalar() < n)
+    return df.filter(near).orderBy(F.col(key).asc_nulls_last()).limit(n)
 
 
 def profile_nulls(df: DataFrame) -> DataFrame:
@@ -64,11 +69,13 @@ def describe_numeric(df: DataFrame) -> DataFrame:
         )
         for c, v in values.items()
     ]
-    numbers = df.select(*[dbl(v).alias(c) for c, v in values.items()])
-    quartiles = exact_quantiles(numbers, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    doubles = {c: dbl(v) for c, v in values.items()}
+    # One row, from one pass: the statistics and where the quartiles lie.
+    first = stage(df.agg(F.array(*stats).alias("stats"), *quantile_sketch(doubles, probs)))
+    quartiles = exact_quantiles(df.select(*[v.alias(c) for c, v in doubles.items()]), probs, first)
     return (
-        df.agg(F.array(*stats).alias("stats"))
-        .select(F.inline("stats"))
+        first.select(F.inline("stats"))
         .join(F.broadcast(quartiles), "column", "left")  # one row per column
         .select("column", "count", "mean", "std", "min", "q1", "median", "q3", "max")
     )

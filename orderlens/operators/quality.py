@@ -9,16 +9,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import or_false
 from orderlens.operators.ordering import repeat_rows, running_before
 from orderlens.schema import MONEY_TOLERANCE, OUTLIER_DISCOUNT, STATUSES, literal_rows
 
-IDS_PER_PAGE = 1000
-NO_IDS = "-"
-
 
 def has_missing(columns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
@@ -96,11 +92,35 @@ def repeated_ids(orders: DataFrame, key: str = "order_id") -> DataFrame:
     return repeat_rows(extra, "copies", "_copy").select(key)
 
 
+def _row_code(columns: list[str]) -> list[Column]:
+    """128 bits that stand for a whole row. Missing values enter by their place, which the
+    hash alone would pass over."""
+    missing = F.array(*[F.col(c).isNull() for c in columns])
+    return [
+        F.xxhash64(*columns, missing).alias("_code"),
+        F.xxhash64(F.lit(1), missing, *reversed(columns)).alias("_other_code"),
+    ]
+
+
+def _copies_per_id(orders: DataFrame) -> DataFrame:
+    """(order_id, id_copies, row_copies): further occurrences of an id and of a whole row.
+
+    A repeated row repeats its id, so only the id and a code of the row are moved.
+    """
+    same = (
+        orders.select("order_id", *_row_code(orders.columns))
+        .groupBy("order_id", "_code", "_other_code")
+        .agg(F.count("*").alias("cnt"))
+    )
+    return same.groupBy("order_id").agg(
+        (F.sum("cnt") - 1).alias("id_copies"), F.sum(F.col("cnt") - 1).alias("row_copies")
+    )
+
+
 def repeated_rows(orders: DataFrame) -> DataFrame:
     """The id of every second and later occurrence of a whole row."""
-    same = orders.groupBy(*orders.columns).agg(F.count("*").alias("cnt"))
-    extra = same.filter(F.col("cnt") > 1).select("order_id", (F.col("cnt") - 1).alias("copies"))
-    return repeat_rows(extra, "copies", "_copy").select("order_id")
+    extra = _copies_per_id(orders).filter(F.col("row_copies") > 0)
+    return repeat_rows(extra, "row_copies", "_copy").select("order_id")
 
 
 def orphans(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
@@ -174,6 +194,28 @@ def check_names(discounts: DataFrame, years: tuple[int, int]) -> DataFrame:
     return literal_rows(discounts.sparkSession, ("check_no", "check_name"), rows)
 
 
+def _row_rules(orders: DataFrame, years: tuple[int, int], discounts: DataFrame) -> dict[int, Column]:
+    """The checks that look at one row, joined with what ``_with_masters`` adds."""
+    return {
+        1: has_missing(orders.columns),
+        4: bad_status(),
+        5: or_false(F.col("quantity") <= 0),
+        6: above_fence(discounts),
+        7: F.col("_customer").isNull(),
+        8: F.col("_product").isNull(),
+        9: gross_differs(),
+        10: net_differs(),
+        11: profit_differs(),
+        12: outside_years(*years),
+    }
+
+
+def _with_masters(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
+    known_product = products.select("product_id", F.lit(True).alias("_product"))
+    known_customer = customers.select("customer_id", F.lit(True).alias("_customer"))
+    return orders.join(known_product, "product_id", "left").join(known_customer, "customer_id", "left")
+
+
 def violation_counts(
     orders: DataFrame,
     customers: DataFrame,
@@ -187,30 +229,13 @@ def violation_counts(
     with less work; the functions below take it too.
     """
     discounts = orders.select("discount_pct") if discounts is None else discounts
-    row_rules = {
-        1: has_missing(orders.columns),
-        4: bad_status(),
-        5: or_false(F.col("quantity") <= 0),
-        6: above_fence(discounts),
-        7: F.col("_customer").isNull(),
-        8: F.col("_product").isNull(),
-        9: gross_differs(),
-        10: net_differs(),
-        11: profit_differs(),
-        12: outside_years(*years),
-    }
+    row_rules = _row_rules(orders, years, discounts)
     flags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in row_rules.items()]))
-    marked = (
-        orders.join(products.select("product_id", F.lit(True).alias("_product")), "product_id", "left")
-        .join(customers.select("customer_id", F.lit(True).alias("_customer")), "customer_id", "left")
-        .select("order_id", F.explode(flags).alias("check_no"))
+    marked = _with_masters(orders, customers, products).select(
+        "order_id", F.explode(flags).alias("check_no")
     )
     by_row = marked.groupBy("check_no", "order_id").agg(F.count("*").alias("copies"))
-    # Whole rows are counted once; the counts per id build on them.
-    same = orders.groupBy(*orders.columns).agg(F.count("*").alias("cnt"))
-    per_id = same.groupBy("order_id").agg(
-        (F.sum("cnt") - 1).alias("id_copies"), F.sum(F.col("cnt") - 1).alias("row_copies")
-    )
+    per_id = _copies_per_id(orders)
     both = F.array(
         F.struct(F.lit(2).alias("check_no"), F.col("id_copies").alias("copies")),
         F.struct(F.lit(3).alias("check_no"), F.col("row_copies").alias("copies")),
@@ -244,11 +269,28 @@ def summary(
     years: tuple[int, int],
     discounts: DataFrame | None = None,
 ) -> DataFrame:
-    """The log: every check with its number of rows and the ids joined by ``, ``.
+    """The log: one row per check with the number of rows it flags, at every size."""
+    discounts = orders.select("discount_pct") if discounts is None else discounts
+    counts = violation_counts(orders, customers, products, years, discounts)
+    totals = counts.groupBy("check_no").agg(F.sum("copies").alias("rows_affected"))
+    return (
+        check_names(discounts, years)
+        .join(totals, "check_no", "left")  # twelve rows on either side
+        .select("check_no", "check_name", F.coalesce("rows_affected", F.lit(0)).alias("rows_affected"))
+        .orderBy("check_no")
+    )
 
-    The list is whole. It is cut into pages of ``IDS_PER_PAGE`` ids, one row each, so no
-    row grows with the data; checks without hits have one row with ``-``.
-    """
+
+def id_pages(
+    orders: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    years: tuple[int, int],
+    discounts: DataFrame | None = None,
+    ids_per_page: int = 1000,
+) -> DataFrame:
+    """The flagged ids of every check joined by ``, ``, whole, in pages of ``ids_per_page``
+    ids, so that no row grows with the data. A missing id reads ``nan``."""
     discounts = orders.select("discount_pct") if discounts is None else discounts
     counts = violation_counts(orders, customers, products, years, discounts).withColumn(
         "order_id", F.coalesce("order_id", F.lit("nan"))
@@ -256,25 +298,12 @@ def summary(
     single = repeat_rows(counts, "copies", "_copy").withColumn("_one", F.lit(1).cast("bigint"))
     order = [F.col("order_id").asc(), F.col("_copy").asc()]
     placed = running_before(single, order, {"_place": "_one"}, ["check_no"])
-    page = (F.floor(F.col("_place") / IDS_PER_PAGE) + 1).cast("bigint")
+    page = (F.floor(F.col("_place") / ids_per_page) + 1).cast("bigint")
     pages = placed.groupBy("check_no", page.alias("page")).agg(
-        F.count("*").alias("on_page"),
-        F.array_join(F.sort_array(F.collect_list("order_id")), ", ").alias("order_ids"),
-    )
-    # Pages of one check, without their lists: ids / IDS_PER_PAGE small rows.
-    totals = pages.groupBy("check_no").agg(F.sum("on_page").alias("rows_affected"))
-    checks = check_names(discounts, years).join(totals, "check_no", "left")
-    return (
-        checks.join(pages, "check_no", "left")
-        .select(
-            "check_no",
-            "check_name",
-            F.coalesce("rows_affected", F.lit(0)).alias("rows_affected"),
-            F.coalesce("page", F.lit(1)).alias("page"),
-            F.coalesce("order_ids", F.lit(NO_IDS)).alias("order_ids"),
-        )
-        .orderBy("check_no", "page")
+        F.array_join(F.sort_array(F.collect_list("order_id")), ", ").alias("order_ids")
     )
+    names = F.broadcast(check_names(discounts, years))  # twelve rows
+    return pages.join(names, "check_no").select("check_no", "check_name", "page", "order_ids")
 
 
 def affected_rows(
@@ -284,10 +313,18 @@ def affected_rows(
     years: tuple[int, int],
     discounts: DataFrame | None = None,
 ) -> DataFrame:
-    """The full rows of every flagged order id."""
-    flagged = (
-        violation_counts(orders, customers, products, years, discounts)
-        .select(F.col("order_id").alias("_flagged"))
-        .distinct()
+    """The full rows of every flagged order id.
+
+    One narrow sum per id decides: some row of the id breaks a rule, or the id repeats (which
+    a repeated whole row always does).
+    """
+    discounts = orders.select("discount_pct") if discounts is None else discounts
+    broken = reduce(lambda a, b: a | b, _row_rules(orders, years, discounts).values())
+    per_id = (
+        _with_masters(orders, customers, products)
+        .select("order_id", broken.alias("_broken"))
+        .groupBy(F.col("order_id").alias("_flagged"))
+        .agg(F.bool_or("_broken").alias("_broken"), F.count("*").alias("cnt"))
     )
+    flagged = per_id.filter(F.col("_broken") | (F.col("cnt") > 1)).select("_flagged")
     return orders.join(flagged, F.col("order_id").eqNullSafe(F.col("_flagged")), "left_semi")

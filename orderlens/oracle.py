@@ -8,10 +8,43 @@ The statements share common table expressions: ``raw`` (orders with their plante
 from __future__ import annotations
 
 from orderlens.catalog import EXPECTED_YEARS, SLICE
-from orderlens.operators.cleaning import LOG_STEPS
-from orderlens.operators.quality import CHECKS, IDS_PER_PAGE
-from orderlens.plans.frame_reports import KPI_NAMES
-from orderlens.schema import BANDS, CLEAN_COLUMNS, MONEY_COLUMNS, ORDERS_RAW, STATUSES
+from orderlens.schema import CLEAN_COLUMNS, MONEY_COLUMNS, ORDERS_RAW
+
+# Labels and domains of its own, so that a wrong one in the code can't pass on both sides.
+STATUSES = ("Paid", "Pending", "Overdue")
+BANDS = ("0%", "1-5%", "6-10%", ">10%")
+CHECKS = (
+    "Missing values (any column)",
+    "Duplicate order_id",
+    "Fully duplicated rows",
+    "Invalid payment_status spelling/case",
+    "Quantity <= 0",
+    "Discount outlier (> {fence}% IQR fence)",
+    "customer_id not in Customers",
+    "product_id not in Products",
+    "gross_sales != qty x price",
+    "net_sales != gross - discount",
+    "profit != net - cost",
+    "Order date outside {years}",
+)
+LOG_STEPS = (
+    "Standardised payment_status / salesperson text",
+    "Removed orders with unknown product_id (missing financials)",
+    "Removed orders with quantity <= 0",
+)
+KPI_NAMES = (
+    "Total orders",
+    "Units sold",
+    "Gross sales (₹)",
+    "Discount given (₹)",
+    "Net sales (₹)",
+    "Total cost (₹)",
+    "Profit (₹)",
+    "Profit margin (%)",
+    "Avg order value (₹)",
+    "Active customers",
+    "Loss-making orders",
+)
 
 BASE = """
 WITH lines AS (
@@ -27,12 +60,15 @@ WITH lines AS (
 ), priced AS (
   SELECT *, CAST(price AS DECIMAL(18,4)) AS sell,
          CAST(price * CAST(70 + p_partkey % 20 AS DECIMAL(3,0)) * 0.01 AS DECIMAL(18,4)) AS unit,
-         CAST(qty * price AS DECIMAL(18,4)) AS gross
+         CAST(qty * price + CASE WHEN l_orderkey % 71 = 9 THEN 0.02 ELSE 0.00 END AS DECIMAL(18,4)) AS gross
   FROM lines
 ), costed AS (
   SELECT *, CAST(gross * pct * 0.01 AS DECIMAL(18,4)) AS disc,
-         CAST(qty * unit AS DECIMAL(18,4)) AS spent
+         CAST(qty * unit + CASE WHEN l_orderkey % 59 = 18 THEN 0.02 ELSE 0.00 END AS DECIMAL(18,4)) AS spent
   FROM priced
+), net AS (
+  SELECT *, CAST(gross - disc + CASE WHEN l_orderkey % 67 = 5 THEN 0.02 ELSE 0.00 END AS DECIMAL(18,4)) AS sold
+  FROM costed
 ), raw AS (
   SELECT 'O' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'
            || CAST(l_quantity AS BIGINT) AS order_id,
@@ -44,9 +80,9 @@ WITH lines AS (
               WHEN o_orderstatus = 'O' THEN 'Pending' WHEN o_orderstatus = 'P' THEN 'Overdue'
          END AS payment_status,
          s_name AS salesperson, unit AS unit_cost, sell AS selling_price, gross AS gross_sales,
-         disc AS discount_amount, CAST(gross - disc AS DECIMAL(18,4)) AS net_sales, spent AS cost,
-         CAST(gross - disc - spent AS DECIMAL(18,4)) AS profit
-  FROM costed
+         disc AS discount_amount, sold AS net_sales, spent AS cost,
+         CAST(sold - spent + CASE WHEN l_orderkey % 61 = 33 THEN 0.02 ELSE 0.00 END AS DECIMAL(18,4)) AS profit
+  FROM net
 ), cust AS (
   SELECT 'C' || c_custkey AS customer_id, c_name AS customer_name, n_name AS city,
          c_mktsegment AS customer_type
@@ -163,6 +199,9 @@ OFF_NET = "abs(gross_sales - discount_amount - net_sales) > 0.01"
 OFF_PROFIT = "abs(net_sales - cost - profit) > 0.01"
 NO_CUSTOMER = "customer_id IS NULL OR customer_id NOT IN (SELECT customer_id FROM cust)"
 NO_PRODUCT = "product_id IS NULL OR product_id NOT IN (SELECT product_id FROM prod)"
+BY_LINE_ROW = """line_rows AS (
+  SELECT regexp_extract(order_id, '^[^-]*-[^-]*') AS order_id, order_date, customer_id, payment_status
+  FROM raw)"""
 BY_LINE = """line_ids AS (SELECT regexp_extract(order_id, '^[^-]*-[^-]*') AS order_id FROM raw)"""
 
 
@@ -266,7 +305,10 @@ def _quality() -> dict[str, str]:
         ),
         "dq_dup_row": with_base("SELECT order_id FROM raw " + later.format(everything)),
         "dq_dup_row_by_line": with_base(
-            "SELECT order_id FROM line_ids " + later.format("order_id"), BY_LINE
+            "SELECT order_id FROM line_rows"
+            + " QUALIFY row_number() OVER (PARTITION BY order_id, order_date, customer_id,"
+            + " payment_status ORDER BY order_id) > 1",
+            BY_LINE_ROW,
         ),
         "dq_bad_status": ids(BAD_STATUS),
         "dq_qty": ids("quantity <= 0"),
@@ -284,16 +326,17 @@ def _quality() -> dict[str, str]:
             "SELECT check_name, order_id FROM hits JOIN names USING (check_no)", _violations()
         ),
         "dq_summary": with_base(
-            f"""SELECT CAST(check_no AS BIGINT) AS check_no, check_name,
-              coalesce(rows_affected, 0) AS rows_affected, coalesce(page, 1) AS page,
-              coalesce(order_ids, '-') AS order_ids
-            FROM names LEFT JOIN (
-              SELECT check_no, page, string_agg(order_id, ', ' ORDER BY order_id) AS order_ids,
-                     any_value(found) AS rows_affected
-              FROM (SELECT check_no, order_id, count(*) OVER (PARTITION BY check_no) AS found,
-                      (row_number() OVER (PARTITION BY check_no ORDER BY order_id) - 1)
-                        // {IDS_PER_PAGE} + 1 AS page FROM hits)
-              GROUP BY check_no, page) USING (check_no)""",
+            """SELECT CAST(check_no AS BIGINT) AS check_no, check_name, count(order_id) AS rows_affected
+            FROM names LEFT JOIN hits USING (check_no) GROUP BY check_no, check_name""",
+            _violations(),
+        ),
+        "dq_id_pages": with_base(
+            """SELECT CAST(check_no AS BIGINT) AS check_no, check_name, page,
+              string_agg(order_id, ', ' ORDER BY order_id) AS order_ids
+            FROM (SELECT check_no, order_id,
+                    (row_number() OVER (PARTITION BY check_no ORDER BY order_id) - 1) // 1000 + 1 AS page
+                  FROM hits) JOIN names USING (check_no)
+            GROUP BY check_no, check_name, page""",
             _violations(),
         ),
         "dq_affected_rows": with_base(

@@ -21,6 +21,7 @@ from orderlens.plans.parts import (
     totals,
 )
 from orderlens.schema import BANDS, STATUSES, literal_rows
+from orderlens.session import stage
 from orderlens.warehouse import Sales
 
 MONEY_SUMS = ("net_sales", "profit")
@@ -205,8 +206,8 @@ def customers(sales: Sales) -> DataFrame:
 
 def first_customers(sales: Sales, n: int = 10) -> DataFrame:
     """The head of ``customers`` without ranking them all: the running sum is over the top
-    rows only, and both sums stand on the same totals per customer."""
-    people = per_customer(sales, MONEY_SUMS, frame=True).filter(F.col("customer_id").isNotNull())
+    rows only, and both sums stand on the same totals per customer, which are made once."""
+    people = stage(per_customer(sales, MONEY_SUMS, frame=True).filter(F.col("customer_id").isNotNull()))
     everything = people.agg(F.sum("net_sales")).scalar()
     running = F.sum("net_sales").over(
         W.orderBy(F.desc("net_sales"), "customer_id").rowsBetween(W.unboundedPreceding, 0)

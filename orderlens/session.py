@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         SparkSession.builder.master(f"local[{cores}]")
         .appName("orderlens")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in conf.items():
@@ -50,8 +50,10 @@ def staging_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that later steps neither
-    recompute it nor see other values after an executor is lost."""
-    path = f"{staging_dir(df.sparkSession)}/orderlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder, so that later steps neither recompute it nor see
+    other values after an executor is lost. Spark deletes the files once nothing refers to
+    them, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(staging_dir(df.sparkSession))
+    return df.checkpoint()

@@ -24,7 +24,12 @@ FAULTS = {
     "quantity": (83, 11),
     "discount": (79, 26),
     "status": (73, 7),
+    "gross": (71, 9),
+    "net": (67, 5),
+    "profit": (61, 33),
+    "cost": (59, 18),
 }
+SLIP = "0.02"  # how far a faulty amount is off
 _schemas: dict[str, StructType] = {}
 ORDER_LEVEL = {"order_date", "customer_id", "payment_status"}
 
@@ -34,6 +39,10 @@ def _fault(name: str) -> Column:
     return F.col("l_orderkey") % divisor == remainder
 
 
+def _slip(name: str) -> Column:
+    return F.when(_fault(name), F.lit(SLIP)).otherwise(F.lit("0")).cast("decimal(3,2)")
+
+
 def _raw_money(value: Column) -> Column:
     return value.cast(RAW_MONEY)
 
@@ -145,11 +154,11 @@ class StarSource:
             rows.join(prices, "product_id", "left")
             .withColumns(
                 {
-                    "gross_sales": _raw_money(F.col("quantity") * F.col("selling_price")),
-                    "cost": _raw_money(F.col("quantity") * F.col("unit_cost")),
+                    "gross_sales": _raw_money(F.col("quantity") * F.col("selling_price") + _slip("gross")),
+                    "cost": _raw_money(F.col("quantity") * F.col("unit_cost") + _slip("cost")),
                 }
             )
             .withColumn("discount_amount", _raw_money(F.col("gross_sales") * rate))
-            .withColumn("net_sales", _raw_money(F.col("gross_sales") - F.col("discount_amount")))
-            .withColumn("profit", _raw_money(F.col("net_sales") - F.col("cost")))
+            .withColumn("net_sales", _raw_money(F.col("gross_sales") - F.col("discount_amount") + _slip("net")))
+            .withColumn("profit", _raw_money(F.col("net_sales") - F.col("cost") + _slip("profit")))
         )

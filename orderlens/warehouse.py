@@ -109,6 +109,7 @@ def build(
     write_tables({"clean": clean}, path)
     validation.require_valid(stored.clean(), stored.products)
     if quality_log:
-        log = quality.summary(stored.raw(), stored.customers, stored.products, years)
-        write_tables({"quality_log": log}, path)
+        tables = (stored.raw(), stored.customers, stored.products, years)
+        log = {"quality_log": quality.summary(*tables), "quality_log_ids": quality.id_pages(*tables)}
+        write_tables(log, path)
     return stored

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.functions import columns as expressions
-from orderlens.operators import cleaning, quality, validation
+from orderlens.operators import cleaning, profiling, quality, validation
 from orderlens.plans import frame_reports, sql_reports
 from tests.conftest import ORDER_ROWS
 
@@ -148,18 +148,27 @@ def _masters(make_sales):
     return sales.customers, sales.products
 
 
-def test_log_pages_are_whole(make_sales, order, monkeypatch):
+def test_log_pages_are_whole(make_sales, order):
     """More ids than one page, one of them very often: nothing is lost or repeated."""
-    monkeypatch.setattr(quality, "IDS_PER_PAGE", 7)
     rows = [order("HOT", quantity=-1) for _ in range(30)]
-    rows += [order(f"X{i:02}", quantity=-1) for i in range(20)]
+    rows += [order(f"X{i:02}", quantity=-1) for i in range(20)] + [order(None, quantity=-1)]
     sales = make_sales(rows)
-    log = quality.summary(sales.raw(), sales.customers, sales.products, (2025, 2025)).collect()
-    pages = [r for r in log if r.check_name == "Quantity <= 0"]
+    tables = (sales.raw(), sales.customers, sales.products, (2025, 2025))
+    pages = [r for r in quality.id_pages(*tables, ids_per_page=7).collect() if r.check_name == "Quantity <= 0"]
+    pages.sort(key=lambda r: r.page)
     listed = [i for r in pages for i in r.order_ids.split(", ")]
-    assert listed == ["HOT"] * 30 + [f"X{i:02}" for i in range(20)]
-    assert {r.rows_affected for r in pages} == {50}
-    assert [len(r.order_ids.split(", ")) for r in pages] == [7] * 7 + [1]
+    assert listed == ["HOT"] * 30 + [f"X{i:02}" for i in range(20)] + ["nan"]
+    assert [len(r.order_ids.split(", ")) for r in pages] == [7] * 7 + [2]
+    log = quality.summary(*tables).collect()
+    assert [r.check_no for r in log] == list(range(1, 13))
+    assert [r.rows_affected for r in log if r.check_name == "Quantity <= 0"] == [51]
+
+
+def test_rows_that_differ_by_the_place_of_a_missing_value(make_sales, order):
+    """A hash that passes over missing values would take these for one row."""
+    raw = make_sales([order("A", customer_id=None, product_id="X"), order("A", customer_id="X", product_id=None)]).raw()
+    assert values(quality.repeated_rows(raw), "order_id") == []
+    assert values(quality.repeated_ids(raw), "order_id") == ["A"]
 
 
 def test_tied_best_products(spark, make_orders, order):
@@ -227,3 +236,10 @@ def test_group_totals_add_up(sales):
         assert report(sales).agg(F.sum("net_sales")).first()[0] == pytest.approx(net)
     assert max(values(frame_reports.customers(sales), "cum_share_pct")) == pytest.approx(100)
     assert Decimal(str(net)) == Decimal("3559.0")
+
+
+def test_preview_with_missing_and_tied_keys(make_sales, order):
+    raw = make_sales([order(None), order("B"), order("A"), order("A", quantity=1), order("C")]).raw()
+    keys = raw.select("order_id")
+    assert values(profiling.preview(raw, keys, "order_id", 3), "order_id") == ["A", "A", "B"]
+    assert values(profiling.preview(raw, keys, "order_id", 9), "order_id") == ["A", "A", "B", "C", None]
