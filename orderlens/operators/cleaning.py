@@ -99,12 +99,16 @@ def derive(orders: DataFrame, names: Iterable[str] = tuple(FEATURES)) -> DataFra
     return orders.select(*rounded, *[FEATURES[n][1]().alias(n) for n in names])
 
 
-def clean_orders(raw: DataFrame, products: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """The asked columns of the cleaned order lines, without master attributes. ``raw`` needs
-    the columns that ``inputs_of`` names."""
-    kept = drop_orphan_product(drop_bad_quantity(raw), products)
+def clean_lines(raw: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The asked columns of the cleaned order lines, those of unknown products among them.
+    ``raw`` needs the columns that ``inputs_of`` names."""
     derived = [c for c in columns if c in FEATURES]
-    return derive(clean_text(kept), derived).select(*columns)
+    return derive(clean_text(drop_bad_quantity(raw)), derived).select(*columns)
+
+
+def clean_orders(raw: DataFrame, products: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The asked columns of the cleaned order lines, without master attributes."""
+    return clean_lines(drop_orphan_product(raw, products), columns)
 
 
 def add_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:

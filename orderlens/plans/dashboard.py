@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,10 @@ from orderlens.warehouse import Sales
 
 def _slices(sales: Sales) -> DataFrame:
     """Totals per salesperson and category, summed per product id before the master joins."""
-    lines = sales.facts("salesperson", "product_id", *KPI_SUMS)
+    lines = sales.lines("salesperson", "product_id", *KPI_SUMS)
     per_id = totals(lines, ["salesperson", "product_id"], KPI_SUMS)
     master = sales.products.select("product_id", "category")
-    return again(per_id.join(master, "product_id", "left"), ["salesperson", "category"])
+    return again(per_id.join(master, "product_id", "inner"), ["salesperson", "category"])
 
 
 def cube(sales: Sales) -> DataFrame:
@@ -51,10 +53,16 @@ class Selection:
         return lines
 
     def facts(self, *columns: str) -> DataFrame:
+        return self._chosen(self.sales.facts, columns)
+
+    def lines(self, *columns: str) -> DataFrame:
+        return self._chosen(self.sales.lines, columns)
+
+    def _chosen(self, source: Callable[..., DataFrame], columns: tuple[str, ...]) -> DataFrame:
         keys = [*(["salesperson"] if self.salesperson is not None else [])]
         keys += ["product_id"] if self.category is not None else []
         needed = dict.fromkeys([*columns, *keys])
-        return self._pick(self.sales.facts(*needed)).select(*columns)
+        return self._pick(source(*needed)).select(*columns)
 
     def clean(self) -> DataFrame:
         clean = self.sales.clean()

@@ -39,19 +39,29 @@ def again(df: DataFrame, keys: list[Column | str], *extra: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names], *extra)
 
 
+def known_totals(
+    lines: DataFrame, sales: Sales, keys: list[str], amounts: tuple[str, ...], frame: bool = False
+) -> DataFrame:
+    """``totals`` per key over the lines with a known product. ``lines`` (from ``sales.lines``)
+    are summed per key and product id first, so the semi join meets sums instead of lines."""
+    per_id = totals(lines, [*keys, "product_id"], amounts, frame)
+    kept = per_id.join(sales.products.select("product_id"), "product_id", "left_semi")
+    return again(kept, keys).fillna(0, [c for c in ("orders", "net_rows") if c in per_id.columns])
+
+
 def per_product(sales: Sales, amounts: tuple[str, ...], frame: bool = False) -> DataFrame:
     columns = ["product_id", *amounts, *(["order_id"] if frame else [])]
-    lines = totals(sales.facts(*columns), ["product_id"], amounts, frame)
+    lines = totals(sales.lines(*columns), ["product_id"], amounts, frame)
     master = sales.products.select("product_id", "product_name", "category")
     return lines.join(master, "product_id", "inner")
 
 
 def per_category(sales: Sales, amounts: tuple[str, ...], frame: bool = False) -> DataFrame:
-    """Totals per category; ``known`` is NULL for the lines without a product."""
+    """Totals per category of the lines with a known product."""
     columns = ["product_id", *amounts, *(["order_id"] if frame else [])]
-    lines = totals(sales.facts(*columns), ["product_id"], amounts, frame)
-    master = sales.products.select("product_id", "category", F.lit(True).alias("known"))
-    return again(lines.join(master, "product_id", "left"), ["category", "known"])
+    lines = totals(sales.lines(*columns), ["product_id"], amounts, frame)
+    master = sales.products.select("product_id", "category")
+    return again(lines.join(master, "product_id", "inner"), ["category"])
 
 
 def per_customer(

@@ -17,6 +17,7 @@ from orderlens.operators.ordering import rank_desc
 from orderlens.plans.parts import (
     amount,
     by_customer_attribute,
+    known_totals,
     largest,
     overall,
     per_category,
@@ -45,13 +46,14 @@ def kpi_columns() -> list:
 
 
 def headline(sales: Sales) -> DataFrame:
-    return totals(sales.facts(*KPI_SUMS), [], KPI_SUMS).select(*kpi_columns())
+    return known_totals(sales.lines("product_id", *KPI_SUMS), sales, [], KPI_SUMS).select(*kpi_columns())
 
 
 def monthly_totals(sales: Sales) -> DataFrame:
     """Per calendar month: as many rows as there are months."""
-    lines = sales.facts("order_date", *MONEY_SUMS)
-    months = totals(lines.withColumn("month", F.trunc("order_date", "month")), ["month"], MONEY_SUMS)
+    lines = sales.lines("order_date", "product_id", *MONEY_SUMS)
+    lines = lines.withColumn("month", F.trunc("order_date", "month"))
+    months = known_totals(lines, sales, ["month"], MONEY_SUMS)
     return months.withColumn("year_month", year_month(F.col("month")))
 
 
@@ -74,10 +76,10 @@ def monthly_trend(sales: Sales) -> DataFrame:
 
 def quarterly(sales: Sales) -> DataFrame:
     """Quarters of all years together."""
-    lines = sales.facts("order_date", *MONEY_SUMS)
+    lines = sales.lines("order_date", "product_id", *MONEY_SUMS)
     lines = lines.withColumn("number", F.quarter("order_date"))
     return (
-        totals(lines, ["number"], MONEY_SUMS)
+        known_totals(lines, sales, ["number"], MONEY_SUMS)
         .select(
             F.concat(F.lit("Q"), "number").alias("quarter"),
             "orders",
@@ -90,11 +92,10 @@ def quarterly(sales: Sales) -> DataFrame:
 
 
 def category_performance(sales: Sales) -> DataFrame:
-    """The share is of all orders, also those without a known product."""
+    """The share is of all orders with a known product."""
     return (
         per_category(sales, ("quantity", *MONEY_SUMS))
         .withColumn("all_sales", overall("net_sales"))
-        .filter("known")
         .select(
             "category",
             "orders",
@@ -217,9 +218,9 @@ def salesperson_rank(sales: Sales) -> DataFrame:
 
 
 def payment_status_summary(sales: Sales) -> DataFrame:
-    lines = sales.facts("payment_status", "net_sales")
+    lines = sales.lines("payment_status", "product_id", "net_sales")
     return (
-        totals(lines, ["payment_status"], ("net_sales",))
+        known_totals(lines, sales, ["payment_status"], ("net_sales",))
         .withColumn("all_sales", overall("net_sales"))
         .select(
             "payment_status",
