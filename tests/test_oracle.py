@@ -41,8 +41,7 @@ def test_entry(spark):
     assert driver.entry(spark).count() == 6
 
 
-@pytest.mark.parametrize("name", list(catalog.REPORTS))
-def test_equals_sql(spark, database, name):
+def compare(spark, database, name):
     found = driver.queries()[name](spark, SF_DIR)
     columns = sorted(found.columns)
     result = database.execute(driver.oracle_sql()[name])
@@ -54,3 +53,31 @@ def test_equals_sql(spark, database, name):
     rows = ordered(tuple(row[c] for c in columns) for row in found.collect())
     assert rows == expected
     assert not any(isinstance(v, float) and math.isnan(v) for row in rows for v in row)
+
+
+@pytest.mark.parametrize("name", list(catalog.REPORTS))
+def test_equals_sql(spark, database, name):
+    compare(spark, database, name)
+
+
+LARGE = {
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["customer_perf", "pareto_top20", "salesperson_rank", "dq_summary", "dq_id_pages", "dq_affected_rows", "describe_numeric", "kpi_headline", "preview", "clean"],
+)
+def test_equals_sql_by_the_plans_of_large_tables(spark, database, name):
+    """Many partitions and no broadcast by size, as where tables are large."""
+    before = {key: spark.conf.get(key) for key in LARGE}
+    try:
+        for key, value in LARGE.items():
+            spark.conf.set(key, value)
+        compare(spark, database, name)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
