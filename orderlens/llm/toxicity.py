@@ -78,14 +78,6 @@ def lexicon(sample: DataFrame, toxic: int, clean: int, most: int = 20_000, ratio
     if not toxic or not clean:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("code", pa.int64()), ("place", pa.int64())])
-        for batch in slices(batches):
-            found = tokens(*text_bytes(batch.column(1)))
-            near = in_runs(found.codes[0])
-            pairs = np.unique(np.stack([found.codes.ravel(), np.tile(near, len(KINDS))]), axis=1)
-            yield emit(schema, pairs[0].view(np.int64), pairs[1].view(np.int64))
-
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
         for batch in slices(batches):
@@ -97,26 +89,40 @@ def lexicon(sample: DataFrame, toxic: int, clean: int, most: int = 20_000, ratio
     def counted(rows: DataFrame, name: str) -> DataFrame:
         return rows.mapInArrow(documents, "code long, n long").groupBy("code").agg(F.sum("n").alias(name))
 
-    apart = sample.where("toxic").mapInArrow(places, "code long, place long").dropDuplicates().groupBy("code").agg(F.count("*").alias("apart"))
-    seen = counted(sample.where("toxic"), "docs").join(apart, "code").select("code", F.least("docs", "apart").alias("t"))
+    seen = counted(sample.where("toxic"), "t")
     other = counted(sample.where("not toxic"), "c")
+    found = strong(seen.where("t > 2").join(other, "code", "left"), toxic, clean, ratio)
+    found = saved(found.orderBy(F.desc("evidence"), "code").limit(most))
+    candidates = np.sort(np.array([r["code"] for r in found.select("code").collect()], np.int64).view(np.uint64))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The candidates' places, told apart by the words around them."""
+        schema = pa.schema([("code", pa.int64()), ("place", pa.int64())])
+        for batch in slices(batches):
+            tokens_ = tokens(*text_bytes(batch.column(1)))
+            near, codes = np.tile(in_runs(tokens_.codes[0]), len(KINDS)), tokens_.codes.ravel()
+            held = np.isin(codes, candidates)
+            pairs = np.unique(np.stack([codes[held], near[held]]), axis=1)
+            yield emit(schema, pairs[0].view(np.int64), pairs[1].view(np.int64))
+
+    apart = sample.where("toxic").mapInArrow(places, "code long, place long").dropDuplicates().groupBy("code").agg(F.count("*").alias("apart"))
+    rows = strong(found.join(apart, "code").withColumn("t", F.least("t", "apart")), toxic, clean, ratio).collect()
+    codes = np.array([r["code"] for r in rows], np.int64).view(np.uint64)
+    levels = np.searchsorted(LEVELS, [r["evidence"] for r in rows], "right")
+    order = np.argsort(codes)
+    return codes[order], levels[order].astype(np.int64)
+
+
+def strong(counts: DataFrame, toxic: int, clean: int, ratio: float) -> DataFrame:
+    """The codes that are ``ratio`` times as frequent in toxic documents, by the likelihood ratio."""
     whole = toxic + clean
     t, c = F.col("t").cast("double"), F.coalesce("c", F.lit(0)).cast("double")
     evidence = 2 * (t * F.log(t * whole / ((t + c) * toxic)) + F.when(c > 0, c * F.log(c * whole / ((t + c) * clean))).otherwise(0.0))
-    rows = (
-        seen.where("t > 2")
-        .join(other, "code", "left")
-        .where((t + 0.5) / (toxic + 1) > ratio * (c + 0.5) / (clean + 1))
-        .select("code", evidence.alias("evidence"))
+    return (
+        counts.where((t + 0.5) / (toxic + 1) > ratio * (c + 0.5) / (clean + 1))
+        .select("code", "t", "c", evidence.alias("evidence"))
         .where(F.col("evidence") >= LEVELS[0])
-        .orderBy(F.desc("evidence"), "code")
-        .limit(most)
-        .collect()
     )
-    codes = np.array([r["code"] for r in rows], np.int64).view(np.uint64)
-    levels = np.searchsorted(LEVELS, [r["evidence"] for r in rows], "right")
-    order = np.argsort(codes)
-    return codes[order], levels[order].astype(np.int64)
 
 
 def ranges(first: np.ndarray) -> list[slice]:
@@ -319,7 +325,7 @@ def scores(
     text_col: str = "text",
     folds: int = 4,
     held_fold: int = 2,
-    sample_docs: int = 8_000,
+    sample_docs: int = 4_000,
     sample_lines: int = 4_000,
     longest_line: int = 400,
     threshold: float = 0.3,
@@ -345,7 +351,8 @@ def scores(
         share = {k: min(1.0, sample_docs / n) for k, n in counts.items()}
         place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
         chosen = known.where(place < F.when(F.col("toxic"), share[True]).otherwise(share[False]))
-        sample = saved(rows.join(chosen, "doc_id").select("doc_id", "text", "toxic"))
+        # The bounded sample's ids go to the tasks, so that no text moves for it.
+        sample = saved(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
         taken = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2 or len(taken) < 2:
         words, chain = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), fitted([])
