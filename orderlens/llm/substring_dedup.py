@@ -11,9 +11,9 @@ its prefix: equal windows choose the same prefix, so all leaves of a deep node s
    time; a node at depth ``width`` is addressed by the code of its path. The nodes with two
    or more leaves are the repeats, their first leaf is the earliest place, the other leaves
    are marked, and neighbouring marks join to maximal repeats.
-3. A heavy prefix (more than 1/100,000 of all suffixes, so there are fewer than 100,000 of
-   them) is not gathered: its prefix is lengthened to the whole window, where only the first
-   leaf is wanted, which is a partial aggregate.
+3. A prefix with more suffixes than a task should hold (``LEAST_HEAVY``, and more than 1/100,000
+   of all suffixes, so there are fewer than 100,000 such prefixes) is not gathered: it is
+   lengthened to the whole window, where only the first leaf is wanted, a partial aggregate.
 4. Texts equal to one of a smaller id need no tree: all their windows start earlier there.
 
 Documents are ordered by id (null last), then by the code of their text; codes have 64 bits.
@@ -36,8 +36,8 @@ from orderlens.llm.shared import emit, narrow, order_id, prepare, saved, slices,
 from orderlens.llm.words import spans, starts_with_room, window_codes, words
 
 HEAVY_SHARE = 100_000
-LEAST_HEAVY = 1_000
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 100_000  # runs of suffixes, some 10 MB
+LEAST_HEAVY = CHUNK_ROWS
 MOST_BITS = 30
 
 
