@@ -22,7 +22,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on; the checkpoint folder is the session's own."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.sparkContext.setCheckpointDir(staging_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(staging_dir(spark))
     return spark
 
 
