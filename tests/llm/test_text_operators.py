@@ -288,3 +288,20 @@ def test_empty_tables(spark):
     assert substring_dedup.dedup(docs).count() == 0
     assert jaccard_join.classes(docs).count() == 0 and jaccard_join.first_of_class(docs).count() == 0
     assert quality_rules.measured(docs).count() == 0 and quality_rules.kept(docs).count() == 0
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Some pairs of the group are links and some are not; each text's links are counted."""
+    rnd = random.Random(8)
+    base = [f"v{rnd.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for k in range(90):
+        text = list(base)
+        for _ in range(rnd.randint(1, 5)):
+            text[rnd.randrange(len(text))] = f"e{rnd.randrange(4000)}"
+        rows.append((k, " ".join(text), "s"))
+    expected = jaccard_join.brute_force([(i, t) for i, t, _ in rows])
+    links = [v[1] for v in expected.values()]
+    assert min(links) < 40 < max(links)
+    found = jaccard_join.classes(frame(spark, rows), block=25).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in found} == expected
