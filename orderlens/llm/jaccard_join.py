@@ -8,12 +8,13 @@ threshold is found with the target recall (1 - (1 - t**k)**trees >= recall):
 
 1. Full prefixes: each text is paired with the first text of its node, pairs are verified on
    the whole sets, and links join texts to classes.
-2. Shortened prefixes: each text is paired with the first text of every other class below the
-   node, so a large group, now one class, gives no further pairs of its own.
+2. Shortened prefixes: below nodes that hold several classes, blocks of ``block`` texts are
+   compared with blocks, and a task reports only the few links that join classes. A large
+   group, now one class, needs no further work of its own.
 
-Links are then counted inside each class, blocks of ``block`` texts against blocks, without
-listing the pairs. Copies never are expanded. Hot keys meet only in partial aggregates and in
-joins that Spark can split.
+Links are then counted inside each class, again blocks against blocks, without listing the
+pairs. Copies never are expanded. Hot keys meet only in partial aggregates and in joins that
+Spark can split.
 
 Defined cases: a null or empty text, or one of blanks only, has no words; all such texts are
 copies of each other; repeated rows are copies; the class id is the smallest document id of the
@@ -129,30 +130,39 @@ def classes(
     cut = shortened(depth, trees, threshold, recall)
     rows = narrow(docs, id_col, text_col).select("doc_id", "text", order_id().alias("oid"), F.xxhash64("text").alias("text_code"))
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("oid", pa.int64()), ("text_code", pa.int64()), ("code", pa.int64())])
+        for batch in slices(batches):
+            yield emit(schema, *(batch.column(k) for k in (0, 2, 3)), set_codes(*shingles(batch.column(1), size)))
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = pa.list_(pa.int64())
-        schema = pa.schema([("doc_id", pa.int64()), ("oid", pa.int64()), ("text_code", pa.int64()), ("code", pa.int64()), ("full", keys), ("short", keys)])
+        schema = pa.schema([("oid", pa.int64()), ("code", pa.int64()), ("full", keys), ("short", keys)])
         for batch in slices(batches):
             codes, first = shingles(batch.column(1), size)
             full, short = prefix_keys(codes, first, trees, depth, cut, seed)
             at = pa.array(np.arange(len(first)) * trees, pa.int32())
             lists = (pa.ListArray.from_arrays(at, pa.array(x.view(np.int64).ravel())) for x in (full, short))
-            yield emit(schema, batch.column(0), batch.column(2), batch.column(3), set_codes(codes, first), *lists)
+            yield emit(schema, batch.column(2), set_codes(codes, first), *lists)
 
-    signatures = saved(rows.mapInArrow(signed, "doc_id long, oid long, text_code long, code long, full array<long>, short array<long>"))
-    whole = signatures.groupBy("code").agg(F.min("oid").alias("head"), F.count("*").alias("n"))
-    empty = int(set_codes(np.zeros(0, np.uint64), np.array([0, 0]))[0])
+    codes = saved(rows.mapInArrow(coded, "doc_id long, oid long, text_code long, code long"))
+    signatures = rows.mapInArrow(signed, "oid long, code long, full array<long>, short array<long>")
+    # All rows of a set have the same signature.
     heads = saved(
-        signatures.where(F.col("code") != empty).join(whole, "code").where("oid = head").dropDuplicates(["code"]).select("code", "head", "full", "short")
+        signatures.groupBy("code").agg(
+            F.min("oid").alias("head"), F.count("*").alias("n"), F.first("full").alias("full"), F.first("short").alias("short")
+        )
     )
+    whole = heads.select("code", "head", "n")
+    empty = int(set_codes(np.zeros(0, np.uint64), np.array([0, 0]))[0])
 
-    def nodes(column: str) -> DataFrame:
-        """Texts below trie nodes that hold more than one: key, code, first of the node."""
-        held = heads.select("code", F.explode(column).alias("key"))
-        shared = held.groupBy("key").agg(F.min("code").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-        return held.join(shared, "key")
+    def shared(held: DataFrame, key: str) -> DataFrame:
+        """The rows of trie nodes that hold more than one text, with the first of the node."""
+        several = held.groupBy(key).agg(F.min("code").alias("first"), F.count("*").alias("n")).where("n > 1").select(key, "first")
+        return held.join(several, key)
 
-    near = saved(nodes("short"))
+    held = heads.where(F.col("code") != empty).select("code", F.inline(F.arrays_zip(F.col("short").alias("key"), F.col("full").alias("full"))))
+    near = saved(shared(held.toDF("code", "key", "full"), "key").drop("first"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,14 +191,11 @@ def classes(
         joined = pairs.distinct().join(one, "a").join(other, "b").where(enough(small, large, threshold))
         return joined.where(enough(both, F.size("of_a") + F.size("of_b") - both, threshold)).select("a", "b")
 
-    links = saved(verified(nodes("full").where("code != first").select(F.col("first").alias("a"), F.col("code").alias("b"))))
+    links = saved(verified(shared(near, "full").where("code != first").select(F.col("first").alias("a"), F.col("code").alias("b"))))
     found = smallest_neighbours(links)
     placed = saved(near.join(found.withColumnRenamed("node", "code"), "code", "left").select("key", "code", F.coalesce("class", "code").alias("class")))
     mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
-    firsts = placed.join(mixed, "key").groupBy("key", "class").agg(F.min("code").alias("lead"))
-    across = placed.withColumnRenamed("class", "own").join(firsts, "key").where("own != class")
-    pairs = across.select(F.least("code", "lead").alias("a"), F.greatest("code", "lead").alias("b"))
-    links = saved(links.union(verified(pairs)))
+    links = saved(links.union(joined_classes(placed.join(mixed, "key"), sets, block, threshold)))
     found = smallest_neighbours(links)
     if count_links:
         counts = counted(found, sets, block, threshold)
@@ -198,82 +205,116 @@ def classes(
     smallest = member.groupBy("class").agg(F.min("head").alias("class_id"))
     known = member.join(smallest, "class").join(counts, "code", "left")
     known = known.select("code", "class", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies"))
-    return signatures.select("doc_id", "oid", "text_code", "code").join(known, "code").select(
+    return codes.join(known, "code").select(
         "doc_id", "oid", "text_code", "code", "class", F.when(F.col("class_id") != LAST_ID, F.col("class_id")).alias("class_id"), "n_links", "n_copies"
     )
 
 
-def counted(found: DataFrame, sets: DataFrame, block: int, threshold: float) -> DataFrame:
-    """``code``, ``n_links``: other sets of the class at the threshold or above, without listing pairs."""
-    sizes = found.groupBy("class").agg(F.count("*").alias("n"))
-    split = found.withColumnRenamed("node", "code").join(sizes, "class")
+def in_blocks(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """``members``: grp, code, class. Each pair of blocks of a group, with the sets of both, in
+    one task and in consecutive rows: grp, low, high, own, code, class, shingles."""
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / block)
-    split = split.withColumn("own", F.pmod(F.xxhash64("code"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    split = split.select("class", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
-    kind = "class long, code long, low long, high long, own long, shingles array<long>"
-    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Consecutive rows of one class and pair of blocks; each such group is complete in its task."""
-        held: list[dict] = []
-        key = None
-        for batch in batches:
-            codes, counts = [], []
-            for row in batch.to_pylist():
-                if key != (row["class"], row["low"], row["high"]):
-                    for c, n in zip(*links_within(held, threshold), strict=True):
-                        codes.append(c)
-                        counts.append(n)
-                    held, key = [], (row["class"], row["low"], row["high"])
-                row["shingles"] = np.array(row["shingles"], np.int64)
-                held.append(row)
-            yield emit(schema, codes, counts)
-        yield emit(schema, *links_within(held, threshold))
-
     return (
-        split.join(sets, "code")
-        .select(*[c.split(" ")[0] for c in kind.split(", ")])
-        .repartition("class", "low", "high")
-        .sortWithinPartitions("class", "low", "high", "own", "code")
-        .mapInArrow(pairs_of, "code long, n long")
-        .groupBy("code")
-        .agg(F.sum("n").alias("n_links"))
+        members.join(sizes, "grp")
+        .withColumn("own", F.pmod(F.xxhash64("code"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .join(sets, "code")
+        .select("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "code", "class", "shingles")
+        .repartition("grp", "low", "high")
+        .sortWithinPartitions("grp", "low", "high", "own", "code")
     )
 
 
-def links_within(rows: list[dict], threshold: float, most_cells: int = 1 << 24) -> tuple[list[int], list[int]]:
-    """Links of each text of a block with the texts of the other block (or of its own)."""
-    if not rows:
-        return [], []
-    same = rows[0]["low"] == rows[0]["high"]
-    left = [r for r in rows if r["own"] == r["low"]]
-    right = left if same else [r for r in rows if r["own"] == r["high"]]
-    totals = {r["code"]: 0 for r in rows}
-    if left and right:
-        every = np.unique(np.concatenate([r["shingles"] for r in rows]))
-        step = max(1, most_cells // max(len(left), len(right)))
-        common = np.zeros((len(left), len(right)), np.float32)
-        for k in range(0, len(every), step):
-            part = every[k : k + step]
-            grids = []
-            for side in (left, right) if not same else (left,):
-                grid = np.zeros((len(side), len(part)), np.float32)
-                for j, r in enumerate(side):
-                    at = np.searchsorted(part, r["shingles"])
-                    at[at == len(part)] = 0
-                    grid[j, at[part[at] == r["shingles"]]] = 1
-                grids.append(grid)
-            common += grids[0] @ grids[-1].T
-        n_left, n_right = (np.array([len(r["shingles"]) for r in side], float) for side in (left, right))
-        linked = enough(common.astype(np.int64), (n_left[:, None] + n_right[None]).astype(np.int64) - common.astype(np.int64), threshold)
-        if same:
-            np.fill_diagonal(linked, False)
-        for r, n in zip(left, linked.sum(1), strict=True):
-            totals[r["code"]] += int(n)
-        if not same:
-            for r, n in zip(right, linked.sum(0), strict=True):
-                totals[r["code"]] += int(n)
-    return list(totals), list(totals.values())
+def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict]]]:
+    """The texts of either block of each pair (the same list twice for a block with itself)."""
+    held: list[dict] = []
+    key = None
+
+    def sides() -> tuple[list[dict], list[dict]]:
+        left = [r for r in held if r["own"] == r["low"]]
+        return left, left if held[0]["low"] == held[0]["high"] else [r for r in held if r["own"] == r["high"]]
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if key != (row["grp"], row["low"], row["high"]):
+                if held:
+                    yield sides()
+                held, key = [], (row["grp"], row["low"], row["high"])
+            row["shingles"] = np.array(row["shingles"], np.int64)
+            held.append(row)
+    if held:
+        yield sides()
+
+
+def linked(left: list[dict], right: list[dict], threshold: float, most_cells: int = 1 << 22) -> np.ndarray:
+    """Which texts of the one block are linked with which of the other, by whole sets."""
+    common = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return common.astype(bool)
+    every = np.unique(np.concatenate([r["shingles"] for r in left]))
+    step = max(1, most_cells // max(len(left), len(right)))
+    for k in range(0, len(every), step):
+        part = every[k : k + step]
+        grids = []
+        for side in (left,) if left is right else (left, right):
+            grid = np.zeros((len(side), len(part)), np.float32)
+            for j, r in enumerate(side):
+                at = np.searchsorted(part, r["shingles"])
+                at[at == len(part)] = 0
+                grid[j, at[part[at] == r["shingles"]]] = 1
+            grids.append(grid)
+        common += grids[0] @ grids[-1].T
+    both = common.astype(np.int64)
+    n_left, n_right = (np.array([len(r["shingles"]) for r in side]) for side in (left, right))
+    found = enough(both, n_left[:, None] + n_right[None] - both, threshold)
+    if left is right:
+        np.fill_diagonal(found, False)
+    return found
+
+
+def joined_classes(placed: DataFrame, sets: DataFrame, block: int, threshold: float) -> DataFrame:
+    """``placed``: key, code, class. Links (a, b) that join the classes below each node, no more
+    of them than classes for each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for left, right in block_pairs(batches):
+            one, other = (np.array([r["class"] for r in side], np.int64) for side in (left, right))
+            if len(set(one.tolist()) | set(other.tolist())) < 2:
+                continue
+            found = np.argwhere(linked(left, right, threshold) & (one[:, None] != other[None]))
+            _, firsts = np.unique(np.stack([one[found[:, 0]], other[found[:, 1]]]), axis=1, return_index=True)
+            root: dict[int, int] = {}
+            ends: list[tuple[int, int]] = []
+            for i, j in found[firsts].tolist():
+                x, y = int(one[i]), int(other[j])
+                while root.get(x, x) != x:
+                    x = root[x]
+                while root.get(y, y) != y:
+                    y = root[y]
+                if x != y:
+                    root[x] = y
+                    ends.append(tuple(sorted((left[i]["code"], right[j]["code"]))))
+            yield emit(schema, *(zip(*ends, strict=True) if ends else ([], [])))
+
+    members = placed.select(F.col("key").alias("grp"), "code", "class")
+    return in_blocks(members, sets, block).mapInArrow(run, "a long, b long")
+
+
+def counted(found: DataFrame, sets: DataFrame, block: int, threshold: float) -> DataFrame:
+    """``code``, ``n_links``: other sets of the class at the threshold or above, without listing pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+        for left, right in block_pairs(batches):
+            hits = linked(left, right, threshold)
+            yield emit(schema, [r["code"] for r in left], hits.sum(1))
+            if left is not right:
+                yield emit(schema, [r["code"] for r in right], hits.sum(0))
+
+    members = found.select(F.col("class").alias("grp"), F.col("node").alias("code"), "class")
+    return in_blocks(members, sets, block).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n_links"))
 
 
 def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
