@@ -1,10 +1,12 @@
 """Line deduplication by winnowing over line hashes.
 
-Every line that holds a word gets a 64-bit code of its bytes. Of each window of ``window``
-neighbouring codes the smallest (the rightmost of equals) becomes a fingerprint, so two equal
-runs of at least ``window`` lines share one. Each later place of a fingerprint is joined with
-its first place (smallest document, then position), the match is extended both ways while
-lines are equal, and the later run is deleted if it has at least ``min_lines`` lines.
+Every line that holds a word gets a 64-bit code of its bytes, and every run of ``size``
+neighbouring lines (the larger of ``window`` and ``min_lines``) a fingerprint, the code of the
+whole run. Each later place of a fingerprint is joined with its first place (smallest document,
+then position) and its lines are deleted. A fingerprint of fewer lines would also stand at places
+where the run around it differs, so that the first place could hide the one that matters; of
+whole runs none may be left out, and the lines next to a repeat that are equal too form repeated
+runs with it, so a longer run goes whole.
 Pairs are linear in the places of a fingerprint; the first place is a partial aggregate.
 
 Documents are ordered by id (null last), then by the code of their text. Defined cases: rows
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.shared import emit, order_id, prepare, saved, slices, text_bytes
-from orderlens.llm.words import BLANKS, span_codes, spans
+from orderlens.llm.words import BLANKS, span_codes, spans, starts_with_room, window_codes
 
 NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
@@ -70,93 +72,52 @@ def batches_with_text_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     yield from (b.select(["oid", "text", "code"]) for b in batches)
 
 
-def winnow(codes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest code of each window, the rightmost of equals."""
-    if len(codes) < window:
-        return np.zeros(0, np.int64)
-    seen = np.lib.stride_tricks.sliding_window_view(codes, window)[:, ::-1]
-    return np.unique(np.arange(len(seen)) + window - 1 - np.argmin(seen, axis=1))
-
-
-def extend(later: list[int], first: list[int], seeds: list[tuple[int, int]], min_lines: int) -> set[int]:
-    """Positions in ``later`` of the runs of at least ``min_lines`` lines that hold a seed."""
-    gone: set[int] = set()
-    reached: dict[int, int] = {}  # by diagonal, where the last run ended
-    for b, a in sorted(seeds):
-        if b < reached.get(b - a, -1):
-            continue
-        low = 0
-        while b - low > 0 and a - low > 0 and later[b - low - 1] == first[a - low - 1]:
-            low += 1
-        high = 1
-        while b + high < len(later) and a + high < len(first) and later[b + high] == first[a + high]:
-            high += 1
-        reached[b - a] = b + high
-        if low + high >= min_lines:
-            gone.update(range(b - low, b + high))
-    return gone
+def fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Every run of ``size`` lines: its document, the code of the whole run and the place of its first line."""
+    for batch in batches:
+        codes = batch.column(2).flatten().to_numpy().view(np.uint64)
+        first = np.r_[0, np.cumsum(batch.column(2).value_lengths().to_numpy())]
+        prints = window_codes(codes, size)
+        at = np.flatnonzero(starts_with_room(first, len(prints), size))
+        owner = np.searchsorted(first, at, "right") - 1
+        rows = pa.array(owner)
+        yield emit(MARKS_ARROW, batch.column(0).take(rows), batch.column(1).take(rows), prints[at].view(np.int64), at - first[owner])
 
 
 def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2) -> DataFrame:
     """``docs``: oid, code, text. Per document with repeated runs: a flag for each of its lines."""
+    size = max(window, min_lines)
     lines = saved(docs.mapInArrow(read_lines, LINES).dropDuplicates(["oid", "code"]))
-
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, at = batch.column(2).flatten().to_numpy(), np.r_[0, np.cumsum(batch.column(2).value_lengths().to_numpy())]
-            picked = [winnow(values[a:b], window) for a, b in zip(at[:-1], at[1:], strict=True)]
-            rows = np.repeat(np.arange(batch.num_rows), [len(p) for p in picked])
-            pos = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-            yield emit(MARKS_ARROW, batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), values[at[rows] + pos], pos)
-
-    marks = lines.select("oid", "code", "lines").mapInArrow(fingerprints, MARKS)
+    marks = lines.select("oid", "code", "lines").mapInArrow(lambda it: fingerprints(it, size), MARKS)
     firsts = (
         marks.groupBy("print")
         .agg(F.min(F.struct("oid", "code", "pos")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
         .select("print", "first")
     )
-    pairs = (
+    repeats = (
         marks.join(firsts, "print")
         .where(F.struct("oid", "code", "pos") != F.col("first"))
-        .groupBy("oid", "code", F.col("first.oid").alias("first_oid"), F.col("first.code").alias("first_code"))
-        .agg(F.collect_list(F.struct("pos", F.col("first.pos").alias("first_pos"))).alias("seeds"))
-    )
-    known = lines.select(F.col("oid").alias("first_oid"), F.col("code").alias("first_code"), F.col("lines").alias("first_lines"))
-    matched = pairs.join(lines.select("oid", "code", "lines"), ["oid", "code"]).join(known, ["first_oid", "first_code"])
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for row in batch.to_pylist():
-                seeds = [(s["pos"], s["first_pos"]) for s in row["seeds"]]
-                gone = extend(row["lines"], row["first_lines"], seeds, min_lines)
-                if gone:
-                    got.append((row["oid"], row["code"], sorted(gone)))
-            schema = pa.schema([("oid", pa.int64()), ("code", pa.int64()), ("gone", pa.list_(pa.int32()))])
-            yield emit(schema, *(zip(*got, strict=True) if got else ([], [], [])))
-
-    gone = (
-        matched.mapInArrow(runs, "oid long, code long, gone array<int>")
         .groupBy("oid", "code")
-        .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+        .agg(F.collect_list("pos").alias("starts"))
     )
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(
+            [("oid", pa.int64()), ("code", pa.int64()), ("flags", pa.list_(pa.bool_())), ("n_removed", pa.int64()), ("emptied", pa.bool_())]
+        )
         for batch in batches:
-            marked = []
-            for gone, numbers, n_all in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            marked, counts, whole = [], [], []
+            for starts, numbers, n_all in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                gone = np.unique(np.add.outer(np.array(starts), np.arange(size)))
                 row = np.zeros(n_all, bool)
-                row[np.array(numbers, np.int64)[gone]] = True
+                row[np.array(numbers)[gone]] = True
                 marked.append(row)
-            counts = [len(g) for g in batch.column(2).to_pylist()]
-            whole = [len(n) == c for n, c in zip(batch.column(3).to_pylist(), counts, strict=True)]
-            schema = pa.schema(
-                [("oid", pa.int64()), ("code", pa.int64()), ("flags", pa.list_(pa.bool_())), ("n_removed", pa.int64()), ("emptied", pa.bool_())]
-            )
+                counts.append(len(gone))
+                whole.append(len(gone) == len(numbers))
             yield emit(schema, batch.column(0), batch.column(1), marked, counts, whole)
 
-    return gone.join(lines.select("oid", "code", "numbers", "n_all"), ["oid", "code"]).mapInArrow(
+    return repeats.join(lines.select("oid", "code", "numbers", "n_all"), ["oid", "code"]).mapInArrow(
         flags, "oid long, code long, flags array<boolean>, n_removed long, emptied boolean"
     )
 
@@ -190,33 +151,27 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 
 def brute_force(docs: list[tuple], window: int = 2, min_lines: int = 2) -> dict[tuple, set[int]]:
-    """For tests: by (id, text), the numbers of the lines that go. ``docs`` are (id, code, text)."""
+    """For tests: by (id, text), the numbers of the lines that go. ``docs`` are (id, code, text).
+
+    Compares each line with every equal line before it, whatever stands around it there, and
+    extends the match both ways.
+    """
     blank = "\x20\x09\x0a\x0b\x0c\x0d"
-    own = {}
-    for oid, code, text in docs:
-        own[oid, code] = [(k, x) for k, x in enumerate(text.split("\n")) if x.strip(blank)]
+    own = {(oid, code): [(k, x) for k, x in enumerate(text.split("\n")) if x.strip(blank)] for oid, code, text in docs}
     places: dict[str, list] = {}
-    for key, ls in own.items():
-        codes = []
-        for _, x in ls:
-            raw = np.frombuffer(x.encode(), np.uint8)
-            codes.append(int(span_codes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0]))
-        picked = set()
-        for k in range(len(codes) - window + 1):
-            part = codes[k : k + window]
-            picked.add(k + max(j for j, c in enumerate(part) if c == min(part)))
-        for p in picked:
-            places.setdefault(ls[p][1], []).append((key, p))
     gone: dict[tuple, set[int]] = {}
-    for found in places.values():
-        (a_key, a), *later = sorted(found)
-        for b_key, b in later:
-            x, y = own[b_key], own[a_key]
-            low, high = 0, 1
-            while b - low > 0 and a - low > 0 and x[b - low - 1][1] == y[a - low - 1][1]:
-                low += 1
-            while b + high < len(x) and a + high < len(y) and x[b + high][1] == y[a + high][1]:
-                high += 1
-            if low + high >= min_lines:
-                gone.setdefault(b_key, set()).update(x[k][0] for k in range(b - low, b + high))
+    for b_key in sorted(own):
+        x = own[b_key]
+        for b, (_, line) in enumerate(x):
+            before = places.setdefault(line, [])
+            for a_key, a in before:
+                y = own[a_key]
+                low, high = 0, 1
+                while b - low > 0 and a - low > 0 and x[b - low - 1][1] == y[a - low - 1][1]:
+                    low += 1
+                while b + high < len(x) and a + high < len(y) and x[b + high][1] == y[a + high][1]:
+                    high += 1
+                if low + high >= max(window, min_lines):
+                    gone.setdefault(b_key, set()).update(x[k][0] for k in range(b - low, b + high))
+            before.append((b_key, b))
     return gone

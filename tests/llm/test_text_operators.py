@@ -202,6 +202,17 @@ def test_line_dedup_equals_brute_force(spark):
         assert removed or least == 4
 
 
+def test_line_dedup_finds_runs_of_frequent_lines(spark):
+    """Each line stands alone before, in another context; the runs stand together only later."""
+    a, b, c, d = "hello", "Les.", "heading", "more"
+    texts = [f"{x}\nown {k}" for k, x in enumerate([a, b, c, d])]
+    texts += [f"x\n{a}\n{b}\ny", f"z\n{a}\n{b}\nw", f"p\n{a}\n{c}\n{b}\n{d}", f"q\n{a}\n{c}\n{b}\n{d}\nr"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    for window, least, cut in ((2, 2, {5: "z\nw", 7: "q\nr"}), (2, 4, {7: "q\nr"}), (2, 5, {})):
+        done = {r["row"]["doc_id"]: r["clean"] for r in line_dedup.dedup_lines(frame(spark, rows), window=window, min_lines=least).collect()}
+        assert done == dict(enumerate(texts)) | cut
+
+
 def test_line_dedup_keeps_rows_and_columns(spark):
     docs = frame(spark, AWKWARD)
     done = line_dedup.cleaned(docs)
