@@ -6,7 +6,8 @@ whole run. Each later place of a fingerprint is joined with its first place (sma
 then position) and its lines are deleted. A fingerprint of fewer lines would also stand at places
 where the run around it differs, so that the first place could hide the one that matters; of
 whole runs none may be left out, and the lines next to a repeat that are equal too form repeated
-runs with it, so a longer run goes whole.
+runs with it, so a longer run goes whole. A shorter run, down to one line, has a fingerprint of
+its own and goes likewise if it holds ``min_words`` words (between blanks) or more.
 Pairs are linear in the places of a fingerprint; the first place is a partial aggregate.
 
 Documents are ordered by id (null last), then by the code of their text. Defined cases: rows
@@ -28,19 +29,29 @@ from pyspark.sql import functions as F
 from orderlens.llm.shared import emit, order_id, prepare, saved, slices, text_bytes
 from orderlens.llm.words import BLANKS, span_codes, spans, starts_with_room, window_codes
 
+# A repeat of fewer than ``min_lines`` lines goes from so many words on.
+MIN_WORDS = 50
+
 NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
 
-LINES = "oid long, code long, lines array<long>, numbers array<int>, n_all int"
+LINES = "oid long, code long, lines array<long>, words array<int>, numbers array<int>, n_all int"
 LINES_ARROW = pa.schema(
-    [("oid", pa.int64()), ("code", pa.int64()), ("lines", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())), ("n_all", pa.int32())]
+    [
+        ("oid", pa.int64()),
+        ("code", pa.int64()),
+        ("lines", pa.list_(pa.int64())),
+        ("words", pa.list_(pa.int32())),
+        ("numbers", pa.list_(pa.int32())),
+        ("n_all", pa.int32()),
+    ]
 )
-MARKS = "oid long, code long, print long, pos int"
-MARKS_ARROW = pa.schema([("oid", pa.int64()), ("code", pa.int64()), ("print", pa.int64()), ("pos", pa.int32())])
+MARKS = "oid long, code long, print long, pos int, size int"
+MARKS_ARROW = pa.schema([("oid", pa.int64()), ("code", pa.int64()), ("print", pa.int64()), ("pos", pa.int32()), ("size", pa.int32())])
 
 
-def line_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code and number within its text of each line with a word, and where each text's begin."""
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and number within its text of each line with a word, and where each text's begin."""
     starts, ends = spans(data, offsets, NEWLINE)
     solid = np.r_[0, np.cumsum(~BLANKS[data])]
     held = solid[ends] > solid[starts]
@@ -48,21 +59,28 @@ def line_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     breaks = np.r_[0, np.cumsum(NEWLINE[data])]
     first = np.searchsorted(starts, offsets)
     texts = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    numbers = breaks[starts] - breaks[offsets[texts]]
+    return starts, ends, breaks[starts] - breaks[offsets[texts]], first
+
+
+def line_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code and number within its text of each line with a word, and where each text's begin."""
+    starts, ends, numbers, first = line_spans(data, offsets)
     return span_codes(data, starts, ends).view(np.int64), numbers, first
 
 
 def read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches_with_text_second(batches)):
         data, offsets = text_bytes(batch.column(1))
-        codes, numbers, first = line_codes(data, offsets)
+        starts, ends, numbers, first = line_spans(data, offsets)
+        words, _ = spans(data, offsets)
         breaks = np.r_[0, np.cumsum(NEWLINE[data])]
         at = pa.array(first, pa.int32())
         yield emit(
             LINES_ARROW,
             batch.column(0),
             batch.column(2),
-            pa.ListArray.from_arrays(at, pa.array(codes)),
+            pa.ListArray.from_arrays(at, pa.array(span_codes(data, starts, ends).view(np.int64))),
+            pa.ListArray.from_arrays(at, pa.array(np.searchsorted(words, ends) - np.searchsorted(words, starts), pa.int32())),
             pa.ListArray.from_arrays(at, pa.array(numbers, pa.int32())),
             breaks[offsets[1:]] - breaks[offsets[:-1]] + 1,
         )
@@ -72,23 +90,29 @@ def batches_with_text_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     yield from (b.select(["oid", "text", "code"]) for b in batches)
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Every run of ``size`` lines: its document, the code of the whole run and the place of its first line."""
+def fingerprints(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Every run of ``size`` lines, and of fewer with ``min_words`` words: its document, code, first line and length."""
     for batch in batches:
         codes = batch.column(2).flatten().to_numpy().view(np.uint64)
         first = np.r_[0, np.cumsum(batch.column(2).value_lengths().to_numpy())]
-        prints = window_codes(codes, size)
-        at = np.flatnonzero(starts_with_room(first, len(prints), size))
-        owner = np.searchsorted(first, at, "right") - 1
-        rows = pa.array(owner)
-        yield emit(MARKS_ARROW, batch.column(0).take(rows), batch.column(1).take(rows), prints[at].view(np.int64), at - first[owner])
-
-
-def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2) -> DataFrame:
+        words = np.r_[0, np.cumsum(batch.column(3).flatten().to_numpy(), dtype=np.int64)]
+        for n in range(1, size + 1):
+            prints = window_codes(codes, n)
+            fits = starts_with_room(first, len(prints), n)
+            if n < size:
+                fits &= words[n:] - words[:-n] >= min_words
+            at = np.flatnonzero(fits)
+            owner = np.searchsorted(first, at, "right") - 1
+            rows = pa.array(owner)
+            columns = batch.column(0).take(rows), batch.column(1).take(rows), prints[at].view(np.int64), at - first[owner]
+            yield emit(MARKS_ARROW, *columns, np.full(len(at), n))
+
+
+def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``: oid, code, text. Per document with repeated runs: a flag for each of its lines."""
     size = max(window, min_lines)
     lines = saved(docs.mapInArrow(read_lines, LINES).dropDuplicates(["oid", "code"]))
-    marks = lines.select("oid", "code", "lines").mapInArrow(lambda it: fingerprints(it, size), MARKS)
+    marks = lines.select("oid", "code", "lines", "words").mapInArrow(lambda it: fingerprints(it, size, min_words), MARKS)
     firsts = (
         marks.groupBy("print")
         .agg(F.min(F.struct("oid", "code", "pos")).alias("first"), F.count("*").alias("n"))
@@ -99,7 +123,7 @@ def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2) -> DataFrame
         marks.join(firsts, "print")
         .where(F.struct("oid", "code", "pos") != F.col("first"))
         .groupBy("oid", "code")
-        .agg(F.collect_list("pos").alias("starts"))
+        .agg(F.collect_list(F.struct("pos", "size")).alias("runs"))
     )
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +132,8 @@ def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2) -> DataFrame
         )
         for batch in batches:
             marked, counts, whole = [], [], []
-            for starts, numbers, n_all in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                gone = np.unique(np.add.outer(np.array(starts), np.arange(size)))
+            for runs, numbers, n_all in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                gone = sorted({k for r in runs for k in range(r["pos"], r["pos"] + r["size"])})
                 row = np.zeros(n_all, bool)
                 row[np.array(numbers)[gone]] = True
                 marked.append(row)
@@ -122,7 +146,9 @@ def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2) -> DataFrame
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_lines: int = 2) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_lines: int = 2, min_words: int = MIN_WORDS
+) -> DataFrame:
     """``row`` (all columns of ``docs``), ``clean`` (its text without later repeated runs) and ``n_removed``."""
     prepare(docs.sparkSession)
     text = docs[text_col].cast("string")
@@ -132,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("code"),
         text.alias("text"),
     )
-    gone = deletions(rows.where("text is not null").select("oid", "code", "text"), window, min_lines)
+    gone = deletions(rows.where("text is not null").select("oid", "code", "text"), window, min_lines, min_words)
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.get(F.col("flags"), k)), "\n")
     return rows.join(gone, ["oid", "code"], "left").select(
         "row",
@@ -150,7 +176,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     return done.select([new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def brute_force(docs: list[tuple], window: int = 2, min_lines: int = 2) -> dict[tuple, set[int]]:
+def brute_force(docs: list[tuple], window: int = 2, min_lines: int = 2, min_words: int = MIN_WORDS) -> dict[tuple, set[int]]:
     """For tests: by (id, text), the numbers of the lines that go. ``docs`` are (id, code, text).
 
     Compares each line with every equal line before it, whatever stands around it there, and
@@ -171,7 +197,8 @@ def brute_force(docs: list[tuple], window: int = 2, min_lines: int = 2) -> dict[
                     low += 1
                 while b + high < len(x) and a + high < len(y) and x[b + high][1] == y[a + high][1]:
                     high += 1
-                if low + high >= max(window, min_lines):
+                n_words = sum(len(line.encode().split()) for _, line in x[b - low : b + high])
+                if low + high >= max(window, min_lines) or n_words >= min_words:
                     gone.setdefault(b_key, set()).update(x[k][0] for k in range(b - low, b + high))
             before.append((b_key, b))
     return gone

@@ -213,6 +213,36 @@ def test_line_dedup_finds_runs_of_frequent_lines(spark):
         assert done == dict(enumerate(texts)) | cut
 
 
+def test_line_dedup_finds_long_single_lines(spark):
+    """A passage on one line goes between new neighbours and as a whole document; a word less stays."""
+    long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(49))
+    half = " ".join(f"u{k}" for k in range(25))
+    texts = [f"a\n{long}\nb\n{short}\nc", f"d\n\n{long}\ne", long, f"f\n{short}\ng", short]
+    texts += [f"h\n{half}\n{half} x\ni", f"j\n{half}\n{half} x\nk", f"l\n{long}\nj\nm"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    for window, least, most, cut in (
+        (2, 2, 50, {1: "d\n\ne", 2: "", 6: "j\nk", 7: "l\nj\nm"}),
+        (2, 3, 50, {1: "d\n\ne", 2: "", 6: "j\nk", 7: "l\nj\nm"}),
+        (2, 3, 52, {}),
+        (2, 2, 49, {1: "d\n\ne", 2: "", 3: "f\ng", 4: "", 6: "j\nk", 7: "l\nj\nm"}),
+    ):
+        done = {r["row"]["doc_id"]: r["clean"] for r in line_dedup.dedup_lines(frame(spark, rows), window=window, min_lines=least, min_words=most).collect()}
+        assert done == dict(enumerate(texts)) | cut
+    by_default = {r["row"]["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert by_default == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 2, 7: 1}
+
+
+def test_line_dedup_of_short_runs_equals_brute_force(spark):
+    rnd = random.Random(5)
+    pool = [" ".join(f"t{k}" for _ in range(k)) for k in range(1, 13)] + ["", "  "]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 9))), "s") for i in range(60)]
+    code = {r[0]: r[1] for r in frame(spark, rows).select("doc_id", F.xxhash64("text")).collect()}
+    for window, least, most in ((2, 2, 10), (2, 4, 14), (5, 3, 20)):
+        gone = line_dedup.brute_force([(i, code[i], t) for i, t, _ in rows], window, least, most)
+        done = line_dedup.dedup_lines(frame(spark, rows), window=window, min_lines=least, min_words=most)
+        assert {r["row"]["doc_id"]: r["n_removed"] for r in done.collect()} == {i: len(gone.get((i, code[i]), ())) for i, _, _ in rows}
+
+
 def test_line_dedup_keeps_rows_and_columns(spark):
     docs = frame(spark, AWKWARD)
     done = line_dedup.cleaned(docs)
