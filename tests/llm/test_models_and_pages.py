@@ -90,6 +90,18 @@ def test_article_markup_decides(spark):
     assert row["text"] == "Café & bar\nFirst bold line goes on.\nSecond one <b>.\nx\ny"
 
 
+def test_names_inside_an_article_drop_only_containers():
+    article = """<article><h2 id="search">Search</h2><p class="alert">Mind this.</p><section id="related-work"><p>Others wrote.</p></section>
+<section id="header-files"><p>Include them.</p></section><div class="share-bar"><p>Share</p></div><div role="alert"><p>Saved</p></div>
+<section id="comments"><p>Nice read</p></section><form><p>Your mail</p></form><p hidden>Not shown</p></article>"""
+    text = "Search\nMind this.\nOthers wrote.\nInclude them."
+    assert html_text.split_page(article)[0] == text
+    assert html_text.split_page(f"<body><form id='page'><p>Menu</p>{article}<p>End</p></form></body>")[0] == text
+    assert html_text.split_page("<form><p>Menu</p><main><p>Told here.</p></main></form>")[0] == "Told here."
+    assert html_text.split_page(f"<nav>{article}</nav>")[0] is None
+    assert html_text.split_page("<p class='alert'>Notice</p><p>Story</p>")[1] == ["Story"]
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<p class='a>text", "a < b", "<script>open", "</div></p>text", "<!-- open", "<div " * 2000, "&#0;&bogus;&#x110000;", "<p><p><p>"])
 def test_broken_markup_is_read(html):
     assert isinstance(html_text.blocks(html), list)
