@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, html_text, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, substring_dedup, toxicity
+from orderlens.llm import (
+    centroid_clusters,
+    decontamination,
+    html_text,
+    jaccard_join,
+    line_dedup,
+    personal_data,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+    warc_archive,
+    whitening,
+)
 from orderlens.llm.packing import pack
 from orderlens.llm.shared import table
 
@@ -55,6 +68,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_removed", F.col("clean").alias("text"))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.digest(centroid_clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_jaccard_join": op2_jaccard_join,
@@ -66,8 +91,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_warc_archive": op11_warc_archive,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
     "op8_quality_rules": quality_rules.ORACLE,
+    "op11_warc_archive": warc_archive.ORACLE,
+    "op12_centroid_clusters": centroid_clusters.ORACLE,
 }
