@@ -34,25 +34,14 @@ def plain_types(df: DataFrame) -> DataFrame:
 
 
 def _checked(rule) -> Report:
-    """A rule over raw orders and both masters with the expected years."""
-    return lambda s: rule(s.raw(), s.customers, s.products, EXPECTED_YEARS, s.raw("discount_pct"))
+    """A rule over the orders as delivered and both masters with the expected years."""
+    return lambda s: rule(s.deliveries(), s.customers, s.products, EXPECTED_YEARS, s.deliveries("discount_pct"))
 
 
 def _ids(condition, *columns: str) -> Report:
     return lambda s: quality.ids_where(s.raw("order_id", *columns), condition())
 
 
-def _line_ids(sales: Sales) -> DataFrame:
-    """Order and line number as the id: on the supplied lines it repeats."""
-    return sales.raw("order_id").select(F.substring_index("order_id", "-", 2).alias("order_id"))
-
-
-def _line_rows(sales: Sales) -> DataFrame:
-    """Rows of several columns that repeat as a whole on the supplied lines."""
-    rows = sales.raw("order_id", "order_date", "customer_id", "payment_status")
-    return rows.withColumn("order_id", F.substring_index("order_id", "-", 2))
-
-
 def _counts(table: str, column: str) -> Report:
     if table == "orders":
         return lambda s: profiling.value_counts(s.raw(column), column)
@@ -82,10 +71,8 @@ SOURCES: dict[str, Report] = {
 
 QUALITY: dict[str, Report] = {
     "dq_missing": lambda s: quality.ids_where(s.raw(), quality.has_missing(s.raw().columns)),
-    "dq_dup_id": lambda s: quality.repeated_ids(s.raw("order_id")),
-    "dq_dup_id_by_line": lambda s: quality.repeated_ids(_line_ids(s)),
-    "dq_dup_row": lambda s: quality.repeated_rows(s.raw()),
-    "dq_dup_row_by_line": lambda s: quality.repeated_rows(_line_rows(s)),
+    "dq_dup_id": lambda s: quality.repeated_ids(s.deliveries("order_id")),
+    "dq_dup_row": lambda s: quality.repeated_rows(s.deliveries()),
     "dq_bad_status": _ids(quality.bad_status, "payment_status"),
     "dq_qty": lambda s: quality.ids_where(s.raw("order_id", "quantity"), F.col("quantity") <= 0),
     "dq_iqr_outlier": lambda s: quality.iqr_outliers(s.raw("order_id", "discount_pct")),
@@ -112,8 +99,7 @@ QUALITY: dict[str, Report] = {
         s.raw("order_id", "quantity", "discount_pct", "net_sales")
     ),
     "dq_status_spelling": lambda s: quality.status_spelling(s.raw("payment_status")),
-    "dq_duplicate_ids": lambda s: quality.duplicate_ids(s.raw("order_id")),
-    "dq_duplicate_ids_by_line": lambda s: quality.duplicate_ids(_line_ids(s)),
+    "dq_duplicate_ids": lambda s: quality.duplicate_ids(s.deliveries("order_id")),
 }
 
 CLEANING: dict[str, Report] = {

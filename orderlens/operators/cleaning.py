@@ -138,6 +138,22 @@ def build_clean(raw: DataFrame, customers: DataFrame, products: DataFrame) -> Da
     return add_customer(derive(clean_text(kept)), customers).select(*CLEAN_COLUMNS)
 
 
+# Why a row is not in the cleaned table; a row with both faults has the first.
+UNKNOWN_PRODUCT = "unknown_product"
+BAD_QUANTITY = "bad_quantity"
+KEPT = "none"
+
+
+def build_marked(raw: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
+    """``build_clean`` before rows go: every raw row, with the reason for its removal."""
+    known = products.select("product_id", "product_name", "category", F.lit(True).alias("_product"))
+    reason = (
+        F.when(F.col("_product").isNull(), UNKNOWN_PRODUCT).when(bad_quantity(), BAD_QUANTITY).otherwise(KEPT)
+    )
+    marked = raw.join(known, "product_id", "left").withColumn("removed_for", reason).drop("_product")
+    return add_customer(derive(clean_text(marked)), customers).select(*CLEAN_COLUMNS, "removed_for")
+
+
 def removal_counts(raw: DataFrame, products: DataFrame) -> DataFrame:
     """One row: all rows, rows with an unknown product, other rows with a bad quantity.
 
@@ -164,14 +180,29 @@ LOG_STEPS = (
 )
 
 
-def cleaning_log(raw: DataFrame, products: DataFrame) -> DataFrame:
-    """Rows removed per step. A row with both faults counts under the first."""
+def log_rows(counts: DataFrame) -> DataFrame:
+    """The log from one row with ``orphan_rows`` and ``bad_quantity_rows``."""
     removed = (F.lit(0).cast("bigint"), F.col("orphan_rows"), F.col("bad_quantity_rows"))
     rows = [
         F.struct(F.lit(step).alias("step"), n.alias("rows_removed"))
         for step, n in zip(LOG_STEPS, removed)
     ]
-    return removal_counts(raw, products).select(F.inline(F.array(*rows)))
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def cleaning_log(raw: DataFrame, products: DataFrame) -> DataFrame:
+    """Rows removed per step. A row with both faults counts under the first."""
+    return log_rows(removal_counts(raw, products))
+
+
+def removal_metrics() -> list[Column]:
+    """The counts of the log over the rows of ``build_marked``, for ``DataFrame.observe``."""
+    reason = F.col("removed_for")
+    return [
+        F.count("*").alias("raw_rows"),
+        F.count_if(reason == UNKNOWN_PRODUCT).alias("orphan_rows"),
+        F.count_if(reason == BAD_QUANTITY).alias("bad_quantity_rows"),
+    ]
 
 
 def cleaning_summary(raw: DataFrame, products: DataFrame) -> DataFrame:

@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orderlens.functions.columns import dbl
 from orderlens.session import stage
 
 COPIES_PER_CHUNK = 10_000
-SKETCH_ACCURACY = 10_000  # rank error of the sketch: 1 / SKETCH_ACCURACY of the rows
+# Size of a KLL sketch, and a rank error (as a share of the rows) that it keeps with near certainty.
+KLL_SIZE = 4096
+KLL_ERROR = 0.002
 
 
 def running_before(
@@ -73,12 +76,48 @@ def repeat_rows(df: DataFrame, copies: str, index: str) -> DataFrame:
     )
 
 
-def quantile_sketch(columns: dict[str, Column], probs: dict[str, float], slack: float | None = None) -> list[Column]:
-    """Aggregates whose row tells ``exact_quantiles`` where each quantile surely lies: values
-    a little before and behind it, by a sketch with a known rank error."""
-    slack = 2 / SKETCH_ACCURACY if slack is None else slack
-    around = [min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-slack, slack)]
-    return [F.percentile_approx(v, around, SKETCH_ACCURACY).alias(f"_near_{c}") for c, v in columns.items()]
+def sum_of_largest(df: DataFrame, value: str, n: int, most: int = 100_000) -> DataFrame:
+    """One row (``total``): the sum of the ``n`` largest of a column without missing values.
+
+    Rows are never brought into order. Each pass brackets the n-th largest by a sketch of the
+    values still in question, adds up what lies above the bracket and keeps what lies inside;
+    when at most ``most`` different values are left, their counts are ordered. Of tied values
+    any will do, so the last one counts as often as there is room. ``df`` is read per pass.
+    """
+    inside, found = df.select(value), []
+    rest = n
+    while True:
+        values = inside.groupBy(value).agg(F.count("*").alias("copies"))
+        if values.limit(most + 1).count() <= most:
+            break
+        rows = inside.count()
+        around = [min(max(1 - (rest + s * rows) / rows, 0.0), 1.0) for s in (KLL_ERROR, -KLL_ERROR)]
+        sketch = inside.agg(F.kll_sketch_agg_double(dbl(value), F.lit(KLL_SIZE)).alias("kll"))
+        low, high = sketch.select(F.kll_sketch_get_quantile_double("kll", F.array(*map(F.lit, around)))).first()[0]
+        above = inside.filter(dbl(value) > high).agg(F.count("*").alias("n"), F.sum(value).alias("total")).first()
+        below = inside.filter(dbl(value) < low).count()
+        # A bracket that misses the n-th value, which the sketch's error bound excludes, is left unused.
+        top = above.n < rest
+        bottom = rows - below >= rest
+        if not ((top and above.n) or (bottom and below)):
+            break
+        if top:
+            found.append(above.total)
+            rest -= above.n
+            inside = inside.filter(dbl(value) <= high)
+        if bottom:
+            inside = inside.filter(dbl(value) >= low)
+    before = W.orderBy(F.col(value).desc()).rowsBetween(W.unboundedPreceding, -1)
+    counts = values.withColumn("before", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    used = F.greatest(F.least(F.col("copies"), F.lit(rest) - F.col("before")), F.lit(0))
+    known = [F.lit(t) for t in found if t is not None]
+    total = F.coalesce(F.sum(F.col(value) * used.cast("decimal(18,0)")), F.lit(0))
+    return counts.agg(reduce(lambda a, b: a + b, known, total).alias("total"))
+
+
+def quantile_sketch(columns: dict[str, Column]) -> list[Column]:
+    """One mergeable sketch per column, for ``exact_quantiles``."""
+    return [F.kll_sketch_agg_double(v, F.lit(KLL_SIZE)).alias(f"_kll_{c}") for c, v in columns.items()]
 
 
 def exact_quantiles(df: DataFrame, probs: dict[str, float], sketch: DataFrame | None = None) -> DataFrame:
@@ -86,19 +125,29 @@ def exact_quantiles(df: DataFrame, probs: dict[str, float], sketch: DataFrame |
     per column with the names of ``probs``.
 
     ``sketch`` is the row of ``quantile_sketch``, for a caller that has it from another pass.
-    One pass then counts each value inside the brackets, and the rows before, between and
-    behind them as a whole; only these counts are brought into order. A quantile outside its
-    bracket, which the sketch's error bound excludes, would widen the brackets.
+    Quantiles of the sketch a little before and behind each probability bracket the value. One
+    pass counts the rows before, between and behind the brackets, another the values inside
+    them; only these are brought into order. A quantile outside its bracket, which the sketch's
+    error all but excludes, would widen the brackets.
     """
-    slack = 2 / SKETCH_ACCURACY
+    slack = KLL_ERROR
     columns = {c: F.col(c) for c in df.columns}
+    if sketch is None:
+        sketch = df.agg(*quantile_sketch(columns))
+    sketch = stage(sketch)
     while True:
-        if sketch is None:
-            sketch = df.agg(*quantile_sketch(columns, probs, slack))
-        found = _quantiles_near(df, probs, _spans(sketch.first(), df.columns))
+        around = [min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-slack, slack)]
+        near = [
+            F.when(
+                F.kll_sketch_get_n_double(f"_kll_{c}") > 0,
+                F.kll_sketch_get_quantile_double(f"_kll_{c}", F.array(*map(F.lit, around))),
+            ).alias(f"_near_{c}")
+            for c in columns
+        ]
+        found = _quantiles_near(df, probs, _spans(sketch.select(*near).first(), df.columns))
         if found.filter("outside").isEmpty():
             return found.drop("outside")
-        slack, sketch = slack * 16, None
+        slack *= 16
 
 
 def _spans(sketch, columns: list[str]) -> dict[str, list[tuple[float, float]]]:
@@ -116,21 +165,37 @@ def _spans(sketch, columns: list[str]) -> dict[str, list[tuple[float, float]]]:
 
 
 def _quantiles_near(df: DataFrame, probs: dict[str, float], spans: dict[str, list[tuple[float, float]]]) -> DataFrame:
-    rows = []
-    for column, merged in spans.items():
-        value = F.col(column)
-        # Even: before, between or behind brackets; odd: inside one.
-        region = reduce(
-            lambda a, b: a + b, [(value >= low).cast("int") + (value > high).cast("int") for low, high in merged]
+    # Regions of a column: even before, between or behind brackets, odd inside one.
+    regions = {
+        column: reduce(
+            lambda a, b: a + b,
+            [(F.col(column) >= low).cast("int") + (F.col(column) > high).cast("int") for low, high in merged],
         )
-        rows.append(F.struct(F.lit(column).alias("column"), region.alias("region"), value.alias("value")))
-    inside = F.when(F.col("region") % 2 == 1, F.col("value"))
-    counts = (
-        df.select(F.inline(F.array(*rows)))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "region", inside.alias("inside"))
-        .agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+        for column, merged in spans.items()
+    }
+    outer = [
+        F.struct(
+            F.lit(column).alias("column"),
+            F.lit(k).alias("region"),
+            F.lit(None).cast("double").alias("inside"),
+            F.count_if(region == k).alias("n"),
+            F.min(F.when(region == k, F.col(column))).alias("least"),
+            F.max(F.when(region == k, F.col(column))).alias("most"),
+        )
+        for column, region in regions.items()
+        for k in range(0, 2 * len(spans[column]) + 1, 2)
+    ]
+    hits = [
+        F.when(region % 2 == 1, F.struct(F.lit(column).alias("column"), region.alias("region"), F.col(column).alias("inside")))
+        for column, region in regions.items()
+    ]
+    values = (
+        df.select(F.inline(F.array_compact(F.array(*hits))))
+        .groupBy("column", "region", "inside")
+        .agg(F.count("*").alias("n"))
+        .select("*", F.col("inside").alias("least"), F.col("inside").alias("most"))
     )
+    counts = df.agg(F.array(*outer).alias("outer")).select(F.inline("outer")).filter("n > 0").unionByName(values)
     order = [F.col("region").asc(), F.col("inside").asc()]
     placed = running_before(counts, order, {"start": "n"}, ["column"])
     # One row per column.

@@ -72,7 +72,7 @@ def describe_numeric(df: DataFrame) -> DataFrame:
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     doubles = {c: dbl(v) for c, v in values.items()}
     # One row, from one pass: the statistics and where the quartiles lie.
-    first = stage(df.agg(F.array(*stats).alias("stats"), *quantile_sketch(doubles, probs)))
+    first = stage(df.agg(F.array(*stats).alias("stats"), *quantile_sketch(doubles)))
     quartiles = exact_quantiles(df.select(*[v.alias(c) for c, v in doubles.items()]), probs, first)
     return (
         first.select(F.inline("stats"))

@@ -6,6 +6,7 @@ rules that look at one row share a single pass, the duplicate rules share one sh
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.columns import or_false
 from orderlens.operators.ordering import repeat_rows, running_before
 from orderlens.schema import MONEY_TOLERANCE, OUTLIER_DISCOUNT, STATUSES, literal_rows
+from orderlens.session import stage
 
 
 def has_missing(columns: list[str]) -> Column:
@@ -81,45 +83,61 @@ def missing_in(orders: DataFrame, master: DataFrame, key: str) -> DataFrame:
     return orders.join(master.select(key), key, "left_anti").select("order_id")
 
 
-def duplicate_ids(orders: DataFrame, key: str = "order_id") -> DataFrame:
+# Up to so many codes or keys the side that is looked up is sent to every task; it is counted first.
+MOST_SENT = 1_000_000
+
+Code = Callable[..., Column]
+
+
+def _small_side(df: DataFrame) -> DataFrame:
+    """``df`` written once and, if it is small by count, marked to be sent to the tasks."""
+    rows = stage(df)
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
+def repeat_candidates(rows: DataFrame, key: str, code: Code = F.xxhash64) -> DataFrame:
+    """The rows whose ``key`` may occur more than once, with all their columns.
+
+    First phase: only 8-byte codes of the keys are shuffled. Codes that repeat are few where
+    repeats are; the rows that have one are found without a shuffle of the rows. Equal keys have
+    equal codes, so no repeat is lost; what else shares a code is sorted out by whoever groups
+    the candidates by the key itself.
+    """
+    codes = rows.select(code(key).alias("_code")).groupBy("_code").agg(F.count("*").alias("_n"))
+    repeated = _small_side(codes.filter("_n > 1").select("_code"))
+    return rows.join(repeated, code(key) == F.col("_code"), "left_semi")
+
+
+def duplicate_ids(orders: DataFrame, key: str = "order_id", code: Code = F.xxhash64) -> DataFrame:
     """Ids that occur more than once, with their counts."""
-    return orders.groupBy(key).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > 1)
+    candidates = repeat_candidates(orders.select(key), key, code)
+    return candidates.groupBy(key).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > 1)
 
 
-def repeated_ids(orders: DataFrame, key: str = "order_id") -> DataFrame:
+def repeated_ids(orders: DataFrame, key: str = "order_id", code: Code = F.xxhash64) -> DataFrame:
     """The id of every second and later occurrence."""
-    extra = duplicate_ids(orders, key).select(key, (F.col("cnt") - 1).alias("copies"))
+    extra = duplicate_ids(orders, key, code).select(key, (F.col("cnt") - 1).alias("copies"))
     return repeat_rows(extra, "copies", "_copy").select(key)
 
 
-def _row_code(columns: list[str]) -> list[Column]:
-    """128 bits that stand for a whole row. Missing values enter by their place, which the
-    hash alone would pass over."""
-    missing = F.array(*[F.col(c).isNull() for c in columns])
-    return [
-        F.xxhash64(*columns, missing).alias("_code"),
-        F.xxhash64(F.lit(1), missing, *reversed(columns)).alias("_other_code"),
-    ]
-
+def _copies_per_id(orders: DataFrame, code: Code = F.xxhash64) -> DataFrame:
+    """(order_id, id_copies, row_copies): further occurrences of an id and of a whole row, for
+    the ids that repeat.
 
-def _copies_per_id(orders: DataFrame) -> DataFrame:
-    """(order_id, id_copies, row_copies): further occurrences of an id and of a whole row.
-
-    A repeated row repeats its id, so only the id and a code of the row are moved.
+    A repeated row repeats its id, so whole rows are compared (all columns, missing equal to
+    missing) only among the rows of candidate ids.
     """
-    same = (
-        orders.select("order_id", *_row_code(orders.columns))
-        .groupBy("order_id", "_code", "_other_code")
-        .agg(F.count("*").alias("cnt"))
-    )
-    return same.groupBy("order_id").agg(
+    columns = orders.columns
+    same = repeat_candidates(orders, "order_id", code).groupBy(*columns).agg(F.count("*").alias("cnt"))
+    per_id = same.groupBy("order_id").agg(
         (F.sum("cnt") - 1).alias("id_copies"), F.sum(F.col("cnt") - 1).alias("row_copies")
     )
+    return per_id.filter(F.col("id_copies") > 0)
 
 
-def repeated_rows(orders: DataFrame) -> DataFrame:
+def repeated_rows(orders: DataFrame, code: Code = F.xxhash64) -> DataFrame:
     """The id of every second and later occurrence of a whole row."""
-    extra = _copies_per_id(orders).filter(F.col("row_copies") > 0)
+    extra = _copies_per_id(orders, code).filter(F.col("row_copies") > 0)
     return repeat_rows(extra, "row_copies", "_copy").select("order_id")
 
 
@@ -240,7 +258,7 @@ def violation_counts(
         F.struct(F.lit(2).alias("check_no"), F.col("id_copies").alias("copies")),
         F.struct(F.lit(3).alias("check_no"), F.col("row_copies").alias("copies")),
     )
-    repeated = per_id.filter(F.col("id_copies") > 0).select("order_id", F.inline(both))
+    repeated = per_id.select("order_id", F.inline(both))
     return by_row.unionByName(repeated.filter(F.col("copies") > 0))
 
 
@@ -315,16 +333,12 @@ def affected_rows(
 ) -> DataFrame:
     """The full rows of every flagged order id.
 
-    One narrow sum per id decides: some row of the id breaks a rule, or the id repeats (which
-    a repeated whole row always does).
+    A row whose id occurs once is affected only by its own faults; every row of a repeated id
+    is. So the rows meet the masters and the few repeated ids, and none is shuffled by its id.
     """
     discounts = orders.select("discount_pct") if discounts is None else discounts
     broken = reduce(lambda a, b: a | b, _row_rules(orders, years, discounts).values())
-    per_id = (
-        _with_masters(orders, customers, products)
-        .select("order_id", broken.alias("_broken"))
-        .groupBy(F.col("order_id").alias("_flagged"))
-        .agg(F.bool_or("_broken").alias("_broken"), F.count("*").alias("cnt"))
-    )
-    flagged = per_id.filter(F.col("_broken") | (F.col("cnt") > 1)).select("_flagged")
-    return orders.join(flagged, F.col("order_id").eqNullSafe(F.col("_flagged")), "left_semi")
+    ids = duplicate_ids(orders.select("order_id")).select(F.col("order_id").alias("_id"), F.lit(True).alias("_again"))
+    rows = _with_masters(orders, customers, products)
+    found = rows.join(_small_side(ids), F.col("order_id").eqNullSafe(F.col("_id")), "left")
+    return found.filter(broken | F.col("_again").isNotNull()).select(*orders.columns)

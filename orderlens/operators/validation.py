@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import or_false
+from orderlens.operators.quality import duplicate_ids
 from orderlens.schema import MONEY_COLUMNS, STATUSES
 
 
@@ -24,8 +25,7 @@ def _count(df: DataFrame, condition: Column) -> DataFrame:
 
 def unique_ids(clean: DataFrame) -> DataFrame:
     """Ids that are repeated."""
-    per_id = clean.groupBy("order_id").agg(F.count("*").alias("rows"))
-    return _verdict(_count(per_id, F.col("rows") > 1), "order_id is unique")
+    return _verdict(duplicate_ids(clean).agg(F.count("*").alias("n")), "order_id is unique")
 
 
 def money_present(clean: DataFrame) -> DataFrame:
@@ -55,6 +55,32 @@ def products_known(clean: DataFrame, products: DataFrame) -> DataFrame:
     return _verdict(unknown.agg(F.sum("rows").alias("n")), "product_id is known")
 
 
+def row_metrics(kept: Column) -> list[Column]:
+    """What the rules that look at one row count, as aggregates over the rows that ``kept`` holds
+    for: measured with ``DataFrame.observe`` while the table is written."""
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in MONEY_COLUMNS])
+    status = F.col("payment_status")
+    foreign = F.coalesce(~status.isin(*STATUSES), F.lit(True))
+    return [
+        F.count_if(kept).alias("rows"),
+        F.count_if(kept & missing).alias("money"),
+        F.count_if(kept & ~or_false(F.col("quantity") > 0)).alias("quantity"),
+        F.count_if(kept & foreign).alias("foreign"),
+        *[F.count_if(kept & (status == s)).alias(f"status_{s}") for s in STATUSES],
+    ]
+
+
+def row_verdicts(spark: SparkSession, metrics: dict[str, int]) -> DataFrame:
+    """The verdicts of ``row_metrics``, in the shape of the other rules."""
+    absent = sum(metrics[f"status_{s}"] == 0 for s in STATUSES)
+    counts = (
+        ("no missing money", metrics["money"]),
+        ("quantity is positive", metrics["quantity"]),
+        ("payment_status is Paid, Pending, Overdue", metrics["foreign"] + absent),
+    )
+    return spark.createDataFrame([(r, n == 0, n) for r, n in counts], "rule string, passed boolean, violations long")
+
+
 def validate(clean: DataFrame, products: DataFrame) -> DataFrame:
     parts = [
         unique_ids(clean),
@@ -66,9 +92,13 @@ def validate(clean: DataFrame, products: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def require_valid(clean: DataFrame, products: DataFrame) -> None:
-    """Stop the job if a rule fails (five rows come to the driver)."""
-    failed = [r for r in validate(clean, products).collect() if not r.passed]
+def require_passed(verdicts: DataFrame) -> None:
+    """Stop the job if a rule fails (a row per rule comes to the driver)."""
+    failed = [r for r in verdicts.collect() if not r.passed]
     if failed:
         text = "; ".join(f"{r.rule}: {r.violations} violations" for r in failed)
         raise ValueError(f"cleaned orders are not valid - {text}")
+
+
+def require_valid(clean: DataFrame, products: DataFrame) -> None:
+    require_passed(validate(clean, products))

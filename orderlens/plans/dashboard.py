@@ -2,37 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.plans.parts import again, totals
-from orderlens.plans.sql_reports import KPI_SUMS, kpi_columns
+from orderlens.functions.columns import dbl
+from orderlens.operators.measures import AMOUNTS, Where
+from orderlens.plans.sql_reports import kpi_columns
 from orderlens.warehouse import Sales
 
-
-def _slices(sales: Sales) -> DataFrame:
-    """Totals per salesperson and category, summed per product id before the master joins."""
-    lines = sales.lines("salesperson", "product_id", *KPI_SUMS)
-    per_id = totals(lines, ["salesperson", "product_id"], KPI_SUMS)
-    master = sales.products.select("product_id", "category")
-    return again(per_id.join(master, "product_id", "inner"), ["salesperson", "category"])
+CUBE_MEASURES = ("orders", "net_rows", "losses", *AMOUNTS)
 
 
 def cube(sales: Sales) -> DataFrame:
-    """The headline figures for each selection, also for "all". A missing key is not "all":
-    the two flags tell them apart. The cube runs on the summed slices, not on the lines."""
-    slices = _slices(sales)
-    names = [c for c in slices.columns if c not in ("salesperson", "category")]
-    return (
-        slices.cube("salesperson", "category")
+    """The eleven headline figures for each selection, also for "all". A missing key is not
+    "all": the two flags tell them apart. The cube runs on slices (salesperson, category, block
+    of customers), not on the lines: blocks keep their bitmaps apart, so that the bitmaps of one
+    block are united through the cube and the bits of all blocks add up to distinct customers."""
+    person, kind, block = keys = ("salesperson", "category", "block")
+    blocks = (
+        sales.slices(CUBE_MEASURES)
+        .groupingSets([[person, kind, block], [person, block], [kind, block], [block]], *keys)
         .agg(
-            (F.grouping("salesperson") == 1).alias("all_salespeople"),
-            (F.grouping("category") == 1).alias("all_categories"),
-            *[F.sum(c).alias(c) for c in names],
+            (F.grouping(person) == 1).alias("all_salespeople"),
+            (F.grouping(kind) == 1).alias("all_categories"),
+            *[F.sum(m).alias(m) for m in CUBE_MEASURES],
+            F.bitmap_count(F.bitmap_or_agg("customers")).alias("customers"),
         )
-        .select("salesperson", "category", "all_salespeople", "all_categories", *kpi_columns())
+    )
+    selection = (person, kind, "all_salespeople", "all_categories")
+    totals = blocks.groupBy(*selection).agg(*[F.sum(m).alias(m) for m in (*CUBE_MEASURES, "customers")])
+    return totals.select(
+        *selection,
+        *kpi_columns(),
+        dbl("cost").alias("total_cost"),
+        F.col("customers").alias("active_customers"),
+        F.col("losses").alias("loss_orders"),
     )
 
 
@@ -67,3 +73,13 @@ class Selection:
     def clean(self) -> DataFrame:
         clean = self.sales.clean()
         return self._pick(clean).select(*clean.columns)
+
+    def _where(self, more: Where | None) -> dict[str, object]:
+        mine = {"salesperson": self.salesperson, "category": self.category}
+        return {k: v for k, v in mine.items() if v is not None} | dict(more or {})
+
+    def summed(self, keys: Sequence[str], names: Sequence[str], where: Where | None = None) -> DataFrame:
+        return self.sales.summed(keys, names, self._where(where))
+
+    def with_customers(self, names: Sequence[str], where: Where | None = None) -> DataFrame:
+        return self.sales.with_customers(names, self._where(where))

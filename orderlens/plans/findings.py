@@ -12,10 +12,9 @@ from orderlens.plans.parts import (
     amount,
     largest,
     overall,
-    per_category,
+    overdue,
     per_customer,
     per_product,
-    totals,
 )
 from orderlens.plans.sql_reports import MONEY_SUMS, monthly_totals
 from orderlens.warehouse import Sales
@@ -27,11 +26,11 @@ def receivables(sales: Sales) -> DataFrame:
     def part(*names: str) -> Column:
         return F.coalesce(F.sum(F.when(status.isin(*names), F.col("net_sales"))), F.lit(0))
 
-    one = sales.facts("payment_status", "net_sales").agg(
+    one = sales.summed(["payment_status"], ("orders", "net_sales")).agg(
         part("Pending", "Overdue").alias("uncollected"),
         part("Pending").alias("pending"),
         part("Overdue").alias("overdue"),
-        F.count_if(status == "Overdue").alias("overdue_orders"),
+        overdue("orders").alias("overdue_orders"),
         F.sum("net_sales").alias("net_sales"),
     )
     return one.select(
@@ -44,9 +43,7 @@ def receivables(sales: Sales) -> DataFrame:
 
 
 def discount_share(sales: Sales) -> DataFrame:
-    one = sales.facts("gross_sales", "discount_amount").agg(
-        F.sum("gross_sales").alias("gross_sales"), F.sum("discount_amount").alias("discount_amount")
-    )
+    one = sales.summed([], ("gross_sales", "discount_amount"))
     return one.select(
         amount("gross_sales"),
         amount("discount_amount"),
@@ -77,7 +74,7 @@ def best_worst_month(sales: Sales) -> DataFrame:
     )
 
 
-def hidden_problem_products(sales: Sales, top: int = 10, below: float = 15.0) -> DataFrame:
+def hidden_problem_products(sales: Sales, top: int = 10, below: float = 8.0) -> DataFrame:
     """Products among the ``top`` by sales whose margin is under ``below`` percent."""
     place = F.rank().over(W.orderBy(F.col("net_sales").desc_nulls_last()))
     return (
@@ -249,7 +246,7 @@ def scope_counts(sales: Sales) -> DataFrame:
 
 
 def below_average_categories(sales: Sales) -> DataFrame:
-    rows = per_category(sales, MONEY_SUMS).select(
+    rows = sales.summed(["category"], MONEY_SUMS).select(
         "category",
         percent("profit", "net_sales").alias("margin_pct"),
         percent(overall("profit"), overall("net_sales")).alias("overall_margin_pct"),

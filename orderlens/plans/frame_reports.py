@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderlens.functions.columns import dbl, month_name, percent
-from orderlens.operators.ordering import running_before
+from orderlens.functions.columns import band_by_bins, dbl, month_name, percent
+from orderlens.operators.measures import AMOUNTS, added
+from orderlens.operators.ordering import running_before, sum_of_largest
 from orderlens.plans.parts import (
-    AMOUNTS,
     again,
     amount,
     by_customer_attribute,
     largest,
     overall,
-    per_category,
+    overdue,
     per_customer,
     per_product,
     totals,
@@ -52,21 +54,7 @@ def mean(total: str, count: str) -> Column:
 
 def kpi_full(sales: Sales) -> DataFrame:
     """Eleven figures as (metric, value). Unknown customer ids count as customers."""
-    lines = sales.facts("customer_id", *AMOUNTS, "is_loss")
-    one = (
-        lines.groupBy("customer_id")
-        .agg(
-            F.count("*").alias("orders"),
-            F.count("net_sales").alias("net_rows"),
-            F.count_if("is_loss").alias("losses"),
-            *[F.sum(a).alias(a) for a in AMOUNTS],
-        )
-        .agg(
-            *[F.sum(c).alias(c) for c in ("orders", "net_rows", "losses", *AMOUNTS)],
-            F.count("customer_id").alias("customers"),
-        )
-        .fillna(0)
-    )
+    one = sales.with_customers(("orders", "net_rows", "losses", *AMOUNTS)).fillna(0)
     values = (
         dbl("orders"),
         dbl("quantity"),
@@ -88,17 +76,16 @@ def kpi_full(sales: Sales) -> DataFrame:
 
 def monthly(sales: Sales) -> DataFrame:
     """By month of the year; the years fall together. Twelve rows at most."""
-    lines = sales.facts("order_date", "order_id", *MONEY_SUMS)
-    lines = lines.filter(F.col("order_date").isNotNull())
-    lines = lines.withColumn("order_month_num", F.month("order_date"))
+    months = sales.summed(["order_month_num"], ("ids", *MONEY_SUMS))
     before = F.lag(dbl("net_sales")).over(W.orderBy("order_month_num"))
     growth = (F.try_divide(dbl("net_sales"), before) - 1) * 100
     return (
-        totals(lines, ["order_month_num"], MONEY_SUMS, frame=True)
+        months.filter(F.col("order_month_num").isNotNull())
+        .fillna(0, list(MONEY_SUMS))
         .select(
             "order_month_num",
             month_name(F.make_date(F.lit(2000), "order_month_num", F.lit(1))).alias("order_month"),
-            "orders",
+            F.col("ids").alias("orders"),
             amount("net_sales"),
             amount("profit"),
             margin(),
@@ -111,11 +98,12 @@ def monthly(sales: Sales) -> DataFrame:
 def category(sales: Sales) -> DataFrame:
     """The share is of the sales of all categories."""
     return (
-        per_category(sales, ("quantity", *MONEY_SUMS), frame=True)
+        sales.summed(["category"], ("ids", "quantity", *MONEY_SUMS))
         .filter(F.col("category").isNotNull())
+        .fillna(0, ["quantity", *MONEY_SUMS])
         .select(
             "category",
-            "orders",
+            F.col("ids").alias("orders"),
             F.col("quantity").alias("units"),
             amount("net_sales"),
             amount("profit"),
@@ -221,38 +209,39 @@ def first_customers(sales: Sales, n: int = 10) -> DataFrame:
 
 
 def pareto(sales: Sales, share: float = 0.2) -> DataFrame:
-    """Share of sales that the top fifth of the customers (rounded up) brings."""
-    ranked = _ranked_customers(sales)
-    last = F.ceil(F.count("*").cast("double") * F.lit(share))
-    size = ranked.agg(last.alias("top"), F.sum("net_sales").alias("everything"))
-    top = size.select("top").scalar()
-    everything = size.select("everything").scalar()
-    running = F.col("sales_before") + F.col("net_sales")
-    return ranked.filter(F.col("place") + 1 == top).select(
-        (F.col("place") + 1).cast("bigint").alias("top_customers"),
-        percent(running, everything).alias("cum_share_pct"),
+    """Share of sales that the top fifth of the customers (rounded up) brings. Customers are
+    selected by the value of the last of them, not brought into order."""
+    people = per_customer_sales(sales)
+    size = people.agg(F.count("*").alias("n"), F.sum("net_sales").alias("everything")).first()
+    if not size.n:
+        return people.select(F.lit(None).cast("bigint").alias("top_customers"), dbl("net_sales").alias("cum_share_pct")).limit(0)
+    top = math.ceil(size.n * share)
+    best = sum_of_largest(people, "net_sales", top)
+    return best.select(
+        F.lit(top).cast("bigint").alias("top_customers"),
+        percent("total", F.lit(size.everything)).alias("cum_share_pct"),
     )
 
 
+def per_customer_sales(sales: Sales) -> DataFrame:
+    """customer_id and net_sales of each present id, made once."""
+    people = sales.summed(["customer_id"], ("net_sales",)).fillna(0, ["net_sales"])
+    return stage(people.filter(F.col("customer_id").isNotNull()).select("customer_id", "net_sales"))
+
+
 def salespeople(sales: Sales) -> DataFrame:
-    columns = ("salesperson", "order_id", *MONEY_SUMS, "discount_pct", "is_loss", "payment_status")
-    lines = sales.facts(*columns).filter(F.col("salesperson").isNotNull())
-    people = lines.groupBy("salesperson").agg(
-        F.count("order_id").alias("orders"),
-        F.coalesce(F.sum("net_sales"), F.lit(0)).alias("net_sales"),
-        F.coalesce(F.sum("profit"), F.lit(0)).alias("profit"),
-        F.sum("discount_pct").alias("discount"),
-        F.count("discount_pct").alias("discount_rows"),
-        F.count_if("is_loss").alias("loss_orders"),
-        F.count_if(F.col("payment_status") == "Overdue").alias("overdue_orders"),
-    )
+    names = ("ids", *MONEY_SUMS, "discount", "discount_rows", "losses", "orders")
+    groups = sales.summed(["salesperson", "payment_status"], names)
+    groups = groups.filter(F.col("salesperson").isNotNull())
+    people = added(groups, ["salesperson"], names, overdue("orders").alias("overdue_orders"))
+    people = people.fillna(0, list(MONEY_SUMS))
     return people.select(
         "salesperson",
-        "orders",
+        F.col("ids").alias("orders"),
         amount("net_sales"),
         amount("profit"),
         mean("discount", "discount_rows").alias("avg_discount_pct"),
-        "loss_orders",
+        F.col("losses").alias("loss_orders"),
         "overdue_orders",
         margin(),
     ).orderBy(F.desc("net_sales"), "salesperson")
@@ -265,8 +254,8 @@ def _over_domain(sales: Sales, groups: DataFrame, key: str, values: tuple[str, .
 
 
 def payment_status(sales: Sales) -> DataFrame:
-    lines = sales.facts("order_id", "payment_status", "net_sales")
-    groups = totals(lines, ["payment_status"], ("net_sales",), frame=True)
+    groups = sales.summed(["payment_status"], ("ids", "net_sales")).fillna(0, ["net_sales"])
+    groups = groups.withColumnRenamed("ids", "orders")
     rows = _over_domain(sales, groups, "payment_status", STATUSES)
     share = percent("net_sales", overall("net_sales")).alias("share_pct")
     return (
@@ -277,9 +266,9 @@ def payment_status(sales: Sales) -> DataFrame:
 
 
 def overdue_customers(sales: Sales, n: int = 10) -> DataFrame:
-    overdue = per_customer(sales, ("net_sales",), frame=True, status="Overdue")
-    overdue = overdue.filter(F.col("customer_id").isNotNull())
-    return largest(overdue, "net_sales", n, "customer_id").select(
+    people = per_customer(sales, ("net_sales",), frame=True, status="Overdue")
+    people = people.filter(F.col("customer_id").isNotNull())
+    return largest(people, "net_sales", n, "customer_id").select(
         "customer_id",
         "customer_name",
         "city",
@@ -289,16 +278,11 @@ def overdue_customers(sales: Sales, n: int = 10) -> DataFrame:
 
 
 def discount_bands(sales: Sales) -> DataFrame:
-    lines = sales.facts("order_id", "discount_band", *MONEY_SUMS, "is_loss")
-    groups = (
-        lines.groupBy("discount_band")
-        .agg(
-            F.count("order_id").alias("orders"),
-            *[F.sum(m).alias(m) for m in MONEY_SUMS],
-            F.count_if("is_loss").alias("loss_orders"),
-        )
-        .fillna(0, list(MONEY_SUMS))
-    )
+    names = ("ids", *MONEY_SUMS, "losses")
+    values = sales.summed(["discount_pct"], names)
+    bands = values.withColumn("discount_band", band_by_bins(F.col("discount_pct")))
+    groups = added(bands, ["discount_band"], names).fillna(0, list(MONEY_SUMS))
+    groups = groups.withColumnsRenamed({"ids": "orders", "losses": "loss_orders"})
     rows = _over_domain(sales, groups, "discount_band", BANDS)
     return (
         rows.select(
@@ -355,12 +339,16 @@ def loss_by_category(sales: Sales) -> DataFrame:
 
 
 def quarters(sales: Sales) -> DataFrame:
-    lines = sales.facts("order_id", "order_date", *MONEY_SUMS)
-    lines = lines.filter(F.col("order_date").isNotNull())
     return (
-        totals(lines.withColumn("number", F.quarter("order_date")), ["number"], MONEY_SUMS, frame=True)
-        .select(F.concat(F.lit("Q"), "number").alias("quarter"), "orders", amount("net_sales"), amount("profit"), margin())
+        sales.summed(["quarter"], ("ids", *MONEY_SUMS))
+        .filter(F.col("quarter").isNotNull())
+        .fillna(0, list(MONEY_SUMS))
+        .select(
+            F.concat(F.lit("Q"), "quarter").alias("quarter"),
+            F.col("ids").alias("orders"),
+            amount("net_sales"),
+            amount("profit"),
+            margin(),
+        )
         .orderBy("quarter")
     )
-
-

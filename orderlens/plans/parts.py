@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.columns import dbl
 from orderlens.operators.cleaning import add_customer
+from orderlens.operators.measures import AMOUNTS
 from orderlens.warehouse import Sales
 
-AMOUNTS = ("quantity", "gross_sales", "discount_amount", "net_sales", "cost", "profit")
-
 
 def totals(df: DataFrame, keys: list[str], amounts: tuple[str, ...], frame: bool = False) -> DataFrame:
     """Rows, summed amounts and (if net sales are summed) their number, per key.
@@ -39,16 +38,6 @@ def again(df: DataFrame, keys: list[Column | str], *extra: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names], *extra)
 
 
-def known_totals(
-    lines: DataFrame, sales: Sales, keys: list[str], amounts: tuple[str, ...], frame: bool = False
-) -> DataFrame:
-    """``totals`` per key over the lines with a known product. ``lines`` (from ``sales.lines``)
-    are summed per key and product id first, so the semi join meets sums instead of lines."""
-    per_id = totals(lines, [*keys, "product_id"], amounts, frame)
-    kept = per_id.join(sales.products.select("product_id"), "product_id", "left_semi")
-    return again(kept, keys).fillna(0, [c for c in ("orders", "net_rows") if c in per_id.columns])
-
-
 def per_product(sales: Sales, amounts: tuple[str, ...], frame: bool = False) -> DataFrame:
     columns = ["product_id", *amounts, *(["order_id"] if frame else [])]
     lines = totals(sales.lines(*columns), ["product_id"], amounts, frame)
@@ -56,14 +45,6 @@ def per_product(sales: Sales, amounts: tuple[str, ...], frame: bool = False) ->
     return lines.join(master, "product_id", "inner")
 
 
-def per_category(sales: Sales, amounts: tuple[str, ...], frame: bool = False) -> DataFrame:
-    """Totals per category of the lines with a known product."""
-    columns = ["product_id", *amounts, *(["order_id"] if frame else [])]
-    lines = totals(sales.lines(*columns), ["product_id"], amounts, frame)
-    master = sales.products.select("product_id", "category")
-    return again(lines.join(master, "product_id", "inner"), ["category"])
-
-
 def per_customer(
     sales: Sales, amounts: tuple[str, ...], frame: bool = False, status: str | None = None
 ) -> DataFrame:
@@ -86,6 +67,11 @@ def overall(column: str) -> Column:
     return F.sum(column).over(W.partitionBy())
 
 
+def overdue(count: str) -> Column:
+    """The part of a count that is of overdue orders; the status is a key of the sums."""
+    return F.coalesce(F.sum(F.when(F.col("payment_status") == "Overdue", F.col(count))), F.lit(0))
+
+
 def amount(column: str, name: str | None = None) -> Column:
     return dbl(column).alias(name or column)
 

@@ -13,14 +13,14 @@ from orderlens.functions.columns import (
     percent2,
     year_month,
 )
+from orderlens.operators.measures import added
 from orderlens.operators.ordering import rank_desc
 from orderlens.plans.parts import (
     amount,
     by_customer_attribute,
-    known_totals,
     largest,
     overall,
-    per_category,
+    overdue,
     per_customer,
     per_product,
     totals,
@@ -32,7 +32,7 @@ KPI_SUMS = ("quantity", "gross_sales", "discount_amount", "net_sales", "profit")
 
 
 def kpi_columns() -> list:
-    """Headline figures from the columns of ``totals``."""
+    """Headline figures from summed measures."""
     return [
         F.col("orders").alias("total_orders"),
         F.col("quantity").alias("units_sold"),
@@ -46,14 +46,12 @@ def kpi_columns() -> list:
 
 
 def headline(sales: Sales) -> DataFrame:
-    return known_totals(sales.lines("product_id", *KPI_SUMS), sales, [], KPI_SUMS).select(*kpi_columns())
+    return sales.summed([], ("orders", "net_rows", *KPI_SUMS)).select(*kpi_columns())
 
 
 def monthly_totals(sales: Sales) -> DataFrame:
     """Per calendar month: as many rows as there are months."""
-    lines = sales.lines("order_date", "product_id", *MONEY_SUMS)
-    lines = lines.withColumn("month", F.trunc("order_date", "month"))
-    months = known_totals(lines, sales, ["month"], MONEY_SUMS)
+    months = sales.summed(["month"], ("orders", *MONEY_SUMS))
     return months.withColumn("year_month", year_month(F.col("month")))
 
 
@@ -76,12 +74,10 @@ def monthly_trend(sales: Sales) -> DataFrame:
 
 def quarterly(sales: Sales) -> DataFrame:
     """Quarters of all years together."""
-    lines = sales.lines("order_date", "product_id", *MONEY_SUMS)
-    lines = lines.withColumn("number", F.quarter("order_date"))
     return (
-        known_totals(lines, sales, ["number"], MONEY_SUMS)
+        sales.summed(["quarter"], ("orders", *MONEY_SUMS))
         .select(
-            F.concat(F.lit("Q"), "number").alias("quarter"),
+            F.concat(F.lit("Q"), "quarter").alias("quarter"),
             "orders",
             amount("net_sales"),
             amount("profit"),
@@ -94,7 +90,7 @@ def quarterly(sales: Sales) -> DataFrame:
 def category_performance(sales: Sales) -> DataFrame:
     """The share is of all orders with a known product."""
     return (
-        per_category(sales, ("quantity", *MONEY_SUMS))
+        sales.summed(["category"], ("orders", "quantity", *MONEY_SUMS))
         .withColumn("all_sales", overall("net_sales"))
         .select(
             "category",
@@ -192,14 +188,12 @@ def top_customers(sales: Sales, n: int = 10) -> DataFrame:
 
 
 def salesperson_rank(sales: Sales) -> DataFrame:
-    lines = sales.facts("salesperson", *MONEY_SUMS, "discount_pct", "payment_status")
-    people = lines.groupBy("salesperson").agg(
-        F.count("*").alias("orders"),
-        F.sum("net_sales").alias("net_sales"),
-        F.sum("profit").alias("profit"),
-        F.sum("discount_pct").alias("discount"),
-        F.count("discount_pct").alias("discount_rows"),
-        F.count_if(F.col("payment_status") == "Overdue").alias("overdue_orders"),
+    names = ("orders", *MONEY_SUMS, "discount", "discount_rows")
+    people = added(
+        sales.summed(["salesperson", "payment_status"], names),
+        ["salesperson"],
+        names,
+        overdue("orders").alias("overdue_orders"),
     )
     return (
         rank_desc(people, "net_sales", "salesperson", "sales_rank")
@@ -218,9 +212,8 @@ def salesperson_rank(sales: Sales) -> DataFrame:
 
 
 def payment_status_summary(sales: Sales) -> DataFrame:
-    lines = sales.lines("payment_status", "product_id", "net_sales")
     return (
-        known_totals(lines, sales, ["payment_status"], ("net_sales",))
+        sales.summed(["payment_status"], ("orders", "net_sales"))
         .withColumn("all_sales", overall("net_sales"))
         .select(
             "payment_status",
@@ -233,8 +226,8 @@ def payment_status_summary(sales: Sales) -> DataFrame:
 
 
 def top_overdue_customers(sales: Sales, n: int = 10) -> DataFrame:
-    overdue = per_customer(sales, ("net_sales",), status="Overdue")
-    return largest(overdue, "net_sales", n, "customer_id").select(
+    people = per_customer(sales, ("net_sales",), status="Overdue")
+    return largest(people, "net_sales", n, "customer_id").select(
         "customer_id",
         "customer_name",
         "city",
@@ -244,21 +237,16 @@ def top_overdue_customers(sales: Sales, n: int = 10) -> DataFrame:
 
 
 def discount_band_margin(sales: Sales) -> DataFrame:
-    lines = sales.facts("discount_pct", *MONEY_SUMS)
+    names = ("orders", *MONEY_SUMS, "rounded_losses")
+    values = sales.summed(["discount_pct"], names)
     return (
-        lines.groupBy(band_by_case(F.col("discount_pct")).alias("discount_band"))
-        .agg(
-            F.count("*").alias("orders"),
-            F.sum("net_sales").alias("net_sales"),
-            F.sum("profit").alias("profit"),
-            F.count_if(F.col("profit") < 0).alias("loss_orders"),
-        )
+        added(values.withColumn("discount_band", band_by_case(F.col("discount_pct"))), ["discount_band"], names)
         .select(
             "discount_band",
             "orders",
             amount("net_sales"),
             percent2("profit", "net_sales").alias("margin_pct"),
-            "loss_orders",
+            F.col("rounded_losses").alias("loss_orders"),
         )
         .orderBy("discount_band")
     )

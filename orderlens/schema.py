@@ -10,6 +10,7 @@ RAW_MONEY = T.DecimalType(18, 4)
 MONEY = T.DecimalType(18, 2)
 PERCENT = T.DecimalType(6, 2)
 
+# Fixed values that results must equal: names and order of the columns.
 MONEY_COLUMNS = (
     "unit_cost",
     "selling_price",
@@ -56,7 +57,7 @@ PRODUCTS = T.StructType(
 ORDER_COLUMNS = tuple(ORDERS_RAW.names)
 CUSTOMER_TEXT = ("customer_name", "city", "customer_type")
 
-# The cleaned wide table, in export order.
+# The cleaned wide table, in export order.
 CLEAN_COLUMNS = (
     "order_id", "order_date", "year_month", "order_month_num", "order_month", "quarter",
     "customer_id", "customer_name", "city", "customer_type",

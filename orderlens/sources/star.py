@@ -29,16 +29,22 @@ FAULTS = {
     "profit": (61, 33),
     "cost": (59, 18),
 }
+# Orders whose lines come in twice: the same again, or with another discount.
+SENT_AGAIN = {"same": (103, 12), "changed": (107, 20)}
 SLIP = "0.02"  # how far a faulty amount is off
 _schemas: dict[str, StructType] = {}
 ORDER_LEVEL = {"order_date", "customer_id", "payment_status"}
 
 
-def _fault(name: str) -> Column:
-    divisor, remainder = FAULTS[name]
+def _hit(rule: tuple[int, int]) -> Column:
+    divisor, remainder = rule
     return F.col("l_orderkey") % divisor == remainder
 
 
+def _fault(name: str) -> Column:
+    return _hit(FAULTS[name])
+
+
 def _slip(name: str) -> Column:
     return F.when(_fault(name), F.lit(SLIP)).otherwise(F.lit("0")).cast("decimal(3,2)")
 
@@ -99,8 +105,17 @@ class StarSource:
         )
 
     def orders_raw(self, columns: Iterable[str] = ORDER_COLUMNS) -> DataFrame:
+        return self._orders(self.table("lineitem").withColumn("_again", F.lit(0)), columns)
+
+    def deliveries(self, columns: Iterable[str] = ORDER_COLUMNS) -> DataFrame:
+        """``orders_raw`` as it comes in, before lines that were sent twice are sorted out."""
+        once, same, changed = (F.array(*map(F.lit, times)) for times in ((0,), (0, 0), (0, 1)))
+        times = F.when(_hit(SENT_AGAIN["changed"]), changed).when(_hit(SENT_AGAIN["same"]), same).otherwise(once)
+        return self._orders(self.table("lineitem").withColumn("_again", F.explode(times)), columns)
+
+    def _orders(self, rows: DataFrame, columns: Iterable[str]) -> DataFrame:
+        """``rows``: lines with ``_again``, which is added to their discount."""
         wanted = set(columns)
-        rows = self.table("lineitem")
         if wanted & ORDER_LEVEL:
             orders = self.table("orders").select(
                 "o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus"
@@ -120,7 +135,7 @@ class StarSource:
                     F.col("l_quantity").cast("int")
                 ),
                 "discount_pct": F.when(_fault("discount"), F.lit(35).cast(PERCENT)).otherwise(
-                    F.round(F.col("l_discount") * 200).cast(PERCENT)
+                    (F.round(F.col("l_discount") * 200) + F.col("_again")).cast(PERCENT)
                 ),
                 **self._plain(wanted),
             }

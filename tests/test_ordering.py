@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -65,7 +66,8 @@ def test_quantiles(spark, size):
 
 def test_quantiles_with_a_coarse_sketch(spark, monkeypatch):
     """Wide brackets give the same values."""
-    monkeypatch.setattr(ordering, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(ordering, "KLL_SIZE", 8)
+    monkeypatch.setattr(ordering, "KLL_ERROR", 0.01)
     numbers = np.random.default_rng(3).exponential(10, 5000)
     df = spark.createDataFrame([(float(v),) for v in numbers], "v double").repartition(4)
     found = ordering.exact_quantiles(df, PROBS).first()
@@ -77,3 +79,20 @@ def test_quantiles_of_missing_values(spark):
     found = {r["column"]: r for r in ordering.exact_quantiles(df, PROBS).collect()}
     assert [found["none"][q] for q in PROBS] == [None] * 3
     assert [found["one"][q] for q in PROBS] == [1.0] * 3
+
+
+@pytest.mark.parametrize("most", [100_000, 50, 3])
+def test_sum_of_the_largest(spark, most):
+    """By one ordering, and by brackets that close in on the n-th value; ties count as far as needed."""
+    generator = np.random.default_rng(11)
+    columns = {
+        "plain": np.round(generator.normal(0, 100, 3000), 2),
+        "ties": np.round(generator.integers(0, 40, 3000) / 4, 2),
+        "heavy": np.round(np.where(generator.random(3000) < 0.5, 7.0, generator.exponential(50, 3000)), 2),
+    }
+    for numbers in columns.values():
+        df = spark.createDataFrame([(Decimal(str(v)),) for v in numbers], "v decimal(18,2)").repartition(3)
+        for n in (1, 7, 600, 2999, 3000):
+            want = sum(sorted((Decimal(str(v)) for v in numbers), reverse=True)[:n])
+            if most == 100_000 or n == 600:
+                assert ordering.sum_of_largest(df, "v", n, most).first().total == want

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import columns as expressions
 from orderlens.operators import cleaning, profiling, quality, validation
-from orderlens.plans import frame_reports, sql_reports
+from orderlens.plans import dashboard, frame_reports, sql_reports
 from tests.conftest import ORDER_ROWS
 
 
@@ -143,6 +143,76 @@ def test_repeated_ids_and_rows(make_sales, order):
     assert [r.violations for r in validation.unique_ids(clean).collect()] == [2]
 
 
+def test_repeats_by_codes_that_collide(make_sales, order):
+    """Codes only choose candidates: with one code for all ids the results are the same."""
+    rows = [order("A"), order("A"), order("A", quantity=1), order("B"), order(None), order(None), order("C", customer_id=None)]
+    raw = make_sales(rows).raw()
+
+    def same(*_):
+        return F.lit(1).cast("bigint")
+
+    assert sorted(values(quality.repeated_ids(raw, code=same), "order_id"), key=str) == ["A", "A", None]
+    assert sorted(values(quality.repeated_rows(raw, code=same), "order_id"), key=str) == ["A", None]
+    assert sorted(quality.duplicate_ids(raw, code=same).collect(), key=str) == sorted(quality.duplicate_ids(raw).collect(), key=str)
+
+
+def test_repeats_beyond_what_is_sent_to_tasks(make_sales, order, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_SENT", 0)
+    sales = make_sales([order("A"), order("A"), order("B", quantity=-1), order("C"), order(None), order(None)])
+    raw = sales.raw()
+    assert sorted(values(quality.repeated_ids(raw), "order_id"), key=str) == ["A", None]
+    affected = quality.affected_rows(raw, sales.customers, sales.products, (2025, 2025))
+    assert sorted(values(affected, "order_id"), key=str) == ["A", "A", "B", None, None]
+
+
+def test_active_customers_through_the_cube(make_sales, order):
+    """A customer in several groups counts once above them; a missing id counts nowhere."""
+    rows = [
+        order("A"), order("B", product_id="P2"), order("C", salesperson="Neha"), order("D", customer_id="C2", salesperson="Neha"),
+        order("E", customer_id="C999"), order("F", customer_id=None), order("G", customer_id=None, salesperson="Zoe", profit=-5),
+    ]
+    found = {
+        (r.salesperson, r.category, r.all_salespeople, r.all_categories): (r.active_customers, r.total_orders, r.loss_orders)
+        for r in dashboard.cube(make_sales(rows)).collect()
+    }
+    assert found[None, None, True, True] == (3, 7, 1)
+    assert found["Amit", None, False, True] == (2, 4, 0)
+    assert found[None, "Hardware", True, False] == (3, 6, 1)
+    assert found["Neha", "Hardware", False, False] == (2, 2, 0)
+    assert found["Zoe", None, False, True] == (0, 1, 1)
+
+
+def test_cube_total_equals_the_eleven_figures(sales):
+    cube = dashboard.cube(sales).filter("all_salespeople AND all_categories").first()
+    figures = {r.metric: r.value for r in frame_reports.kpi_full(sales).collect()}
+    assert cube.active_customers == figures["Active customers"]
+    assert cube.total_cost == pytest.approx(figures["Total cost (₹)"])
+    assert cube.loss_orders == figures["Loss-making orders"]
+    assert cube.net_sales == pytest.approx(figures["Net sales (₹)"])
+
+
+def test_cube_expands_slices_only(sales):
+    """The lines are neither expanded nor counted by distinct values."""
+    plan = dashboard.cube(sales)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and "count(distinct" not in plan and "bitmap_construct_agg" in plan
+    below = plan[plan.index("Expand") :]
+    assert "bitmap_construct_agg" in below
+
+
+def test_many_blocks_of_customers(spark):
+    """Bitmaps of several blocks: the same count as distinct values."""
+    from orderlens.operators import measures
+
+    people = spark.range(70_000).select(
+        F.concat(F.lit("C"), "id").alias("customer_id"), (F.col("id") % 3).alias("g"), F.lit(1).cast("bigint").alias("orders")
+    )
+    twice = people.unionByName(people.withColumn("g", F.lit(9).cast("bigint")).limit(10))
+    slices = measures.customer_slices(twice, ["g"], ["orders"])
+    assert slices.select("block").distinct().count() == 3
+    one = measures.counted(slices, [], ["orders"]).first()
+    assert (one.customers, one.orders) == (70_000, 70_010)
+
+
 def _masters(make_sales):
     sales = make_sales(ORDER_ROWS)
     return sales.customers, sales.products
