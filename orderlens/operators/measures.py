@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.ordering import running_before
+from orderlens.operators.ordering import running_before, small_side
 from orderlens.session import stage
 
 AMOUNTS = ("quantity", "gross_sales", "discount_amount", "net_sales", "cost", "profit")
@@ -97,23 +97,30 @@ def with_customers(per_customer: DataFrame, measures: Sequence[str]) -> DataFram
     return added(per_customer, [], measures, F.count("customer_id").alias("customers"))
 
 
-def customer_slices(per_customer: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Per group of ``keys`` and block of customers: the measures, and the customers as a bitmap.
+# Block of the rows that hold the measures of a group.
+SUMS = -1
 
-    ``per_customer`` has the sums per group and customer; it is written once, as the numbering
-    and the slices both read it. Lines without customer are a block of their own, without bits.
+
+def customer_slices(sums: DataFrame, pairs: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Per group of ``keys``: a row with its ``measures`` (block -1), and per block of customers a
+    row with them as a bitmap.
+
+    ``sums`` has the measures per group, ``pairs`` the group and customer of each line. Distinct
+    pairs are narrow and written once, as the numbering and the bitmaps both read them. Bitmaps
+    are built after the shuffle: before it, a group with one customer would move 4 kB.
     """
-    pairs = stage(per_customer)
-    ids = pairs.select("customer_id").filter(F.col("customer_id").isNotNull()).distinct()
-    ids = ids.withColumn("_one", F.lit(1).cast("bigint"))
+    distinct = stage(pairs.filter(F.col("customer_id").isNotNull()).distinct())
+    ids = distinct.select("customer_id").distinct().withColumn("_one", F.lit(1).cast("bigint"))
     numbers = running_before(ids, [F.col("customer_id").asc()], {"_number": "_one"}).drop("_one")
     place = F.col("_number") + 1
-    return (
-        pairs.join(numbers, "customer_id", "left")
-        .withColumns({"block": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)})
+    blocks = (
+        distinct.join(small_side(numbers), "customer_id")
+        .select(*keys, F.bitmap_bucket_number(place).alias("block"), F.bitmap_bit_position(place).alias("_bit"))
+        .repartition(*keys, "block")
         .groupBy(*keys, "block")
-        .agg(*[F.sum(m).alias(m) for m in measures], F.bitmap_construct_agg("_bit").alias("customers"))
+        .agg(F.bitmap_construct_agg("_bit").alias("customers"))
     )
+    return sums.withColumn("block", F.lit(SUMS).cast("bigint")).unionByName(blocks, allowMissingColumns=True)
 
 
 def counted(slices: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:

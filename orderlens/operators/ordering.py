@@ -51,6 +51,16 @@ def running_before(
     return rows.join(F.broadcast(offsets), groups).select(*df.columns, *running)
 
 
+# Up to so many rows a side that is looked up is sent to every task; it is counted first.
+MOST_SENT = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` (narrow rows) written once and, if it is small by count, marked to be sent to the tasks."""
+    rows = stage(df)
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
 def rank_desc(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
     """``rank() over (order by value desc)`` for any number of rows; ``key`` is unique."""
     order = [F.col(value).desc_nulls_last(), F.col(key).asc_nulls_last()]
@@ -144,7 +154,8 @@ def exact_quantiles(df: DataFrame, probs: dict[str, float], sketch: DataFrame |
             ).alias(f"_near_{c}")
             for c in columns
         ]
-        found = _quantiles_near(df, probs, _spans(sketch.select(*near).first(), df.columns))
+        # A row per column, written so that the check and the caller read it.
+        found = stage(_quantiles_near(df, probs, _spans(sketch.select(*near).first(), df.columns)))
         if found.filter("outside").isEmpty():
             return found.drop("outside")
         slack *= 16
@@ -165,61 +176,48 @@ def _spans(sketch, columns: list[str]) -> dict[str, list[tuple[float, float]]]:
 
 
 def _quantiles_near(df: DataFrame, probs: dict[str, float], spans: dict[str, list[tuple[float, float]]]) -> DataFrame:
-    # Regions of a column: even before, between or behind brackets, odd inside one.
-    regions = {
-        column: reduce(
-            lambda a, b: a + b,
-            [(F.col(column) >= low).cast("int") + (F.col(column) > high).cast("int") for low, high in merged],
+    numbers = [
+        F.struct(
+            F.lit(column).alias("column"),
+            F.lit(k).alias("span"),
+            F.count(column).alias("rows"),
+            F.count_if(F.col(column) < low).alias("below"),
         )
         for column, merged in spans.items()
-    }
-    outer = [
+        for k, (low, _) in enumerate(merged)
+    ]
+    # One row per column and bracket.
+    sizes = df.agg(F.array(*numbers).alias("numbers")).select(F.inline("numbers"))
+    inside = [
         F.struct(
             F.lit(column).alias("column"),
-            F.lit(k).alias("region"),
-            F.lit(None).cast("double").alias("inside"),
-            F.count_if(region == k).alias("n"),
-            F.min(F.when(region == k, F.col(column))).alias("least"),
-            F.max(F.when(region == k, F.col(column))).alias("most"),
+            reduce(lambda e, k: e.when(F.col(column).between(*merged[k]), k), range(len(merged)), F.when(F.lit(False), 0)).alias("span"),
+            F.col(column).alias("value"),
         )
-        for column, region in regions.items()
-        for k in range(0, 2 * len(spans[column]) + 1, 2)
-    ]
-    hits = [
-        F.when(region % 2 == 1, F.struct(F.lit(column).alias("column"), region.alias("region"), F.col(column).alias("inside")))
-        for column, region in regions.items()
+        for column, merged in spans.items()
     ]
-    values = (
-        df.select(F.inline(F.array_compact(F.array(*hits))))
-        .groupBy("column", "region", "inside")
+    # No filter on rows before this: it would be pushed below the columns' own expressions and
+    # evaluate those once per bracket.
+    counts = (
+        df.select(F.inline(F.array(*inside)))
+        .filter(F.col("span").isNotNull())
+        .groupBy("column", "span", "value")
         .agg(F.count("*").alias("n"))
-        .select("*", F.col("inside").alias("least"), F.col("inside").alias("most"))
     )
-    counts = df.agg(F.array(*outer).alias("outer")).select(F.inline("outer")).filter("n > 0").unionByName(values)
-    order = [F.col("region").asc(), F.col("inside").asc()]
-    placed = running_before(counts, order, {"start": "n"}, ["column"])
-    # One row per column.
-    sizes = placed.groupBy("column").agg(F.sum("n").alias("rows"))
+    placed = running_before(counts, [F.col("value").asc()], {"start": "n"}, ["column", "span"])
+    placed = sizes.join(placed, ["column", "span"], "left").withColumn("start", F.col("start") + F.col("below"))
     picked = []
     for name, p in probs.items():
         spot = (F.col("rows") - 1) * F.lit(p)
         for side, at in (("lower", F.floor(spot)), ("upper", F.ceil(spot))):
             here = (F.col("start") <= at) & (at < F.col("start") + F.col("n"))
-            edge = F.when(at == F.col("start"), F.col("least")).when(at == F.col("start") + F.col("n") - 1, F.col("most"))
-            known = F.coalesce("inside", edge)
-            picked += [
-                F.max(F.when(here, known)).alias(f"{side}_{name}"),
-                F.coalesce(F.bool_or(here & known.isNull()), F.lit(False)).alias(f"no_{side}_{name}"),
-            ]
-    found = placed.join(F.broadcast(sizes), "column").groupBy("column").agg(F.max("rows").alias("rows"), *picked)
-    outside = reduce(lambda a, b: a | b, [F.col(f"no_{side}_{n}") for n in probs for side in ("lower", "upper")])
-    values = []
+            picked.append(F.max(F.when(here, F.col("value"))).alias(f"{side}_{name}"))
+    found = placed.groupBy("column").agg(F.max("rows").alias("rows"), *picked)
+    values, missed = [], []
     for name, p in probs.items():
         spot = (F.col("rows") - 1) * F.lit(p)
         low, high = F.col(f"lower_{name}"), F.col(f"upper_{name}")
         values.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
-    named = F.array(*[F.struct(F.lit(c).alias("column")) for c in df.columns])
-    every = df.sparkSession.range(1).select(F.inline(named))
-    found = found.select("column", *values, outside.alias("outside"))
-    # A column without values has no row yet.
-    return every.join(F.broadcast(found), "column", "left").fillna(False, ["outside"])
+        missed += [low.isNull(), high.isNull()]
+    outside = (F.col("rows") > 0) & reduce(lambda a, b: a | b, missed)
+    return found.select("column", *values, outside.alias("outside"))

@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import or_false
-from orderlens.operators.ordering import repeat_rows, running_before
+from orderlens.operators.ordering import repeat_rows, running_before, small_side
 from orderlens.schema import MONEY_TOLERANCE, OUTLIER_DISCOUNT, STATUSES, literal_rows
-from orderlens.session import stage
 
 
 def has_missing(columns: list[str]) -> Column:
@@ -83,18 +82,9 @@ def missing_in(orders: DataFrame, master: DataFrame, key: str) -> DataFrame:
     return orders.join(master.select(key), key, "left_anti").select("order_id")
 
 
-# Up to so many codes or keys the side that is looked up is sent to every task; it is counted first.
-MOST_SENT = 1_000_000
-
 Code = Callable[..., Column]
 
 
-def _small_side(df: DataFrame) -> DataFrame:
-    """``df`` written once and, if it is small by count, marked to be sent to the tasks."""
-    rows = stage(df)
-    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
-
-
 def repeat_candidates(rows: DataFrame, key: str, code: Code = F.xxhash64) -> DataFrame:
     """The rows whose ``key`` may occur more than once, with all their columns.
 
@@ -104,7 +94,7 @@ def repeat_candidates(rows: DataFrame, key: str, code: Code = F.xxhash64) -> Dat
     the candidates by the key itself.
     """
     codes = rows.select(code(key).alias("_code")).groupBy("_code").agg(F.count("*").alias("_n"))
-    repeated = _small_side(codes.filter("_n > 1").select("_code"))
+    repeated = small_side(codes.filter("_n > 1").select("_code"))
     return rows.join(repeated, code(key) == F.col("_code"), "left_semi")
 
 
@@ -340,5 +330,5 @@ def affected_rows(
     broken = reduce(lambda a, b: a | b, _row_rules(orders, years, discounts).values())
     ids = duplicate_ids(orders.select("order_id")).select(F.col("order_id").alias("_id"), F.lit(True).alias("_again"))
     rows = _with_masters(orders, customers, products)
-    found = rows.join(_small_side(ids), F.col("order_id").eqNullSafe(F.col("_id")), "left")
+    found = rows.join(small_side(ids), F.col("order_id").eqNullSafe(F.col("_id")), "left")
     return found.filter(broken | F.col("_again").isNotNull()).select(*orders.columns)

@@ -71,7 +71,9 @@ class LiveSales:
     def slices(self, names: Sequence[str]) -> DataFrame:
         """Measures and customers (as bitmaps) per salesperson, category and block of customers."""
         keys = ["salesperson", "category"]
-        return measures.customer_slices(self.summed([*keys, "customer_id"], names), keys, names)
+        lines = self.lines("product_id", "salesperson", "customer_id")
+        pairs = lines.join(self.products.select("product_id", "category"), "product_id")
+        return measures.customer_slices(self.summed(keys, names), pairs.select(*keys, "customer_id"), keys, names)
 
 
 class GivenTables:
@@ -190,8 +192,9 @@ def written_sums(stored: StoredSales) -> dict[str, DataFrame]:
     """The sums ``StoredSales`` answers from, each one aggregation of the written clean table."""
     names = tuple(MEASURES)
     found = {name: stored._from_lines(keys, names, {}) for name, keys in ROLLUPS.items()}
-    per_customer = stored._from_lines(["salesperson", "category", "customer_id"], names, {})
-    found[SLICES] = measures.customer_slices(per_customer, ["salesperson", "category"], names)
+    keys = ["salesperson", "category"]
+    sums = stored._from_lines(keys, names, {})
+    found[SLICES] = measures.customer_slices(sums, stored.facts(*keys, "customer_id"), keys, names)
     return found
 
 

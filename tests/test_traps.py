@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.functions import columns as expressions
-from orderlens.operators import cleaning, profiling, quality, validation
+from orderlens.operators import cleaning, measures, ordering, profiling, quality, validation
 from orderlens.plans import dashboard, frame_reports, sql_reports
 from tests.conftest import ORDER_ROWS
 
@@ -157,7 +157,7 @@ def test_repeats_by_codes_that_collide(make_sales, order):
 
 
 def test_repeats_beyond_what_is_sent_to_tasks(make_sales, order, monkeypatch):
-    monkeypatch.setattr(quality, "MOST_SENT", 0)
+    monkeypatch.setattr(ordering, "MOST_SENT", 0)
     sales = make_sales([order("A"), order("A"), order("B", quantity=-1), order("C"), order(None), order(None)])
     raw = sales.raw()
     assert sorted(values(quality.repeated_ids(raw), "order_id"), key=str) == ["A", None]
@@ -201,14 +201,13 @@ def test_cube_expands_slices_only(sales):
 
 def test_many_blocks_of_customers(spark):
     """Bitmaps of several blocks: the same count as distinct values."""
-    from orderlens.operators import measures
-
     people = spark.range(70_000).select(
         F.concat(F.lit("C"), "id").alias("customer_id"), (F.col("id") % 3).alias("g"), F.lit(1).cast("bigint").alias("orders")
     )
     twice = people.unionByName(people.withColumn("g", F.lit(9).cast("bigint")).limit(10))
-    slices = measures.customer_slices(twice, ["g"], ["orders"])
-    assert slices.select("block").distinct().count() == 3
+    sums = twice.groupBy("g").agg(F.sum("orders").alias("orders"))
+    slices = measures.customer_slices(sums, twice.select("g", "customer_id"), ["g"], ["orders"])
+    assert slices.select("block").distinct().count() == 4  # three of customers, one of sums
     one = measures.counted(slices, [], ["orders"]).first()
     assert (one.customers, one.orders) == (70_000, 70_010)
 
