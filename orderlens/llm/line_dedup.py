@@ -1,14 +1,21 @@
 """Line deduplication by winnowing over line hashes.
 
-Every line that holds a word gets a 64-bit code of its bytes, and every run of ``size``
-neighbouring lines (the larger of ``window`` and ``min_lines``) a fingerprint, the code of the
-whole run. Each later place of a fingerprint is joined with its first place (smallest document,
-then position) and its lines are deleted. A fingerprint of fewer lines would also stand at places
-where the run around it differs, so that the first place could hide the one that matters; of
-whole runs none may be left out, and the lines next to a repeat that are equal too form repeated
-runs with it, so a longer run goes whole. A shorter run, down to one line, has a fingerprint of
-its own and goes likewise if it holds ``min_words`` words (between blanks) or more.
-Pairs are linear in the places of a fingerprint; the first place is a partial aggregate.
+Every line that holds a word gets a 64-bit code of its bytes. Of each window of ``size``
+neighbouring lines (the larger of ``window`` and ``min_lines``) the line with the least code is
+selected; neighbouring windows mostly select the same one. A selected line is marked once for
+each window that selected it, by the code of that window: a mark by the line alone would join a
+later place with the line's first place anywhere, and a frequent line would hide the run that is
+repeated. Equal windows select the same line, so a later place of a mark (joined with its first
+place: smallest document, then position; a partial aggregate, linear pairs) lines up with it, and
+every repeated window is found. From there the match is extended both ways over the two line
+lists while lines are equal, and the later run is deleted.
+
+Lists move as blocks of ``BLOCK`` lines, so that a pair of places costs the same in documents of
+any length; a match goes on in the next block from the marks there. Extension stops at lines
+that are already deleted, which keeps it linear where a document repeats itself.
+
+A run of fewer lines, down to one, has a mark of its own and goes likewise if it holds
+``min_words`` words (between blanks) or more.
 
 Documents are ordered by id (null last), then by the code of their text. Defined cases: rows
 with equal id and text are one document and lose the same lines; a null text stays null; a
@@ -23,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.shared import emit, order_id, prepare, saved, slices, text_bytes
@@ -46,8 +53,13 @@ LINES_ARROW = pa.schema(
         ("n_all", pa.int32()),
     ]
 )
-MARKS = "oid long, code long, print long, pos int, size int"
-MARKS_ARROW = pa.schema([("oid", pa.int64()), ("code", pa.int64()), ("print", pa.int64()), ("pos", pa.int32()), ("size", pa.int32())])
+# Lines that move together, and the marks of one selected line.
+BLOCK = 64
+MARKS = "oid long, code long, print long, pos int, start int, size int"
+MARKS_ARROW = pa.schema(
+    [("oid", pa.int64()), ("code", pa.int64()), ("print", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("size", pa.int32())]
+)
+RUNS_ARROW = pa.schema([("oid", pa.int64()), ("code", pa.int64()), ("gone", pa.list_(pa.int32()))])
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,8 +102,15 @@ def batches_with_text_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     yield from (b.select(["oid", "text", "code"]) for b in batches)
 
 
+def winnow(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The selected line of each window of ``size`` lines: the least code, of equals the first."""
+    if not len(starts):
+        return starts
+    return starts + np.lib.stride_tricks.sliding_window_view(codes, size)[starts].argmin(axis=1)
+
+
 def fingerprints(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Every run of ``size`` lines, and of fewer with ``min_words`` words: its document, code, first line and length."""
+    """The marks of selected lines, and of shorter runs with ``min_words`` words."""
     for batch in batches:
         codes = batch.column(2).flatten().to_numpy().view(np.uint64)
         first = np.r_[0, np.cumsum(batch.column(2).value_lengths().to_numpy())]
@@ -104,8 +123,42 @@ def fingerprints(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -
             at = np.flatnonzero(fits)
             owner = np.searchsorted(first, at, "right") - 1
             rows = pa.array(owner)
-            columns = batch.column(0).take(rows), batch.column(1).take(rows), prints[at].view(np.int64), at - first[owner]
-            yield emit(MARKS_ARROW, *columns, np.full(len(at), n))
+            ids = batch.column(0).take(rows), batch.column(1).take(rows)
+            yield emit(
+                MARKS_ARROW, *ids, prints[at].view(np.int64), winnow(codes, at, n) - first[owner], at - first[owner], np.full(len(at), n)
+            )
+
+
+def extend(later: list[int], first: list[int], seeds: list[tuple[int, int, int, int]], later_at: int, first_at: int) -> set[int]:
+    """Places in the later document that go. ``seeds`` are (selected line, its place in the first
+    document, start and size of its window); the lists are the blocks that hold the two lines."""
+    gone: set[int] = set()
+    for pos, other, start, size in sorted(seeds):
+        own = set(range(start, start + size))
+        if own <= gone:
+            continue
+        gone |= own
+        a, b = pos - later_at, other - first_at
+        for step in (-1, 1):
+            k = step
+            while 0 <= a + k < len(later) and 0 <= b + k < len(first) and later[a + k] == first[b + k]:
+                place = pos + k
+                if place in gone and place not in own:
+                    break
+                gone.add(place)
+                k += step
+    return gone
+
+
+def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            seeds = [(s["pos"], s["first_pos"], s["start"], s["size"]) for s in row["seeds"]]
+            gone = extend(row["lines"], row["first_lines"], seeds, row["block"] * BLOCK, row["first_block"] * BLOCK)
+            found.append((row["oid"], row["code"], sorted(gone)))
+        if found:
+            yield emit(RUNS_ARROW, *zip(*found, strict=True))
 
 
 def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2, min_words: int = MIN_WORDS) -> DataFrame:
@@ -119,12 +172,23 @@ def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2, min_words: i
         .where("n > 1")
         .select("print", "first")
     )
-    repeats = (
+
+    def block(place: str) -> Column:
+        return F.floor(F.col(place) / BLOCK).cast("int")
+
+    pairs = (
         marks.join(firsts, "print")
         .where(F.struct("oid", "code", "pos") != F.col("first"))
-        .groupBy("oid", "code")
-        .agg(F.collect_list(F.struct("pos", "size")).alias("runs"))
+        .select("oid", "code", "pos", "start", "size", F.col("first.oid").alias("first_oid"), F.col("first.code").alias("first_code"), F.col("first.pos").alias("first_pos"))
+        .groupBy("oid", "code", block("pos").alias("block"), "first_oid", "first_code", block("first_pos").alias("first_block"))
+        .agg(F.collect_list(F.struct("pos", "first_pos", "start", "size")).alias("seeds"))
     )
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / BLOCK).cast("int")), lambda k: F.slice("lines", k * BLOCK + 1, BLOCK))
+    blocks = lines.where(F.size("lines") > 0).select("oid", "code", F.posexplode(parts).alias("block", "lines"))
+    known = blocks.withColumnsRenamed({c: f"first_{c}" for c in blocks.columns})
+    matched = pairs.join(blocks, ["oid", "code", "block"]).join(known, ["first_oid", "first_code", "first_block"])
+    runs = matched.select("oid", "code", "block", "first_block", "seeds", "lines", "first_lines").mapInArrow(extended, "oid long, code long, gone array<int>")
+    repeats = runs.groupBy("oid", "code").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -132,8 +196,7 @@ def deletions(docs: DataFrame, window: int = 2, min_lines: int = 2, min_words: i
         )
         for batch in batches:
             marked, counts, whole = [], [], []
-            for runs, numbers, n_all in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                gone = sorted({k for r in runs for k in range(r["pos"], r["pos"] + r["size"])})
+            for gone, numbers, n_all in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 row = np.zeros(n_all, bool)
                 row[np.array(numbers)[gone]] = True
                 marked.append(row)

@@ -213,6 +213,32 @@ def test_line_dedup_finds_runs_of_frequent_lines(spark):
         assert done == dict(enumerate(texts)) | cut
 
 
+def test_windows_share_selected_lines():
+    """Fewer lines are selected than there are windows, and equal windows select the same line."""
+    codes = np.random.default_rng(1).integers(0, 1 << 62, 4000).astype(np.uint64)
+    codes[1000:1300] = codes[200:500]
+    for size, share in ((2, 0.7), (4, 0.45)):
+        starts = np.arange(len(codes) - size + 1)
+        picked = line_dedup.winnow(codes, starts, size)
+        assert len(np.unique(picked)) < share * len(starts)
+        assert (picked[1000 : 1301 - size] - picked[200 : 501 - size] == 800).all()
+
+
+def test_matches_are_extended_both_ways_and_stop_in_time():
+    later, first = [9, 1, 2, 3, 4, 5, 8], [7, 7, 1, 2, 3, 4, 5]
+    # One seed at line 3 (its window 2-3) brings the whole run; blocks begin at 64 and 128.
+    assert line_dedup.extend(later, first, [(67, 132, 66, 2)], 64, 128) == set(range(65, 70))
+    # A document of one line over and over: each place is visited once, not once per diagonal.
+    many = [5] * 4000
+    assert line_dedup.extend(many, many, [(k, 0, k, 2) for k in range(1, 3999)], 0, 0) == set(range(1, 4000))
+
+
+def test_line_dedup_of_one_line_over_and_over(spark):
+    rows = [(1, "\n".join(["same"] * 3000), "x"), (2, "\n".join(["other", *["same"] * 2000]), "x")]
+    done = {r["row"]["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert done == {1: 2999, 2: 2000}
+
+
 def test_line_dedup_finds_long_single_lines(spark):
     """A passage on one line goes between new neighbours and as a whole document; a word less stays."""
     long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(49))
