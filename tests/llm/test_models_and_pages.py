@@ -1,5 +1,7 @@
 """Classifiers on held-out rows, page extraction, and the pipeline against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,7 +101,7 @@ def test_names_inside_an_article_drop_only_containers():
     assert html_text.split_page(f"<body><form id='page'><p>Menu</p>{article}<p>End</p></form></body>")[0] == text
     assert html_text.split_page("<form><p>Menu</p><main><p>Told here.</p></main></form>")[0] == "Told here."
     assert html_text.split_page(f"<nav>{article}</nav>")[0] is None
-    assert html_text.split_page("<p class='alert'>Notice</p><p>Story</p>")[1] == ["Story"]
+    assert html_text.split_page("<p class='alert'>Notice</p><p>Story</p>")[1:] == (["Notice", "Story"], [1])
 
 
 @pytest.mark.parametrize("html", ["<", "<p", "<p class='a>text", "a < b", "<script>open", "</div></p>text", "<!-- open", "<div " * 2000, "&#0;&bogus;&#x110000;", "<p><p><p>"])
@@ -107,6 +109,30 @@ def test_broken_markup_is_read(html):
     assert isinstance(html_text.blocks(html), list)
 
 
+HOSTILE = {
+    "quote": '<a "' * 250_000, "unclosed": "<svg>" * 100_000 + "x" * 500_000, "odd quotes": "<a '>'x" * 140_000,
+    "deep": "<div>" * 90_000 + "</section>" * 55_000, "comments": "<!--x" * 200_000, "names": "<a" * 500_000,
+    "end tags": "<svg></svg" * 100_000, "mixed quotes": "<a \"x'>" * 140_000 + '"', "signs": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_broken_markup_takes_linear_time(kind):
+    start = time.process_time()
+    html_text.blocks(HOSTILE[kind])
+    assert time.process_time() - start < 5  # seconds for a megabyte; hours where time is quadratic
+
+
+def test_only_the_array_removes_unmarked_template_blocks(spark):
+    """Nothing in the markup tells the template from the story."""
+    menu = "<nav><p>one two three four five six seven</p></nav>"
+    shared = "<p>read all about the terms of this site before you go on</p>"
+    rows = [(k, f"http://h.example/{k}", f"{menu}{shared}<p>one two three four five six seven</p><p>page{k} tells its{k} own story{k} of thing{k}</p>") for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.texts(df).collect()}
+    assert found == {k: f"page{k} tells its{k} own story{k} of thing{k}" for k in range(5)}
+
+
 def test_host_runs_decide_where_markup_does_not(spark):
     top, bottom = "<div>Start here our news and old news list</div>", "<div>Write to the makers of this fine page today</div>"
     pages = [(k, "https://soup.example/%d" % k, f"{top}<div>Own story number {k} is told in words {k * 7} only here {k * 13}</div>{bottom}") for k in range(5)]
