@@ -9,6 +9,8 @@ Learning, from labelled documents outside the held-out fold only:
 2. A two-state chain with the levels of a word and its neighbours as features is fitted by
    gradient ascent on a bounded sample of lines of one half of that sample, with the levels
    from the other half, so that chance finds of the lexicon get little weight.
+   Of the lexicon's codes the ``most`` (20,000) with the strongest evidence are used: like the
+   samples a bound on the model, not on the documents it scores.
 3. Forward-backward marginals of all lines with a level give each document's raw score (the
    improbability that none of its words is toxic); an isotonic map over all labelled rows of
    the other folds turns it into a probability.
@@ -189,6 +191,46 @@ class Chain:
         return marginals, expected, float(logs.sum())
 
 
+    def marginals(self, levels: np.ndarray) -> np.ndarray:
+        """Marginals of state 1 along one line of any length.
+
+        The line is cut into about as many pieces as a piece has words. The steps within all
+        pieces are taken side by side: first as products of 2 x 2 matrices, which carry messages
+        from piece to piece, then as the messages themselves. Memory is a few numbers a word.
+        """
+        length = len(levels)
+        wide = int(np.ceil(np.sqrt(length)))
+        n = -(-length // wide)
+        push = np.ones(n * wide)
+        push[:length] = np.exp(np.clip(self.emissions(levels[None])[0], -30, 30))
+        factors = np.exp(self.steps) * np.stack([np.ones_like(push), push], 1)[:, None, :]
+        start = np.exp(self.begin) * [1.0, push[0]]
+        factors[0] = factors[length:] = np.eye(2)
+        factors = factors.reshape(n, wide, 2, 2)
+        whole = np.tile(np.eye(2), (n, 1, 1))
+        for t in range(wide):
+            whole = whole @ factors[:, t]
+            whole /= whole.sum((1, 2), keepdims=True)
+        before, behind = np.zeros((n, 2)), np.ones((n, 2))
+        for k in range(n):
+            before[k] = start / start.sum()
+            start = before[k] @ whole[k]
+        for k in range(n - 1, 0, -1):
+            behind[k - 1] = whole[k] @ behind[k]
+            behind[k - 1] /= behind[k - 1].sum()
+        forward = np.zeros((n, wide, 2))
+        for t in range(wide):
+            before = np.einsum("ni,nij->nj", before, factors[:, t])
+            before /= before.sum(1, keepdims=True)
+            forward[:, t] = before
+        for t in range(wide - 1, -1, -1):
+            forward[:, t] *= behind
+            behind = np.einsum("nij,nj->ni", factors[:, t], behind)
+            behind /= behind.sum(1, keepdims=True)
+        both = forward.reshape(-1, 2)[:length]
+        return both[:, 1] / both.sum(1)
+
+
 def padded(lines: list[np.ndarray]) -> np.ndarray:
     out = np.full((len(lines), max(map(len, lines))), -1)
     for k, line in enumerate(lines):
@@ -250,14 +292,30 @@ def line_groups(levels: np.ndarray, line: np.ndarray) -> list[np.ndarray]:
     return np.split(chosen, np.flatnonzero(np.diff(line[chosen])) + 1) if len(chosen) else []
 
 
+# Words of a line that is run by itself, and words (with padding) of lines that are run together.
+LONG_LINE = 4096
+GROUP_WORDS = 1 << 17
+
+
 def marginals_of(chain: Chain, levels: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """Lines of like length are run together, so that padding at most doubles them."""
     out = np.zeros(len(levels))
-    order = sorted(range(len(groups)), key=lambda k: len(groups[k]))
-    for k in range(0, len(order), 128):
-        part = [groups[j] for j in order[k : k + 128]]
-        found = chain.run(padded([levels[g] for g in part]))[0]
+    part: list[np.ndarray] = []
+
+    def run() -> None:
+        found = chain.run(padded([levels[g] for g in part]))[0] if part else []
         for row, g in zip(found, part, strict=True):
             out[g] = row[: len(g)]
+        part.clear()
+
+    for g in sorted(groups, key=len):
+        if len(g) > LONG_LINE:
+            out[g] = chain.marginals(levels[g])
+            continue
+        if part and (len(g) > 2 * len(part[0]) or len(g) * len(part) >= GROUP_WORDS):
+            run()
+        part.append(g)
+    run()
     return out
 
 

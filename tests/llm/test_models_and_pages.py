@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, page extraction, and the pipeline against brute force."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -198,3 +199,35 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
         staged = spark.read.parquet(str(tmp_path / str(k)))
         assert staged.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in staged.collect()} == texts
+
+
+def test_marginals_of_long_lines():
+    """The line cut into pieces gives what the chain run word by word gives; memory stays linear."""
+    rng = np.random.default_rng(8)
+    chain = toxicity.Chain(rng.normal(0, 1, toxicity.WIDTH), rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 2))
+    for length in (1, 2, 3, 10, 97, 1000):
+        levels = np.where(rng.random(length) < 0.1, rng.integers(1, len(toxicity.LEVELS) + 1, length), 0)
+        assert np.allclose(chain.marginals(levels), chain.run(levels[None])[0][0], atol=1e-12)
+    sizes = [500_000, *rng.integers(1, 40, 127).tolist()]
+    levels = np.where(rng.random(sum(sizes)) < 0.01, 2, 0)
+    groups = np.split(np.arange(sum(sizes)), np.cumsum(sizes)[:-1])
+    tracemalloc.start()
+    found = toxicity.marginals_of(chain, levels, groups)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    for k in (1, 50, 127):
+        assert np.allclose(found[groups[k]], chain.run(levels[groups[k]][None])[0][0], atol=1e-12)
+
+
+def test_a_toxic_word_in_a_very_long_line():
+    """Tokens, levels and marginals of a line of 500,000 words, one of them in the lexicon."""
+    text = " ".join(["plain"] * 300_000 + ["venomous"] + ["words"] * 200_000)
+    data, offsets = toxicity.text_bytes(toxicity.pa.array([text]))
+    found = toxicity.tokens(data, offsets)
+    code = found.codes[0][300_000]
+    levels = toxicity.token_levels(found, (np.array([code]), np.array([len(toxicity.LEVELS)])))
+    weights = np.zeros(toxicity.WIDTH)
+    weights[0], weights[1 : 1 + len(toxicity.LEVELS)] = -6, 3
+    p = toxicity.marginals_of(toxicity.Chain(weights, np.zeros((2, 2)), np.zeros(2)), levels, toxicity.line_groups(levels, found.line))
+    assert np.flatnonzero(p > 0.5).tolist() == [300_000]
