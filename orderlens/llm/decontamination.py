@@ -1,13 +1,15 @@
 """Benchmark decontamination: one Aho-Corasick automaton scans each text once.
 
 Texts and items are normalised alike: A-Z lowered, words of digits, a-z and all bytes above
-ASCII, one blank between words. The patterns are the windows of ``width`` consecutive item
-words (an item with fewer words is one window). A match is mapped back from the normalised
-text to word numbers and to code-point offsets of the original text.
+ASCII. The patterns are the windows of ``width`` consecutive item words (an item with fewer words
+is one window), each word written as two signs, so that a word is two nodes of the automaton
+whatever its length. A match is mapped back from word numbers to code-point offsets of the original text.
 
-The benchmark is cut into blocks of at most ``block_chars`` characters (or one item), each
-sent to the tasks as one automaton; blocks are scanned one after another in the same stage, so
-the work is the same at every size and nothing is shuffled.
+Spark cuts the benchmark into blocks of at most ``block_windows`` windows and writes each to the
+shared folder; the driver sees their names only. A scanning task builds the automaton of a block
+once. Up to ``CHAINED`` blocks are scanned in one stage, each by a worker of its own, and what
+they found is written before the next ones, so memory is bounded for benchmarks of any size and
+nothing is shuffled.
 
 Defined cases: a null or empty text has no words and no hits; a null or empty item matches
 nothing; items that share an id count once; a null item id is written as an empty string;
@@ -18,16 +20,24 @@ benchmark the result is empty or free of hits.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.shared import emit, narrow, prepare, slices
+from orderlens.llm.shared import emit, narrow, place, prepare, saved, slices
+from orderlens.operators.ordering import running_before
+from orderlens.session import staging_dir
+
+# Windows of one automaton (twenty nodes each at most), and automata alive in one task's workers.
+BLOCK_WINDOWS = 200_000
+CHAINED = 3
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lowering
 TO_WORDS = bytes(
@@ -43,39 +53,47 @@ def normalised(text: str) -> list[bytes]:
     return text.encode().translate(TO_WORDS).split()
 
 
-def windows(words: list[bytes], width: int) -> set[bytes]:
-    if not words:
-        return set()
-    return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+@dataclass
+class Patterns:
+    """The block's words as two signs each, and the automaton over these."""
+
+    signs: dict[bytes, str]
+    found: ahocorasick.Automaton
+
+
+OTHER = chr(0) * 2  # a word that no window holds
 
 
-def automaton(items: list[tuple[str, str]], width: int):
-    """Bytes are written as Latin-1 letters, so a letter is one byte of UTF-8."""
-    owners: dict[bytes, set[str]] = {}
-    for item_id, text in items:
-        for window in windows(normalised(text), width):
-            owners.setdefault(window, set()).add(item_id)
+def automaton(items: list[tuple[str, str]], width: int) -> Patterns | None:
+    """A word's number is written with two signs of an alphabet of about its root: one sign would
+    make nodes whose many branches are searched one by one, more signs more nodes."""
+    texts = [(item_id, normalised(text)) for item_id, text in items]
+    known = sorted({w for _, words in texts for w in words})
+    alphabet = max(1, math.isqrt(len(known)) + 1)
+    signs = {w: chr(1 + k // alphabet) + chr(1 + k % alphabet) for k, w in enumerate(known)}
+    owners: dict[str, set[str]] = {}
+    for item_id, words in texts:
+        for k in range(max(1, len(words) - width + 1) if words else 0):
+            owners.setdefault("".join([signs[w] for w in words[k : k + width]]), set()).add(item_id)
     if not owners:
         return None
     found = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        found.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, tuple(sorted(ids))))
+    while owners:
+        window, ids = owners.popitem()
+        found.add_word(window, (len(window) // 2, tuple(sorted(ids))))
     found.make_automaton()
-    return found
+    return Patterns(signs, found)
 
 
-def scan(words: list[bytes], patterns) -> tuple[list[int], set[str]]:
+def scan(words: list[bytes], patterns: Patterns) -> tuple[list[int], set[str]]:
     """First and last word + 1 of each covered run, and the items that occur."""
-    text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    runs: list[list[int]] = []
+    sign = patterns.signs.get
     items: set[str] = set()
-    blanks = None
-    for end, (size, ids) in patterns.iter(text):
-        if blanks is None:
-            blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 0x20)
-        last = int(np.searchsorted(blanks, end))  # the blank behind word number last - 1
-        items.update(ids)
-        runs.append([last - size, last])
+    runs = []
+    for end, (size, ids) in patterns.found.iter("".join([sign(w, OTHER) for w in words])):
+        if end % 2:  # else between two words
+            items.update(ids)
+            runs.append((end // 2 + 1 - size, end // 2 + 1))
     covered: list[int] = []
     for first, last in sorted(runs):
         if covered and first <= covered[-1]:
@@ -95,20 +113,48 @@ def merged(one: list[int], other: list[int]) -> list[int]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, read by the driver one row at a time."""
+def staged_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_windows: int) -> list[str]:
+    """Files of the benchmark's blocks in the shared folder."""
+    folder = f"{staging_dir(benchmark.sparkSession)}/benchmark-{uuid.uuid4().hex}"
     rows = benchmark.select(
         F.coalesce(benchmark[id_col].cast("string"), F.lit("")), F.coalesce(benchmark[text_col].cast("string"), F.lit(""))
     )
-    block, held = [], 0
-    for item_id, text in rows.toLocalIterator():
-        if block and held + len(text) > block_chars:
-            yield block
-            block, held = [], 0
-        block.append((item_id, text))
-        held += len(text)
-    if block:
-        yield block
+    most = max(1, block_windows // 4)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Items as normalised words, very long ones in pieces that share ``width`` - 1 words."""
+        schema = pa.schema([("item_id", pa.string()), ("words", pa.string()), ("windows", pa.int64())])
+        for batch in batches:
+            made = []
+            for item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = normalised(text)
+                n = max(1, len(words) - width + 1) if words else 0
+                for k in range(0, n, most):
+                    part = words[k : k + most + width - 1]
+                    made.append((item_id, b" ".join(part).decode(), min(most, n - k)))
+            if made:
+                yield emit(schema, *zip(*made, strict=True))
+
+    def write(block: pa.Table) -> pa.Table:
+        files, path = place(folder)
+        files.create_dir(path, recursive=True)
+        name = f"{uuid.uuid4().hex}.arrow"
+        with files.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, block.schema) as writer:
+            writer.write_table(block)
+        return pa.table({"file": [f"{folder}/{name}"]})
+
+    cut = rows.mapInArrow(pieces, "item_id string, words string, windows long").dropDuplicates()
+    placed = running_before(cut, [F.col("item_id").asc(), F.col("words").asc()], {"before": "windows"})
+    block = F.floor(F.col("before") / block_windows).alias("block")
+    written = placed.select("item_id", "words", block).groupBy("block").applyInArrow(write, "file string")
+    return [r.file for r in written.collect()]
+
+
+def loaded(file: str, width: int) -> Patterns | None:
+    files, path = place(file)
+    with files.open_input_file(path) as source:
+        block = pa.ipc.open_file(source).read_all()
+    return automaton([*zip(block.column("item_id").to_pylist(), block.column("words").to_pylist(), strict=True)], width)
 
 
 def contamination(
@@ -119,17 +165,17 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = 10,
-    block_chars: int = 8_000_000,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """Per document: words, hit words, the items that occur, and the hit spans of its text."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     hits = narrow(docs, id_col, text_col).select(
         "*", F.lit(-1).cast("long").alias("n_words"), F.array().cast("array<long>").alias("covered"), F.array().cast("array<string>").alias("items")
     )
 
-    def scanner(sent, last: bool):
+    def scanner(file: str | None, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            patterns = automaton(sent.value, width)
+            patterns = loaded(file, width) if file else None
             for batch in slices(batches):
                 texts = batch.column(1).to_pylist()
                 counts, covers, found = [], [], []
@@ -152,12 +198,13 @@ def contamination(
 
         return run
 
-    # An empty block stands in for an empty benchmark, so that words are always counted.
-    sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text_col, block_chars)]
-    sent = sent or [spark.sparkContext.broadcast([])]
-    for k, block in enumerate(sent, 1):
-        last = k == len(sent)
-        hits = hits.mapInArrow(scanner(block, last), RESULT if last else HITS)
+    # Without a block, words are still counted.
+    files = staged_blocks(benchmark, item_col, item_text_col, width, block_windows) or [None]
+    for k, file in enumerate(files, 1):
+        last = k == len(files)
+        hits = hits.mapInArrow(scanner(file, last), RESULT if last else HITS)
+        if k % CHAINED == 0 and not last:
+            hits = saved(hits)
     return hits
 
 
@@ -168,15 +215,15 @@ def uncontaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = 10,
-    block_chars: int = 8_000_000,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """The rows, all columns, in whose text no window of the benchmark occurs."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
 
-    def scanner(sent):
+    def scanner(file: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            patterns = automaton(sent.value, width)
+            patterns = loaded(file, width)
             for batch in batches:
                 if patterns and batch.num_rows:
                     texts = batch.column(at).cast(pa.string()).to_pylist()
@@ -185,8 +232,10 @@ def uncontaminated(
 
         return run
 
-    for block in blocks(benchmark, item_col, item_text_col, block_chars):
-        docs = docs.mapInArrow(scanner(spark.sparkContext.broadcast(block)), docs.schema)
+    for k, file in enumerate(staged_blocks(benchmark, item_col, item_text_col, width, block_windows), 1):
+        docs = docs.mapInArrow(scanner(file), docs.schema)
+        if k % CHAINED == 0:
+            docs = saved(docs)
     return docs
 
 

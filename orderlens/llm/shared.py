@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,15 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 22) -> Iter
             first = end
 
 
+def place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a folder or file name as Spark takes it."""
+    if ":/" not in uri:
+        return pyarrow.fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
 def emit(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [

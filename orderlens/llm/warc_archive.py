@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -33,12 +32,11 @@ from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm.shared import emit, prepare, saved
+from orderlens.llm.shared import emit, place, prepare, saved
 from orderlens.session import staging_dir
 
 # Fixed values of the archive formats.
@@ -184,15 +182,6 @@ def frames(stream) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """File system and path of a folder or file name as Spark takes it."""
-    if ":/" not in uri:
-        return pyarrow.fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
-    return pyarrow.fs.FileSystem.from_uri(uri)
-
-
 class Archives:
     """Archives of one task, one after the other, each begun with the dictionary."""
 

@@ -140,14 +140,24 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id int, text string")
     expected = decontamination.brute_force([(i, t) for i, t, _ in rows], items)
     assert any(v[4] for v in expected.values()) and not all(v[4] for v in expected.values())
-    for block in (8_000_000, 60):  # one automaton, and many
-        found = decontamination.digest(decontamination.contamination(frame(spark, rows), bench, block_chars=block)).collect()
+    for block in (200_000, 9):  # one automaton, and many: several to a stage, several stages, cut items
+        found = decontamination.digest(decontamination.contamination(frame(spark, rows), bench, block_windows=block)).collect()
         assert {r[0]: tuple(r)[1:] for r in found} == expected
-        kept = decontamination.uncontaminated(frame(spark, rows), bench, block_chars=block)
+        kept = decontamination.uncontaminated(frame(spark, rows), bench, block_windows=block)
         assert kept.columns == frame(spark, rows).columns
         assert {r["doc_id"] for r in kept.collect()} == {i for i, v in expected.items() if not v[4]}
 
 
+def test_memory_of_a_full_block():
+    """Two nodes a word: 200,000 windows stay below 300 MB."""
+    rnd = random.Random(3)
+    words = [f"word{rnd.randrange(10**6)}" for _ in range(6000)]
+    items = [(str(k), " ".join(rnd.choice(words) for _ in range(209))) for k in range(100)]
+    stats = decontamination.automaton(items, 10).found.get_stats()
+    assert stats["words_count"] == 20_000 and stats["nodes_count"] <= 20 * 20_000 + 1
+    assert stats["total_size"] * decontamination.BLOCK_WINDOWS / 20_000 < 300e6
+
+
 def test_decontamination_spans_are_offsets_of_the_original(spark):
     docs = frame(spark, [(1, "É—Alpha,  BETA gamma; alpha x", None)])
     bench = spark.createDataFrame([(1, "alpha beta")], "item_id int, text string")
