@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade of DataFrame expressions; no Python runs on rows.
 
-Each rule is a condition that rejects a text. On a sample the mean work of each rule (in
-characters or words touched, weighted) and its share of rejected texts are estimated; the
-rules then stand in one CASE in the order of rejections per cost, so that later and dearer
-rules are evaluated only for texts that passed the earlier ones. The order changes the time,
-never the verdict. An empty sample keeps the order given.
+Each rule is a condition that rejects a text, with the work it does on one: the characters,
+words, lines and windows it goes through. On a sample (a share of the rows, ``least`` of them at
+least) every rule is tried, and per pattern of rejections the rows and the work of each rule are
+added up. From these sums the rules are put in order one by one: next comes the rule that rejects
+most per work among the sampled texts that the rules before it let through. They stand in one
+CASE, so that later and dearer rules are evaluated only for texts that passed the earlier ones.
+The order changes the time, never the verdict. An empty sample keeps the order given.
 
 Words are runs of other characters than blanks (space, tab to carriage return).
 
@@ -91,79 +93,121 @@ def duplicate_lines(found: Column) -> Column:
     return bound(found, lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
-
-
 def n_symbols(text: Column) -> Column:
     return F.regexp_count(text, F.lit(SYMBOL))
 
 
+def word_chars(found: Column) -> Column:
+    return F.length(F.array_join(found, ""))
+
+
+def windows(found: Column) -> Column:
+    return F.greatest(F.size(found) - WINDOW + 1, F.lit(0))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` takes the text; ``weight`` is the work per character of text."""
+    """``reject`` and ``work`` take the text and its words, which every rule shares. ``work`` is in
+    characters read; ``measure`` names the count that ``test`` needs where it is known already."""
 
     name: str
-    reject: Callable[[Column], Column]
-    weight: float
+    measure: Callable[[Column, Column], Column]
+    test: Callable[[Column, Column, Column], Column]
+    work: Callable[[Column, Column], Column]
+    count: str = ""
 
+    def reject(self, text: Column, found: Column, known: Column | None = None) -> Column:
+        if known is not None and self.count:
+            return self.test(known[self.count], F.size(found), known["n_lines"])
+        n_lines = F.size(lines(text)) if self.count == "n_dup_lines" else F.lit(0)
+        return self.test(self.measure(text, found), F.size(found), n_lines)
 
-RULES = (
-    Rule("too_short", lambda t: n_words(t) < 20, 1.0),
-    Rule("symbols", lambda t: 10 * n_symbols(t) > n_words(t), 2.0),
-    Rule("long_words", lambda t: F.length(F.regexp_replace(t, BLANK, "")) > 30 * n_words(t), 2.0),
-    Rule("repeated_lines", lambda t: bound(lines(t), lambda ls: 2 * duplicate_lines(ls) > F.size(ls)), 3.0),
-    Rule("stutter", lambda t: bound(words(t), lambda ws: 5 * stuttered_words(ws) > F.size(ws)), 4.0),
-    Rule("repeated_words", lambda t: bound(words(t), lambda ws: 100 * repeated_words(ws) > 30 * F.size(ws)), 9.0),
-)
+
+def _chars(text: Column, found: Column) -> Column:
+    return F.length(text)
 
 
-def ordered(docs: DataFrame, text_col: str = "text", rules=RULES, fraction: float = 0.01, seed: int = 7) -> list[Rule]:
-    """The rules by estimated rejections per unit of work, highest first."""
+# Per word and window: reading its characters again, and hashing or comparing it.
+RULES = (
+    Rule("too_short", lambda t, ws: F.size(ws), lambda m, n, _: n < 20, lambda t, ws: F.lit(1), "n_words"),
+    Rule("symbols", lambda t, ws: n_symbols(t), lambda m, n, _: 10 * m > n, _chars, "n_symbols"),
+    Rule("long_words", lambda t, ws: word_chars(ws), lambda m, n, _: m > 30 * n, lambda t, ws: F.length(t) + F.size(ws), "word_chars"),
+    Rule(
+        "repeated_lines", lambda t, ws: duplicate_lines(lines(t)), lambda m, _, n: 2 * m > n,
+        lambda t, ws: 2 * F.length(t) + 8 * F.regexp_count(t, F.lit("\n")), "n_dup_lines",
+    ),
+    Rule("stutter", lambda t, ws: stuttered_words(ws), lambda m, n, _: 5 * m > n, lambda t, ws: F.length(t) + 8 * F.size(ws)),
+    Rule(
+        "repeated_words", lambda t, ws: repeated_words(ws), lambda m, n, _: 100 * m > 30 * n,
+        lambda t, ws: WINDOW * (F.length(t) + 8 * windows(ws)), "n_repeat_words",
+    ),
+)
+
+
+def ordered(docs: DataFrame, text_col: str = "text", rules=RULES, fraction: float = 0.01, least: int = 2_000, seed: int = 7) -> list[Rule]:
+    """The rules in the order that rejects most per work, each among what is left of the sample."""
+    rows = docs.count()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    seen = docs.select(text.alias("text")).sample(fraction, seed).agg(
-        F.avg(F.length("text")).alias("chars"),
-        *[F.avg(r.reject(F.col("text")).cast("int")).alias(f"r{k}") for k, r in enumerate(rules)],
-    ).first()
-    if seen["chars"] is None:
-        return list(rules)
-    gain = {r.name: seen[f"r{k}"] / (r.weight * (1 + seen["chars"])) for k, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: -gain[r.name])
+    sample = docs.select(text.alias("text")).sample(min(1.0, max(fraction, least / max(1, rows))), seed)
+    tried = sample.select("text", words(F.col("text")).alias("ws"))
+    tried = tried.select(
+        F.array(*[r.reject(F.col("text"), F.col("ws")) for r in rules]).alias("rejected"),
+        *[r.work(F.col("text"), F.col("ws")).cast("double").alias(f"w{k}") for k, r in enumerate(rules)],
+    )
+    # At most two to the number of rules rows.
+    patterns = tried.groupBy("rejected").agg(F.count("*").alias("n"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(len(rules))]).collect()
+    chain: list[int] = []
+    while len(chain) < len(rules):
+        left = [p for p in patterns if not any(p.rejected[k] for k in chain)]
+
+        def gain(k: int) -> float:
+            return sum(p.n for p in left if p.rejected[k]) / (1 + sum(p[f"w{k}"] for p in left))
 
+        chain.append(max((k for k in range(len(rules)) if k not in chain), key=lambda k: (gain(k), -k)))
+    return [rules[k] for k in chain]
 
-def first_failed(text: Column, rules) -> Column:
+
+def first_failed(text: Column, found: Column, rules, known: Column | None = None) -> Column:
     """The name of the first rule, in this order, that rejects; null if none does."""
-    return reduce(lambda case, r: case.when(r.reject(text), r.name), rules[1:], F.when(rules[0].reject(text), rules[0].name))
+    first, *rest = [(r.reject(text, found, known), r.name) for r in rules]
+    return reduce(lambda case, r: case.when(*r), rest, F.when(*first))
 
 
 def kept(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows, all columns, whose text no rule rejects."""
     prepare(docs.sparkSession)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.where(first_failed(text, ordered(docs, text_col, rules)).isNull())
+    text, chain = F.coalesce(docs[text_col].cast("string"), F.lit("")), ordered(docs, text_col, rules)
+    return docs.where(bound(words(text), lambda ws: first_failed(text, ws, chain)).isNull())
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """The base counts of every text, whether the base rules fail, and the cascade's verdict."""
+    """The base counts of every text, whether the base rules fail, and the cascade's verdict. The
+    counts are what most rules test, so only the others do work of their own."""
     prepare(docs.sparkSession)
     rows = narrow(docs, id_col, text_col)
     text, chain = F.col("text"), ordered(rows, "text", rules)
+    rest = [r for r in chain if r.name not in ("too_short", "repeated_words")]
 
-    def counts(ws: Column) -> Column:
+    def counts(ws: Column, ls: Column) -> Column:
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
-            F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            word_chars(ws).cast("long").alias("word_chars"),
             n_symbols(text).cast("long").alias("n_symbols"),
-            duplicate_lines(lines(text)).cast("long").alias("n_dup_lines"),
+            duplicate_lines(ls).cast("long").alias("n_dup_lines"),
             repeated_words(ws).cast("long").alias("n_repeat_words"),
+            F.size(ls).alias("n_lines"),
         )
 
-    rows = rows.select("doc_id", bound(words(text), counts).alias("c"), "text")
-    failed = (F.col("c.n_words") < 20) | (100 * F.col("c.n_repeat_words") > 30 * F.col("c.n_words"))
-    rest = [r for r in chain if r.name not in ("too_short", "repeated_words")]
-    return rows.select(
-        "doc_id", "c.*", failed.alias("base_failed"), (~failed & first_failed(text, rest).isNull()).alias("kept")
-    )
+    def judged(ws: Column, c: Column) -> Column:
+        failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
+        verdict = F.when(failed, False).otherwise(first_failed(text, ws, rest, c).isNull())
+        return F.struct(c.alias("c"), failed.alias("base_failed"), verdict.alias("kept"))
+
+    def every(ws: Column) -> Column:
+        return bound(bound(lines(text), lambda ls: counts(ws, ls)), lambda c: judged(ws, c))
+
+    found = rows.select("doc_id", bound(words(text), every).alias("f"))
+    return found.select("doc_id", "f.c.*", "f.base_failed", "f.kept").drop("n_lines")
 
 
 ORACLE = r"""

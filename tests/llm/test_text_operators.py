@@ -354,6 +354,29 @@ def test_rule_order_never_changes_the_verdict(spark):
     assert sorted(r.name for r in chain) == sorted(r.name for r in quality_rules.RULES)
 
 
+def test_rules_are_ordered_by_what_the_sample_shows(spark):
+    """The same rules, costs and code: only the texts turn the order."""
+    words = [f"word{k}" for k in range(60)]
+    plain, symbols = " ".join(words), " ".join("a#" + w for w in words)
+    long_words = " ".join(w * 12 for w in words)
+    stutter = " ".join(f"{w} {w}" for w in words)
+    both = " ".join(f"#{w} #{w}" for w in words)  # symbols and stutter
+    repeated = " ".join(words[:20] * 4)
+
+    def order(*texts):
+        chain = quality_rules.ordered(spark.createDataFrame([(t,) for t in texts], "text string"), least=1_000_000)
+        return [r.name for r in chain]
+
+    assert order(plain, symbols, symbols)[0] == "symbols"
+    assert order(plain, long_words, long_words)[0] == "long_words"
+    assert order(plain, stutter, stutter)[0] == "stutter"
+    # Alone, stutter rejects as many as symbols and more than repeated words; of what symbols let through, none.
+    names = order(plain, both, both, both, repeated)
+    assert names[0] == "symbols" and names.index("repeated_words") < names.index("stutter")
+    names = order(plain, both, stutter, stutter, repeated)
+    assert names.index("stutter") < names.index("repeated_words")
+
+
 def test_empty_tables(spark):
     docs = frame(spark, []).limit(0)
     bench = spark.createDataFrame([], "item_id int, text string")
