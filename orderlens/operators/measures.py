@@ -72,7 +72,8 @@ def added(sums: DataFrame, keys: Sequence[str], measures: Sequence[str], *extra:
 
 def sum_lines(sales, keys: Sequence[str], measures: Sequence[str], where: Where) -> DataFrame:
     """From the lines of ``sales`` (with ``lines``, ``facts`` and ``products``). The product
-    master is met once: for its category, or to drop the lines of unknown products."""
+    master is met once: for its category, or to drop the lines of unknown products. Sums per
+    product id alone still hold unknown ones; whoever looks the products up drops them there."""
     names = {*keys, *where}
     needed = columns_of((n for n in names if n != "category"), measures)
     of_lines = {k: v for k, v in where.items() if k != "category"}
@@ -84,6 +85,8 @@ def sum_lines(sales, keys: Sequence[str], measures: Sequence[str], where: Where)
             per_product = summed(lines, ["product_id"], measures)
             return added(per_product.join(master, "product_id"), keys, measures)
         return summed(lines.join(master, "product_id"), keys, measures)
+    if names == {"product_id"}:
+        return summed(sales.lines("product_id", *needed), keys, measures)
     if names <= FEW:
         lines = picked(sales.lines("product_id", *needed), of_lines)
         per_product = summed(lines, [*keys, "product_id"], measures)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import dbl, percent
+from orderlens.operators.quality import duplicate_ids
 from orderlens.plans.frame_reports import mean
 from orderlens.plans.parts import (
     amount,
@@ -131,9 +132,7 @@ def largest_loss(sales: Sales) -> DataFrame:
 def overdue_concentration(sales: Sales, top: int = 10) -> DataFrame:
     """Share of the ``top`` customers in all overdue sales. Both sums stand on the same
     totals per customer, so Spark computes those once."""
-    lines = sales.facts("customer_id", "payment_status", "net_sales")
-    lines = lines.filter(F.col("payment_status") == "Overdue")
-    people = lines.groupBy("customer_id").agg(F.sum("net_sales").alias("net_sales"))
+    people = sales.summed(["customer_id"], ("net_sales",), {"payment_status": "Overdue"})
     everything = people.agg(F.sum("net_sales")).scalar()
     one = largest(people, "net_sales", top, "customer_id").agg(F.sum("net_sales").alias("top"))
     one = one.select("top", everything.alias("everything"))
@@ -222,24 +221,29 @@ def leaders(sales: Sales) -> DataFrame:
 def scope_counts(sales: Sales) -> DataFrame:
     """Distinct orders, customers, products, salespeople and cities in the cleaned orders.
 
-    An unknown id is a customer here; ``known_customers`` and ``cities`` leave it out.
+    An unknown id is a customer here; ``known_customers`` and ``cities`` leave it out. Keys that
+    reports sum by are counted from those sums; orders are the present ids less the repeats.
     """
-    ids = sales.facts("customer_id").groupBy("customer_id").agg(F.count("*").alias("lines"))
+    ids = sales.summed(["customer_id"], ("orders",)).select("customer_id")
     master = sales.customers.select("customer_id", "city", F.lit(True).alias("known"))
     people = ids.join(master, "customer_id", "left").agg(
         F.count("customer_id").alias("customers"),
         F.count("known").alias("known_customers"),
         F.countDistinct("city").alias("cities"),
     )
+    products = sales.products.select("product_id")
 
-    def number(column: str) -> Column:
-        return sales.facts(column).agg(F.countDistinct(column)).scalar()
+    def number(groups: DataFrame, key: str) -> Column:
+        return groups.agg(F.count(key)).scalar()
 
+    again = duplicate_ids(sales.facts("order_id")).filter(F.col("order_id").isNotNull())
+    repeats = again.agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0))).scalar()
+    present = sales.summed([], ("ids",)).select("ids").scalar()
     return people.select(
-        number("order_id").alias("orders"),
+        (present - repeats).alias("orders"),
         "customers",
-        number("product_id").alias("products"),
-        number("salesperson").alias("salespeople"),
+        number(sales.summed(["product_id"], ("orders",)).join(products, "product_id", "left_semi"), "product_id").alias("products"),
+        number(sales.summed(["salesperson"], ("orders",)), "salesperson").alias("salespeople"),
         "known_customers",
         "cities",
     )

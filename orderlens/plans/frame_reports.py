@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import band_by_bins, dbl, month_name, percent
-from orderlens.operators.measures import AMOUNTS, added
+from orderlens.operators.measures import AMOUNTS, added, summed
 from orderlens.operators.ordering import running_before, sum_of_largest
 from orderlens.plans.parts import (
     again,
@@ -20,7 +20,6 @@ from orderlens.plans.parts import (
     overdue,
     per_customer,
     per_product,
-    totals,
 )
 from orderlens.schema import BANDS, STATUSES, literal_rows
 from orderlens.session import stage
@@ -328,10 +327,10 @@ def loss_summary(sales: Sales) -> DataFrame:
 
 def loss_by_category(sales: Sales) -> DataFrame:
     lines = sales.facts("product_id", "order_id", "is_loss", "profit").filter("is_loss")
-    per_id = totals(lines, ["product_id"], ("profit",), frame=True)
+    per_id = summed(lines, ["product_id"], ("ids", "profit")).withColumnRenamed("ids", "orders")
     master = sales.products.select("product_id", "category")
     return (
-        again(per_id.join(master, "product_id"), ["category"])
+        again(per_id.fillna(0, ["profit"]).join(master, "product_id"), ["category"])
         .filter(F.col("category").isNotNull())
         .select("category", "orders", amount("profit", "loss"))
         .orderBy("loss", "category")

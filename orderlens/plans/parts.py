@@ -14,45 +14,40 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.columns import dbl
 from orderlens.operators.cleaning import add_customer
-from orderlens.operators.measures import AMOUNTS
+from orderlens.operators.measures import AMOUNTS, Where
 from orderlens.warehouse import Sales
 
 
-def totals(df: DataFrame, keys: list[str], amounts: tuple[str, ...], frame: bool = False) -> DataFrame:
-    """Rows, summed amounts and (if net sales are summed) their number, per key.
+def again(df: DataFrame, keys: list[Column | str], *extra: Column) -> DataFrame:
+    """Sum the result of ``totals`` over coarser keys."""
+    names = [c for c in ("orders", "net_rows", *AMOUNTS) if c in df.columns]
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names], *extra)
+
+
+def totals(
+    sales: Sales, key: str, amounts: tuple[str, ...], frame: bool = False, where: Where | None = None
+) -> DataFrame:
+    """``orders``, summed amounts and (if net sales are summed) their number, per id.
 
     ``frame`` selects the conventions of the frame reports: present order ids are counted
     instead of rows, and the sum of only missing values is 0.
     """
-    counted = F.count("order_id") if frame else F.count("*")
-    extra = [F.count("net_sales").alias("net_rows")] if "net_sales" in amounts else []
-    summed = df.groupBy(*keys).agg(
-        counted.alias("orders"), *extra, *[F.sum(a).alias(a) for a in amounts]
-    )
+    orders = "ids" if frame else "orders"
+    names = (orders, *(["net_rows"] if "net_sales" in amounts else []), *amounts)
+    summed = sales.summed([key], names, where).withColumnRenamed(orders, "orders")
     return summed.fillna(0, list(amounts)) if frame else summed
 
 
-def again(df: DataFrame, keys: list[Column | str], *extra: Column) -> DataFrame:
-    """Sum the result of ``totals`` over coarser keys."""
-    names = [c for c in ("orders", "net_rows", *AMOUNTS) if c in df.columns]
-    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names], *extra)
-
-
 def per_product(sales: Sales, amounts: tuple[str, ...], frame: bool = False) -> DataFrame:
-    columns = ["product_id", *amounts, *(["order_id"] if frame else [])]
-    lines = totals(sales.lines(*columns), ["product_id"], amounts, frame)
     master = sales.products.select("product_id", "product_name", "category")
-    return lines.join(master, "product_id", "inner")
+    return totals(sales, "product_id", amounts, frame).join(master, "product_id", "inner")
 
 
 def per_customer(
     sales: Sales, amounts: tuple[str, ...], frame: bool = False, status: str | None = None
 ) -> DataFrame:
-    columns = ["customer_id", *amounts, *(["order_id"] if frame else [])]
-    lines = sales.facts(*columns, *(["payment_status"] if status else []))
-    if status:
-        lines = lines.filter(F.col("payment_status") == status)
-    return add_customer(totals(lines, ["customer_id"], amounts, frame), sales.customers)
+    where = {"payment_status": status} if status else None
+    return add_customer(totals(sales, "customer_id", amounts, frame, where), sales.customers)
 
 
 def by_customer_attribute(

@@ -101,6 +101,8 @@ ROLLUPS = {
     "by_discount": ("discount_pct", "payment_status"),
     "by_month": ("month", "category"),
     "by_salesperson": ("salesperson", "category", "payment_status"),
+    "by_product": ("product_id",),
+    "by_customer": ("customer_id", "payment_status"),
 }
 SLICES = "by_customer_block"
 
