@@ -2,6 +2,7 @@
 
 import time
 import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -232,3 +233,55 @@ def test_a_toxic_word_in_a_very_long_line():
     weights[0], weights[1 : 1 + len(toxicity.LEVELS)] = -6, 3
     p = toxicity.marginals_of(toxicity.Chain(weights, np.zeros((2, 2)), np.zeros(2)), levels, toxicity.line_groups(levels, found.line))
     assert np.flatnonzero(p > 0.5).tolist() == [300_000]
+
+
+def test_quality_scores_equal_direct_equations(spark):
+    """Statistics by hand for some features; moments, kernel, ridge weights and knots by plain numpy."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(5, 60))) + ("." if k % 3 else " #$ 99") for k in range(240)]
+    truth = [int(k % 3 > 0) for k in range(240)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, y) for k, y in enumerate(truth)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_model.scores(docs, labels).collect()}
+    stats = quality_model.statistics(toxicity.pa.array(texts)).astype(np.float32).astype(float)
+    split = [t.split() for t in texts]
+    assert np.allclose(stats[:, 0], np.log1p([len(ws) for ws in split]))
+    assert np.allclose(stats[:, 2], [np.mean([len(w) for w in ws]) for ws in split], atol=1e-5)
+    assert np.allclose(stats[:, 11], [len(set(ws)) / len(ws) for ws in split], atol=1e-6)
+    part = np.array([zlib.crc32(str(k).encode()) % 5 for k in range(240)])
+    fits, checks = ~np.isin(part, (0, 1)), part == 1
+    rows, size = stats[fits], 192
+    kernel = quality_model.Kernel(rows.mean(0), rows.std(0), size, 0.04, 11)
+    waves, y = kernel(rows), np.array(truth, float)
+    weights = np.linalg.solve(waves.T @ waves / len(rows) + 1e-2 / size * np.eye(size + 1), waves.T @ y[fits] / len(rows))
+    raw = kernel(stats) @ weights
+    low, wide = raw[checks].min(), np.ptp(raw[checks])
+    bins = np.minimum(np.floor((raw[checks] - low) / wide * calibration.BINS), calibration.BINS - 1)
+    n = np.array([(bins == b).sum() for b in np.unique(bins)], float)
+    hits = np.array([y[checks][bins == b].sum() for b in np.unique(bins)])
+    fitted = calibration.monotone(n + 0.1, hits + 0.1 * hits.sum() / n.sum())
+    x = np.array([raw[checks][bins == b].mean() for b in np.unique(bins)])
+    want = np.interp(raw, x, np.clip(fitted + 1e-6 * np.arange(len(x)) / calibration.BINS, 0, 1))
+    assert np.allclose([got[k]["score"] for k in range(240)], want, atol=1e-6)
+    assert all(got[k]["held_out"] == (part[k] == 0) and got[k]["predicted"] == (want[k] >= 0.3) for k in range(240) if abs(want[k] - 0.3) > 1e-5)
+
+
+def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, ties, repeated rows, long texts and clashing columns through every stage."""
+    docs = frame(spark, AWKWARD)
+    good = " ".join(f"word{k}" for k in range(60))
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(good)}))
+    for name, rows in (("awkward", docs), ("empty", docs.limit(0))):
+        staged = rows
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}{k}")
+            stage(spark, staged, SMALL).write.parquet(path)
+            staged = spark.read.parquet(path)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert staged.columns == docs.columns
+                held = staged
+        kept = {(r["doc_id"], r["text"]) for r in held.collect()}
+        # The other rows are short or repeat their words.
+        assert kept == ({(None, good)} if name == "awkward" else set())
+        assert {r["doc_id"] for r in staged.collect()} == {i for i, _ in kept}

@@ -306,6 +306,13 @@ def test_substring_dedup_of_awkward_rows(spark):
     assert [d[2] for d in done if d[0] == 8] == [30_000]
 
 
+def test_substring_dedup_orders_null_ids_last(spark):
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(None, f"null first {passage}", "s"), (3, f"{passage} three", "s"), (None, f"null again {passage}", "s"), (None, None, "s")]
+    done = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(frame(spark, rows)).collect()), key=str)
+    assert done == [(3, 26, 0), (None, 0, 0), (None, 27, 25), (None, 27, 25)]
+
+
 def test_jaccard_classes_equal_brute_force(spark):
     rows = invented(5, 140, 90) + [(900, "", "s"), (901, None, "s"), (902, "a b", "s"), (903, "a  b\n", "s"), (904, "b a", "s")]
     expected = jaccard_join.brute_force([(i, t) for i, t, _ in rows])
