@@ -96,21 +96,43 @@ def key_of(code: np.ndarray, oid: np.ndarray) -> np.ndarray:
 
 
 def smallest_neighbours(edges: DataFrame) -> DataFrame:
-    """``node``, ``class``: the smallest node that each node of ``edges`` (a, b) is connected to."""
+    """``node``, ``class``: the smallest node that each node of ``edges`` (a, b) is connected to.
+
+    In each round all nodes with one label take the least label next to any of them, so labels
+    merge like contracted nodes and rounds grow with the logarithm of a component's size.
+    """
     both = saved(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
     labels = saved(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("class")))
     while True:
         near = both.join(labels.select(F.col("node").alias("next"), "class"), "next").groupBy("node").agg(F.min("class").alias("near"))
+        seen = labels.join(near, "node")
+        pulled = seen.groupBy("class").agg(F.min("near").alias("pulled"))
         # A label is itself a node; following it halves the remaining way.
         follow = labels.select(F.col("node").alias("class"), F.col("class").alias("beyond"))
-        moved = labels.join(near, "node").join(follow, "class", "left")
-        lower = F.least("class", "near", "beyond")
+        moved = seen.join(pulled.join(follow, "class", "left"), "class")
+        lower = F.least("class", "near", "pulled", "beyond")
         moved = saved(moved.select("node", lower.alias("class"), (lower != F.col("class")).alias("moved")))
         labels = moved.select("node", "class")
         if moved.where("moved").isEmpty():
             return labels
 
 
+def merged_classes(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` (node, class) after further links ``more`` (a, b), which join few classes: only
+    the graph of the classes is gone through again. A class is named by its smallest node, so the
+    smallest class of a merged one is its smallest node."""
+
+    def class_of(end: str) -> DataFrame:
+        return found.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}"))
+
+    ends = more.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
+    ends = ends.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).where("a != b").distinct()
+    roots = smallest_neighbours(ends).toDF("class", "root")
+    new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti")
+    nodes = found.select("node", "class").union(new.select("node", F.col("node").alias("class")))
+    return saved(nodes.join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("class")))
+
+
 def classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -195,8 +217,8 @@ def classes(
     found = smallest_neighbours(links)
     placed = saved(near.join(found.withColumnRenamed("node", "code"), "code", "left").select("key", "code", F.coalesce("class", "code").alias("class")))
     mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
-    links = saved(links.union(joined_classes(placed.join(mixed, "key"), sets, block, threshold)))
-    found = smallest_neighbours(links)
+    more = saved(joined_classes(placed.join(mixed, "key"), sets, block, threshold))
+    links, found = links.union(more), merged_classes(found, more)
     if count_links:
         counts = counted(found, sets, block, threshold)
     else:

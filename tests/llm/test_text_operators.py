@@ -322,6 +322,23 @@ def test_jaccard_classes_equal_brute_force(spark):
         assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in found} == expected
 
 
+def test_classes_of_long_chains_in_few_rounds(spark, monkeypatch):
+    """Chains in random order, where labels that pass from node to node would take a round a node."""
+    rnd = random.Random(12)
+    nodes = rnd.sample(range(-(10**6), 10**6), 700)
+    edges = [*zip(nodes[:300], nodes[1:301]), *zip(nodes[400:600], nodes[401:601]), (nodes[650], nodes[651])]
+    rounds = []
+    kept = jaccard_join.saved
+    monkeypatch.setattr(jaccard_join, "saved", lambda df: rounds.append(1) or kept(df))
+    found = {r[0]: r[1] for r in jaccard_join.smallest_neighbours(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: min(part) for part in (nodes[:301], nodes[400:601], nodes[650:652]) for n in part}
+    assert found == want and len(rounds) < 14
+    more = spark.createDataFrame([(nodes[5], nodes[500]), (nodes[650], nodes[690])], "a long, b long")
+    merged = {r[0]: r[1] for r in jaccard_join.merged_classes(spark.createDataFrame([*found.items()], "node long, class long"), more).collect()}
+    whole = {n: min(part) for part in (nodes[:301] + nodes[400:601], [*nodes[650:652], nodes[690]]) for n in part}
+    assert merged == whole
+
+
 def test_jaccard_of_awkward_rows(spark):
     docs = frame(spark, AWKWARD)
     found = jaccard_join.classes(docs).collect()
