@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import columns as expressions
 from orderlens.operators import cleaning, measures, ordering, profiling, quality, validation
-from orderlens.plans import dashboard, frame_reports, sql_reports
+from orderlens.plans import dashboard, findings, frame_reports, sql_reports
 from tests.conftest import ORDER_ROWS
 
 
@@ -212,6 +212,13 @@ def test_many_blocks_of_customers(spark):
     assert (one.customers, one.orders) == (70_000, 70_010)
 
 
+def test_problem_products_are_those_under_fifteen_percent(make_sales, order):
+    """A margin of 8 to 15 percent is a problem too, one of 15 is none."""
+    rows = [order("A", profit=120), order("B", product_id="P2", profit=150), order("C", product_id="P3", profit=79)]
+    found = {r.product_id: r.margin_pct for r in findings.hidden_problem_products(make_sales(rows)).collect()}
+    assert found == {"P1": 12.0, "P3": 7.9}
+
+
 def _masters(make_sales):
     sales = make_sales(ORDER_ROWS)
     return sales.customers, sales.products
