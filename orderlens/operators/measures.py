@@ -2,15 +2,20 @@
 
 A report names the keys and measures it needs; whoever holds the sales answers from the lines
 or from sums made before. Money is decimal and counts are whole, so sums of sums equal the sums
-of the lines. A distinct count of customers does not add up; a bitmap of them does: customers
-are numbered without gaps, and each block of 32,768 numbers is one bitmap of 4 kB per group.
+of the lines. A distinct count of customers does not add up; two things do. A bitmap of them:
+customers are numbered without gaps, and each block of 32,768 numbers is one bitmap of 4 kB per
+group. And marks: of the lines of a customer that share some of the keys, one is marked as first.
+Bitmaps serve few groups; where groups have few customers each, they would be mostly zeros, and
+marks take one number per group instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderlens.operators.ordering import running_before, small_side
@@ -100,34 +105,75 @@ def with_customers(per_customer: DataFrame, measures: Sequence[str]) -> DataFram
     return added(per_customer, [], measures, F.count("customer_id").alias("customers"))
 
 
-# Block of the rows that hold the measures of a group.
-SUMS = -1
+# Block of the rows that hold the measures of a group, and of those that hold its marks.
+SUMS, MARKS = -1, -2
+# Bitmaps are 4 kB each; with more of them than this, customers are marked instead.
+MOST_BITMAPS = 4096
+BLOCK_SIZE = 32_768
+
+
+def mark(keys: Iterable[str]) -> str:
+    """Column that counts first lines among those with the same customer and these keys."""
+    return "_".join(["new", *sorted(keys)])
+
+
+def has_marks(slices: DataFrame) -> bool:
+    return mark(()) in slices.columns
 
 
 def customer_slices(sums: DataFrame, pairs: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Per group of ``keys``: a row with its ``measures`` (block -1), and per block of customers a
-    row with them as a bitmap.
+    row with them as a bitmap (``customers``) or, where these would be many, one row of marks.
 
     ``sums`` has the measures per group, ``pairs`` the group and customer of each line. Distinct
-    pairs are narrow and written once, as the numbering and the bitmaps both read them. Bitmaps
-    are built after the shuffle: before it, a group with one customer would move 4 kB.
+    pairs are narrow and written once, as several steps read them.
     """
-    distinct = stage(pairs.filter(F.col("customer_id").isNotNull()).distinct())
-    ids = distinct.select("customer_id").distinct().withColumn("_one", F.lit(1).cast("bigint"))
-    numbers = running_before(ids, [F.col("customer_id").asc()], {"_number": "_one"}).drop("_one")
+    distinct = stage(pairs.distinct())
+    known = distinct.filter(F.col("customer_id").isNotNull())
+    ids = known.select("customer_id").distinct()
+    groups = distinct.select(*keys).distinct().limit(MOST_BITMAPS + 1).count()
+    few = groups <= MOST_BITMAPS and groups * (ids.count() // BLOCK_SIZE + 1) <= MOST_BITMAPS
+    rows = customer_bitmaps(known, ids, keys) if few else customer_marks(known, keys)
+    return sums.withColumn("block", F.lit(SUMS).cast("bigint")).unionByName(rows, allowMissingColumns=True)
+
+
+def customer_bitmaps(distinct: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bitmaps are built after the shuffle: before it, a group with one customer would move 4 kB."""
+    one = ids.withColumn("_one", F.lit(1).cast("bigint"))
+    numbers = running_before(one, [F.col("customer_id").asc()], {"_number": "_one"}).drop("_one")
     place = F.col("_number") + 1
-    blocks = (
+    return (
         distinct.join(small_side(numbers), "customer_id")
         .select(*keys, F.bitmap_bucket_number(place).alias("block"), F.bitmap_bit_position(place).alias("_bit"))
         .repartition(*keys, "block")
         .groupBy(*keys, "block")
         .agg(F.bitmap_construct_agg("_bit").alias("customers"))
     )
-    return sums.withColumn("block", F.lit(SUMS).cast("bigint")).unionByName(blocks, allowMissingColumns=True)
 
 
-def counted(slices: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Slices to one row per group: blocks are disjoint, so their bits add up."""
+def customer_marks(distinct: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group and choice of its keys: how many customers it holds that no group before it with the
+    same values of the chosen keys does. Summed over these groups, each customer counts once.
+
+    All windows lie inside one customer, so the pairs are shuffled once.
+    """
+    rows, names = distinct.repartition("customer_id"), sorted(keys)
+    for size in range(len(names)):
+        for chosen in combinations(names, size):
+            order = [F.col(k) for k in names if k not in chosen]
+            first = F.row_number().over(W.partitionBy("customer_id", *chosen).orderBy(*order)) == 1
+            rows = rows.withColumn(mark(chosen), first.cast("bigint"))
+    rows = rows.withColumn(mark(names), F.lit(1).cast("bigint"))
+    marks = [c for c in rows.columns if c not in (*keys, "customer_id")]
+    return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in marks]).withColumn("block", F.lit(MARKS).cast("bigint"))
+
+
+def counted(slices: DataFrame, keys: Sequence[str], measures: Sequence[str], picked: Iterable[str] = ()) -> DataFrame:
+    """Slices to one row per group: blocks are disjoint, so their bits add up. Of ``picked`` keys
+    the slices hold one value only."""
+    if has_marks(slices):
+        customers = F.coalesce(F.sum(mark({*keys, *picked})), F.lit(0)).alias("customers")
+        return added(slices, keys, measures, customers)
     blocks = slices.groupBy(*keys, "block").agg(
         *[F.sum(m).alias(m) for m in measures], F.bitmap_or_agg("customers").alias("bits")
     )

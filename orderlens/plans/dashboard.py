@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import dbl
-from orderlens.operators.measures import AMOUNTS, Where
+from orderlens.operators.measures import AMOUNTS, Where, has_marks, mark
 from orderlens.plans.sql_reports import kpi_columns
 from orderlens.warehouse import Sales
 
@@ -19,11 +19,15 @@ def cube(sales: Sales) -> DataFrame:
     """The eleven headline figures for each selection, also for "all". A missing key is not
     "all": the two flags tell them apart. The cube runs on slices (salesperson, category, block
     of customers), not on the lines: blocks keep their bitmaps apart, so that the bitmaps of one
-    block are united through the cube and the bits of all blocks add up to distinct customers."""
+    block are united through the cube and the bits of all blocks add up to distinct customers.
+    Slices of many groups have marks in place of bitmaps: each selection adds up its own."""
     person, kind, block = keys = ("salesperson", "category", "block")
+    slices = sales.slices(CUBE_MEASURES)
+    selection = (person, kind, "all_salespeople", "all_categories")
+    if has_marks(slices):
+        return _figures(_marked_cube(slices), selection)
     blocks = (
-        sales.slices(CUBE_MEASURES)
-        .groupingSets([[person, kind, block], [person, block], [kind, block], [block]], *keys)
+        slices.groupingSets([[person, kind, block], [person, block], [kind, block], [block]], *keys)
         .agg(
             (F.grouping(person) == 1).alias("all_salespeople"),
             (F.grouping(kind) == 1).alias("all_categories"),
@@ -31,8 +35,25 @@ def cube(sales: Sales) -> DataFrame:
             F.bitmap_count(F.bitmap_or_agg("customers")).alias("customers"),
         )
     )
-    selection = (person, kind, "all_salespeople", "all_categories")
     totals = blocks.groupBy(*selection).agg(*[F.sum(m).alias(m) for m in (*CUBE_MEASURES, "customers")])
+    return _figures(totals, selection)
+
+
+def _marked_cube(slices: DataFrame) -> DataFrame:
+    keys = ("salesperson", "category")
+    choices = [[*keys], [keys[0]], [keys[1]], []]
+    totals = slices.groupingSets(choices, *keys).agg(
+        (F.grouping(keys[0]) == 1).alias("all_salespeople"),
+        (F.grouping(keys[1]) == 1).alias("all_categories"),
+        *[F.sum(m).alias(m) for m in (*CUBE_MEASURES, *map(mark, choices))],
+    )
+    for_all_kinds = F.when(F.col("all_salespeople"), F.col(mark([]))).otherwise(F.col(mark(keys[:1])))
+    for_a_kind = F.when(F.col("all_salespeople"), F.col(mark(keys[1:]))).otherwise(F.col(mark(keys)))
+    customers = F.when(F.col("all_categories"), for_all_kinds).otherwise(for_a_kind)
+    return totals.withColumn("customers", F.coalesce(customers, F.lit(0)))
+
+
+def _figures(totals: DataFrame, selection: tuple[str, ...]) -> DataFrame:
     return totals.select(
         *selection,
         *kpi_columns(),

@@ -57,6 +57,8 @@ class LiveSales:
         return cleaning.clean_lines(self.source.orders_raw(cleaning.inputs_of(columns)), columns)
 
     def clean(self) -> DataFrame:
+        if hasattr(self.source, "orders_with_customers"):
+            return cleaning.clean_with_customers(self.source.orders_with_customers(), self.products)
         return cleaning.build_clean(self.raw(), self.customers, self.products)
 
     def summed(self, keys: Sequence[str], names: Sequence[str], where: Where | None = None) -> DataFrame:
@@ -69,7 +71,7 @@ class LiveSales:
         return measures.with_customers(self.summed(["customer_id"], names, where), names)
 
     def slices(self, names: Sequence[str]) -> DataFrame:
-        """Measures and customers (as bitmaps) per salesperson, category and block of customers."""
+        """Measures and customers (as bitmaps or marks) per salesperson, category and block of customers."""
         keys = ["salesperson", "category"]
         lines = self.lines("product_id", "salesperson", "customer_id")
         pairs = lines.join(self.products.select("product_id", "category"), "product_id")
@@ -169,10 +171,12 @@ class StoredSales:
         return self._from_lines(keys, names, where)
 
     def slices(self, names: Sequence[str]) -> DataFrame:
-        return self._read(f"sums/{SLICES}").select("salesperson", "category", "block", *names, "customers")
+        slices = self._read(f"sums/{SLICES}")
+        return slices.drop(*[m for m in MEASURES if m not in names])
 
     def with_customers(self, names: Sequence[str], where: Where | None = None) -> DataFrame:
-        return measures.counted(measures.picked(self.slices(names), where or {}), [], names)
+        where = where or {}
+        return measures.counted(measures.picked(self.slices(names), where), [], names, where)
 
 
 Sales = LiveSales | StoredSales

@@ -212,6 +212,26 @@ def test_many_blocks_of_customers(spark):
     assert (one.customers, one.orders) == (70_000, 70_010)
 
 
+def test_cube_with_marks_equals_cube_with_bitmaps(make_sales, order, monkeypatch):
+    """Many groups of few customers: no bitmap is made, and every selection counts the same."""
+    rows = [
+        order(f"{p}{k}{c}", product_id=p, salesperson=k, customer_id=c)
+        for n, (p, k, c) in enumerate((p, k, c) for p in ("P1", "P2", "P3") for k in ("Amit", "Neha", None) for c in ("C1", "C2", "C999", None))
+        if n % 5
+    ]
+    sales = make_sales([*rows, rows[0]])
+    bitmaps = sorted(dashboard.cube(sales).collect(), key=str)
+    monkeypatch.setattr(measures, "MOST_BITMAPS", 0)
+    marked = dashboard.cube(sales)
+    assert "bitmap" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(marked.collect(), key=str) == bitmaps and len(bitmaps) == 16
+    # A selection from the slices, as written tables answer it.
+    for where in ({}, {"salesperson": "Neha"}, {"category": "Safety"}, {"salesperson": "Amit", "category": "Plumbing"}, {"category": "None"}):
+        one = measures.counted(measures.picked(sales.slices(("orders",)), where), [], ("orders",), where).first()
+        lines = measures.picked(sales.clean(), where).select("customer_id")
+        assert (one.customers, one.orders) == (lines.distinct().dropna().count(), lines.count())
+
+
 def test_problem_products_are_those_under_fifteen_percent(make_sales, order):
     """A margin of 8 to 15 percent is a problem too, one of 15 is none."""
     rows = [order("A", profit=120), order("B", product_id="P2", profit=150), order("C", product_id="P3", profit=79)]
