@@ -123,6 +123,15 @@ def add_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
+# What ``add_customer`` adds.
+CUSTOMER_COLUMNS = (*CUSTOMER_TEXT, "unknown_customer")
+
+
+def unknown_customers(orders: DataFrame) -> DataFrame:
+    """Orders with the columns of ``add_customer``; where those are missing, the customer is unknown."""
+    return orders.fillna(UNKNOWN, list(CUSTOMER_TEXT)).fillna(True, ["unknown_customer"])
+
+
 def add_product(orders: DataFrame, products: DataFrame, how: str = "left") -> DataFrame:
     return orders.join(products.select("product_id", "product_name", "category"), "product_id", how)
 
@@ -133,9 +142,18 @@ def enrich(orders: DataFrame, customers: DataFrame, products: DataFrame) -> Data
 
 def build_clean(raw: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """The wide cleaned table. The inner join with the (unique) product master both drops
-    orphan products and brings their attributes, so the lines meet each master once."""
-    kept = add_product(drop_bad_quantity(raw), products, "inner")
-    return add_customer(derive(clean_text(kept)), customers).select(*CLEAN_COLUMNS)
+    orphan products and brings their attributes, so the lines meet each master once. Columns are
+    derived behind the joins, which then shuffle the lines without them."""
+    return finish_clean(add_customer(add_product(drop_bad_quantity(raw), products, "inner"), customers))
+
+
+def clean_with_customers(orders: DataFrame, products: DataFrame) -> DataFrame:
+    """``build_clean`` of raw orders that have the columns of ``add_customer`` already."""
+    return finish_clean(add_product(drop_bad_quantity(orders), products, "inner"))
+
+
+def finish_clean(joined: DataFrame) -> DataFrame:
+    return derive(clean_text(joined)).select(*CLEAN_COLUMNS)
 
 
 # Why a row is not in the cleaned table; a row with both faults has the first.
@@ -151,7 +169,7 @@ def build_marked(raw: DataFrame, customers: DataFrame, products: DataFrame) -> D
         F.when(F.col("_product").isNull(), UNKNOWN_PRODUCT).when(bad_quantity(), BAD_QUANTITY).otherwise(KEPT)
     )
     marked = raw.join(known, "product_id", "left").withColumn("removed_for", reason).drop("_product")
-    return add_customer(derive(clean_text(marked)), customers).select(*CLEAN_COLUMNS, "removed_for")
+    return derive(clean_text(add_customer(marked, customers))).select(*CLEAN_COLUMNS, "removed_for")
 
 
 def removal_counts(raw: DataFrame, products: DataFrame) -> DataFrame:

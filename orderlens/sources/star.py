@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orderlens.operators.cleaning import CUSTOMER_COLUMNS, add_customer, unknown_customers
 from orderlens.schema import MONEY_COLUMNS, ORDER_COLUMNS, ORDERS_RAW, PERCENT, RAW_MONEY
 
 # fault -> (divisor, remainder) of the order key
@@ -36,13 +37,13 @@ _schemas: dict[str, StructType] = {}
 ORDER_LEVEL = {"order_date", "customer_id", "payment_status"}
 
 
-def _hit(rule: tuple[int, int]) -> Column:
+def _hit(rule: tuple[int, int], key: str = "l_orderkey") -> Column:
     divisor, remainder = rule
-    return F.col("l_orderkey") % divisor == remainder
+    return F.col(key) % divisor == remainder
 
 
-def _fault(name: str) -> Column:
-    return _hit(FAULTS[name])
+def _fault(name: str, key: str = "l_orderkey") -> Column:
+    return _hit(FAULTS[name], key)
 
 
 def _slip(name: str) -> Column:
@@ -60,6 +61,10 @@ def _order_id() -> Column:
     return F.concat(F.lit("O"), *dashed)
 
 
+def _customer_id(key: str) -> Column:
+    return F.when(_fault("customer", key), "C999X").otherwise(F.concat(F.lit("C"), "o_custkey"))
+
+
 def _status() -> Column:
     known = (
         F.when(F.col("o_orderstatus") == "F", "Paid")
@@ -113,13 +118,22 @@ class StarSource:
         times = F.when(_hit(SENT_AGAIN["changed"]), changed).when(_hit(SENT_AGAIN["same"]), same).otherwise(once)
         return self._orders(self.table("lineitem").withColumn("_again", F.explode(times)), columns)
 
-    def _orders(self, rows: DataFrame, columns: Iterable[str]) -> DataFrame:
-        """``rows``: lines with ``_again``, which is added to their discount."""
+    def orders_with_customers(self) -> DataFrame:
+        """``orders_raw`` with ``add_customer``: the customer belongs to the order, so the orders meet
+        the customers and the wide lines need not be shuffled for them."""
+        lines = self.table("lineitem").withColumn("_again", F.lit(0))
+        return unknown_customers(self._orders(lines, ORDER_COLUMNS, self.customers))
+
+    def _orders(self, rows: DataFrame, columns: Iterable[str], customers: DataFrame | None = None) -> DataFrame:
+        """``rows``: lines with ``_again``, which is added to their discount. With ``customers``, the
+        columns of ``add_customer`` too, missing for lines without an order."""
         wanted = set(columns)
         if wanted & ORDER_LEVEL:
             orders = self.table("orders").select(
                 "o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus"
             )
+            if customers is not None:
+                orders = add_customer(orders.withColumn("customer_id", _customer_id("o_orderkey")), customers).drop("customer_id")
             rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         if "salesperson" in wanted:
             supplier = self.table("supplier").select("s_suppkey", "s_name")
@@ -137,20 +151,19 @@ class StarSource:
                 "discount_pct": F.when(_fault("discount"), F.lit(35).cast(PERCENT)).otherwise(
                     (F.round(F.col("l_discount") * 200) + F.col("_again")).cast(PERCENT)
                 ),
-                **self._plain(wanted),
             }
         )
         if wanted & set(MONEY_COLUMNS):
             rows = self._with_money(rows)
-        return rows.select(*[c for c in ORDERS_RAW.names if c in wanted])
+        # Behind the joins, which shuffle the numbers that texts are made of.
+        more = CUSTOMER_COLUMNS if customers is not None else ()
+        return rows.withColumns(self._plain(wanted)).select(*[c for c in ORDERS_RAW.names if c in wanted], *more)
 
     def _plain(self, wanted: set[str]) -> dict[str, Column]:
         columns = {
             "order_id": _order_id,
             "order_date": lambda: F.col("o_orderdate").cast("date"),
-            "customer_id": lambda: F.when(_fault("customer"), "C999X").otherwise(
-                F.concat(F.lit("C"), "o_custkey")
-            ),
+            "customer_id": lambda: _customer_id("l_orderkey"),
             "payment_status": _status,
             "salesperson": lambda: F.col("s_name"),
         }
