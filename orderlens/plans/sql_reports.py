@@ -252,9 +252,10 @@ def discount_band_margin(sales: Sales) -> DataFrame:
 
 
 def loss_orders(sales: Sales) -> DataFrame:
-    """Loss here means rounded profit below zero."""
+    """Loss here means rounded profit below zero. The join drops the lines of unknown products, so
+    the lines meet the products once."""
     columns = ("order_id", "order_date", "product_id", "salesperson", "discount_pct", *MONEY_SUMS)
-    losses = sales.facts(*columns).filter(F.col("profit") < 0)
+    losses = sales.lines(*columns).filter(F.col("profit") < 0)
     return (
         losses.join(sales.products.select("product_id", "product_name", "category"), "product_id")
         .select(
