@@ -151,6 +151,15 @@ def test_host_runs_decide_where_markup_does_not(spark):
     assert html_text.texts(docs.limit(0)).count() == 0
 
 
+def test_the_array_takes_in_pages_with_an_article(spark):
+    """Their menus are found as repeated runs; the article stays whole even where it is repeated."""
+    menu, story = "<nav>one two three four five six seven</nav>", "the same words stand in every article of this host"
+    rows = [(k, f"http://h.example/{k}", f"{menu}<article><p>{story}</p></article><p>only{k} here{k}</p>") for k in range(3)]
+    rows += [(3, "http://h.example/3", "<article></article><nav>a b c</nav>"), (4, "http://h.example/4", f"<article>{'x é ' * 9000}</article>")]
+    found = {r.page_id: (r.text, r.n_repeated) for r in html_text.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {0: (story, 7), 1: (story, 7), 2: (story, 7), 3: ("", 0), 4: (("x é " * 9000).strip(), 0)}
+
+
 def test_repeated_runs_equal_brute_force(spark):
     rnd = np.random.default_rng(1)
     pages = [(k % 2, [f"t{x}" for x in rnd.integers(0, 3, 25)]) for k in range(8)]
