@@ -13,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, jaccard_join, line_dedup, packing, personal_data, quality_rules, substring_dedup
+from orderlens import session
+from orderlens.llm import decontamination, jaccard_join, line_dedup, packing, personal_data, quality_rules, queries, substring_dedup
 from orderlens.llm.words import span_codes, window_codes, words
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -429,3 +430,14 @@ def test_one_large_group_of_near_copies(spark):
     assert min(links) < 40 < max(links)
     found = jaccard_join.classes(frame(spark, rows), block=25).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in found} == expected
+
+
+def test_line_dedup_query_runs_small_tasks(spark, tmp_path):
+    spark.createDataFrame([(1, "a b\nc d\ne"), (2, "x\na b\nc d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    was = spark.conf.get(session.TASK_INPUT)
+    try:
+        spark.conf.unset(session.TASK_INPUT)
+        found = {r.doc_id: r.text for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+        assert spark.conf.get(session.TASK_INPUT) == "16m" and found == {1: "a b\nc d\ne", 2: "x"}
+    finally:
+        spark.conf.set(session.TASK_INPUT, was)
